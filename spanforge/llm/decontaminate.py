@@ -156,9 +156,21 @@ def _postings_udf(block: Block):
 class Lists:
     """The postings of one document."""
 
-    def __init__(self, row: dict) -> None:
-        self.at = {t: i for i, t in enumerate(row["terms"])}
-        self.ends, self.positions = [0, *row["ends"]], np.array(row["positions"], np.int64)
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray) -> None:
+        self.terms, self.at = terms, {t: i for i, t in enumerate(terms.tolist())}
+        self.ends, self.positions = [0, *ends.tolist()], positions.astype(np.int64)
+
+    @classmethod
+    def each(cls, rows: pa.Array) -> Iterator[tuple[int, Lists]]:
+        """(row number, postings) of the rows that have any, straight from the Arrow buffers."""
+        found = []
+        for name in ("terms", "ends", "positions"):
+            x = rows.field(name)
+            found.append((x.offsets.to_numpy(), x.values.to_numpy()))
+        (at, terms), (_, ends), (where, positions) = found
+        for i in np.flatnonzero(np.diff(at)).tolist():
+            a, b = at[i], at[i + 1]
+            yield i, cls(terms[a:b], ends[a:b], positions[where[i] : where[i + 1]])
 
     def of(self, term: int) -> np.ndarray | None:
         i = self.at.get(term)
@@ -210,17 +222,13 @@ def _phrases_udf(block: Block):
 
     @F.arrow_udf(MATCHES)
     def phrases(rows: pa.Array) -> pa.Array:
-        out = []
-        for row in rows.to_pylist():
-            found: list[tuple[int, int, int]] = []
-            if row["terms"]:
-                lists = Lists(row)
-                for term in row["terms"]:
-                    for w in anchored.get(term, ()):
-                        terms, items = windows[w]
-                        for a in lists.phrase(terms, df).tolist():
-                            found += [(i, a, a + len(terms)) for i in items]
-            out.append(found)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(rows))]
+        for i, lists in Lists.each(rows):
+            for term in lists.terms.tolist():
+                for w in anchored.get(term, ()):
+                    terms, items = windows[w]
+                    for a in lists.phrase(terms, df).tolist():
+                        out[i] += [(k, a, a + len(terms)) for k in items]
         return _as_matches(out)
 
     return phrases
@@ -235,10 +243,9 @@ def _near_udf(block: Block, slack: int):
         for i, (_, terms) in enumerate(items):
             if df[terms].min() > 0:
                 by.setdefault(int(terms[np.argmin(df[terms])]), []).append(i)
-        out = []
-        for row in rows.to_pylist():
-            lists = Lists(row)
-            out.append([(i, a, b) for t in row["terms"] for i in by.get(t, ()) for a, b in lists.near(items[i][1], slack)])
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(rows))]
+        for i, lists in Lists.each(rows):
+            out[i] = [(k, a, b) for t in lists.terms.tolist() for k in by.get(t, ()) for a, b in lists.near(items[k][1], slack)]
         return _as_matches(out)
 
     return near
