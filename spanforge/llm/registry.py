@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, knn, packing, quality, simhash, toxicity
+from . import decontaminate, knn, packing, quality, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+        "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_voronoi_knn": knn.op5_voronoi_knn,
         "op6_toxicity": toxicity.op6_toxicity,
