@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, knn, packing, quality, simhash, substring, toxicity
+from . import chaining, counting, decontaminate, knn, packing, pii, quality, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,13 @@ def queries() -> dict[str, Query]:
         "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
         "op2_substring_dedup": substring.op2_substring_dedup,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_edit_token_counts": counting.op4_edit_token_counts,
         "op5_voronoi_knn": knn.op5_voronoi_knn,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_collinear_chaining": chaining.op8_collinear_chaining,
         "op9_quality": quality.op9_quality,
+        "op10_pii_surrogates": pii.op10_pii_surrogates,
     }
 
 
