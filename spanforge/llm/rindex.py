@@ -52,7 +52,7 @@ class RunLengthIndex:
             levels.append((size, rank))
         order = np.argsort(rank * n + np.arange(n))  # equal suffixes in text order, which the step to the left keeps
         head = np.zeros(n, bool)
-        head[edge[:-1]] = True
+        head[edge[:-1][np.diff(edge) > 0]] = True
         before = np.where(head[order], -1 - np.arange(n), data[order - 1].astype(np.int64))
         new = np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))) if n else order
         self.n_runs = len(new)

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from ._bytes import LOWER, mix
 from ._frame import Framed, narrow, table
 from ._graph import connected_components
-from ._scratch import cut, parts
+from ._scratch import cut, parts, stored
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -203,7 +203,7 @@ def linked(keyed: DataFrame, radius: int, tree_size: int) -> DataFrame:
 
     They connect whatever the links within the radius connect, and each of them is such a link.
     """
-    keyed = cut(keyed)
+    keyed = stored(keyed, "shards")  # Parquet, as rows of a checkpoint lose columns in later joins with themselves
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
     rows = keyed.join(sizes, "shard")
     trees = F.ceil(F.col("n") / tree_size)
@@ -213,18 +213,18 @@ def linked(keyed: DataFrame, radius: int, tree_size: int) -> DataFrame:
         return first
     hot_rows = keyed.join(hot.select("shard"), "shard")
     labels = connected_components(first).select(F.col("node").alias("f"), "label")
-    own = cut(hot_rows.join(labels, "f", "left").select("shard", "f", F.coalesce("label", "f").alias("label")))
+    own = stored(hot_rows.join(labels, "f", "left").select("shard", "f", F.coalesce("label", "f").alias("label")), "own")
     of_label = own.groupBy("shard", "label").agg(F.count("*").alias("m"))
     mixed = of_label.where(F.col("m") <= tree_size // 2).groupBy("shard").agg(F.sum("m").alias("mixed"))
     pure = F.col("m") > tree_size // 2
-    dealt = cut(own.join(of_label, ["shard", "label"]).join(mixed, "shard", "left").select(
+    dealt = stored(own.join(of_label, ["shard", "label"]).join(mixed, "shard", "left").select(
         "shard", "f", F.when(pure, F.col("label")).alias("pure"),
         F.when(pure, F.xxhash64("label", F.pmod(F.xxhash64("f"), F.ceil(F.col("m") / tree_size))))
-        .otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("mixed") / tree_size))).alias("block")))
+        .otherwise(F.pmod(F.xxhash64("label"), F.ceil(F.col("mixed") / tree_size))).alias("block")), "dealt")
     blocks = dealt.groupBy("shard", "block").agg(F.first("pure").alias("pure"))
     a, b = blocks.alias("a"), blocks.alias("b")
-    pairs = cut(a.join(b, F.expr("a.shard = b.shard and a.block <= b.block and not (a.pure <=> b.pure and a.pure is not null)"))
-                .select(F.col("a.shard").alias("shard"), F.col("a.block").alias("block"), F.col("b.block").alias("other")))
+    pairs = stored(a.join(b, F.expr("a.shard = b.shard and a.block <= b.block and not (a.pure <=> b.pure and a.pure is not null)"))
+                .select(F.col("a.shard").alias("shard"), F.col("a.block").alias("block"), F.col("b.block").alias("other")), "pairs")
     way = pairs.union(pairs.where("block <> other").select("shard", F.col("other").alias("block"), F.col("block").alias("other")))
     again = dealt.join(way, ["shard", "block"])
     second = _searched(again, F.xxhash64("shard", F.least("block", "other"), F.greatest("block", "other")), radius)
