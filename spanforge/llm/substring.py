@@ -9,7 +9,8 @@ Every byte covered by a string of ``length`` bytes that starts anywhere else too
    at the same distance from their anchors.  Contexts whose key occurs once can't repeat.
 3. *Hot keys.*  A key with more than ``most`` different contexts is split by the distance of
    window and anchor, in halves, and keyed by the bytes that all windows of a half share, until
-   few contexts are left; with one distance left the bytes are the window itself.
+   few contexts are left; with one distance left the bytes are the window itself.  Only one of
+   equal contexts is split: all windows of the copies are repeats already.
 4. *Index.*  Contexts are collapsed, dealt out by key and indexed about a megabyte at a time
    (``rindex``): a run-compressed Burrows-Wheeler transform with sampled run ends, over which
    matching statistics are streamed.  Windows with a match of ``length`` bytes, and all windows
@@ -161,21 +162,25 @@ def repeats(texts: DataFrame, length: int = LENGTH, core: int = CORE, most: int
     rows = stored(cuts.select(
         "h", "i", "a.lo", (F.col("a.place") - F.col("a.lo")).alias("lead"), "a.key",
         F.col("t").substr(F.col("a.lo") + 1, F.col("a.hi") - F.col("a.lo") + length).alias("ctx")), "contexts")
-    width, cold = length - core + 1, []
+    width, cold, marks = length - core + 1, [], []
     while True:
-        several = rows.groupBy("key", "ctx").agg(F.count("*").alias("m"))
-        several = several.groupBy("key").agg(F.count("*").alias("n"), F.sum("m").alias("m"))
+        several = rows.groupBy("key", "ctx").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("n"))
         hot = cut(several.where(F.col("n") > most).select("key"))
         if width == 1 or hot.isEmpty():
             cold.append(rows)
             break
         cold.append(rows.join(hot, "key", "left_anti"))
+        # copies of a context are repeats as a whole; one of them goes on, for the others to match
+        copied = rows.join(hot, "key").withColumn("ctx_key", F.md5("ctx"))
+        alike = stored(copied.groupBy("key", "ctx").agg(
+            F.count("*").alias("m"), F.min(F.struct("h", "i", "lo", "lead")).alias("one")), "alike")
+        marks.append(copied.join(alike.where("m > 1").select("key", F.md5("ctx").alias("ctx_key")), ["key", "ctx_key"])
+                     .select("h", "i", F.col("lo").alias("first"), (F.col("lo") + F.length("ctx") - length).alias("last")))
         width = -(-width // 2)
-        split = stored(_halves(rows.join(hot, "key"), width, length), "contexts")
+        split = stored(_halves(alike.select("one.*", "key", "ctx"), width, length), "contexts")
         live = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         rows = split.join(live, "key").select(split.columns)
     n = parts(spark)
-    marks = []
     for part in cold:
         once = part.groupBy("key", "ctx").agg(F.count("*").alias("m"))
         hits = (once.repartition(n, "key").sortWithinPartitions("key").select("key", "ctx", "m")

@@ -42,22 +42,39 @@ def test_simhash(docs, texts):
         assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
-def test_substring(docs, texts):
-    rows = [*[(i, t) for i, t in enumerate(texts)], (None, None), (7, texts[7])]
-    seen = Counter(t.encode()[i : i + 60] for _, t in rows if t for i in range(len(t.encode()) - 59))
+def _brute_substring(rows, length):
+    seen = Counter(t.encode()[i : i + length] for _, t in rows if t for i in range(len(t.encode()) - length + 1))
     want = Counter()
     for i, t in rows:
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
-        for a in range(len(b) - 59):
-            if seen[b[a : a + 60]] > 1:
-                gone[a : a + 60] = True
+        for a in range(len(b) - length + 1):
+            if seen[b[a : a + length]] > 1:
+                gone[a : a + length] = True
         starts = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         want[(i, len(b), int(gone.sum()), starts, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())] += 1
+    return want
+
+
+def test_substring(docs, texts):
+    want = _brute_substring([*enumerate(texts), (None, None), (7, texts[7])], 60)
     got = substring.deduplicated(docs, length=60, core=20, most=6).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_substring_of_many_near_copies(spark, texts):
+    rng = random.Random(9)
+    words, rows = texts[41].split(), []
+    for i in range(60):
+        own = list(words)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(len(own))] = rng.choice("uvwxyz") * rng.randint(1, 3)
+        rows.append((i, " ".join(own)))
+    rows += [(60, "é" * 90), (61, "ab" * 200), (62, None)]
+    got = substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), length=60, core=20, most=4).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == _brute_substring(rows, 60)
+
+
 def test_decontamination(spark, docs, texts):
     bench = spark.createDataFrame([(1, texts[41]), (2, "never seen words"), (None, texts[0]), (3, None), (4, "")], "item_id long, text string")
     for size in (10**6, 20):
