@@ -308,12 +308,12 @@ def _bins(s: SparkSession, d: str) -> DataFrame:
     return B.bin_events(ev, win, HOUR, bucket=4 * HOUR)
 
 
-for _name, _agg, _expr in (("sum", F.sum("value"), "sum(value)"), ("mean", F.avg("value"), "avg(value)"), ("min", F.min("value"), "min(value)"), ("max", F.max("value"), "max(value)"), ("median", F.median("value"), "median(value)")):
+for _name, _agg, _expr in (("sum", F.sum, "sum(value)"), ("mean", F.avg, "avg(value)"), ("min", F.min, "min(value)"), ("max", F.max, "max(value)"), ("median", F.median, "median(value)")):
     _SQL[f"val_bin_{_name}"] = f"WITH {_binned_sql(', ' + _expr + ' AS v')} SELECT c.series_id, c.interval_id, CAST(c.bin_idx AS INTEGER) AS bin_idx, round({'coalesce(v, 0)' if _name == 'sum' else 'v'}, 6) AS v FROM cells c LEFT JOIN found USING (series_id, interval_id, bin_idx)"
 
     def _value_bins(s, d, agg=_agg, zero=_name == "sum"):
         ev, win = _ev(s, d)
-        b = B.bin_events(ev, win, HOUR, {"v": agg}, 4 * HOUR)
+        b = B.bin_events(ev, win, HOUR, {"v": agg("value")}, 4 * HOUR)
         return _round(b.withColumn("v", F.coalesce("v", F.lit(0.0)) if zero else F.col("v")), "v").select("series_id", "interval_id", "bin_idx", "v")
 
     _QUERIES[f"val_bin_{_name}"] = lambda s, d, f=_value_bins: f(s, d)
