@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from ._bytes import LOWER, mix
 from ._frame import Framed, narrow, table
 from ._graph import connected_components
-from ._scratch import cut, parts, stored
+from ._scratch import cut, parts, release, stored
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -290,23 +290,137 @@ def _shingle_set_udf(words: int):
     return shingle_set
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 72,
-                   band_bits: int = 20, tree_size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_key, group) of every text that has a near copy; text_key: md5 of the text.
+def _counted(rows: DataFrame, words: int, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of one text in ``share`` and their counts there, by hash.
 
-    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
-    ``similarity``; texts with the same words are one node.  Candidates come from the trees:
-    texts that share one of ``bands`` bands of ``band_bits`` further SimHash bits are in one
-    shard, and its BK-trees give those whose fingerprints differ in at most ``radius`` bits.
-    At similarity 0.8 a bit differs with a chance of about 0.14, so that 72 bands of 20 bits miss
-    about one pair in thirty, and far fewer above.  Every candidate link is checked on the
-    whole shingle sets.
+    Only the order of shingles depends on them, no result does.
     """
-    rows = narrow(docs, id_col, text_col).select(F.coalesce(text_col, F.lit("")).alias("text"))
-    n_words = 1 + -(-bands * band_bits // 64)
-    sig = (rows.select(F.md5("text").alias("text_key"), _signature_udf(words, n_words)(F.col("text").cast("binary")).alias("s"))
-           .select("text_key", "s.key", "s.fp"))
-    sig = cut(sig.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.collect_set("text_key").alias("texts")))
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
+    n = cut(some.select(F.explode(_shingle_set_udf(words)(F.col("text").cast("binary"))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 2"))
+    least, total = 1 << 62, 0
+    for r in sorted(n.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r.n):
+        total += r.m
+        if total > most:
+            break
+        least = r.n
+    found = sorted((r.t % 2**64, r.n) for r in n.where(F.col("n") >= least).collect())
+    return np.array([t for t, _ in found], np.uint64), np.array([c for _, c in found], np.int64)
+
+
+def prefix(own: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest of a set's shingles, so many that sets of that Jaccard similarity share one.
+
+    Of n shingles, a set as similar as that has at least ``similarity * n``, so it can't miss all
+    of n less that number and one.  All sets must be ordered alike: by count, then by hash.
+    """
+    rank = np.zeros(len(own), np.int64)
+    if len(often):
+        i = np.minimum(np.searchsorted(often, own), len(often) - 1)
+        rank = np.where(often[i] == own, counts[i], 0)
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    return own[np.lexsort((own, rank))[:n]]
+
+
+def _prefix_udf(words: int, similarity: float, often: np.ndarray, counts: np.ndarray):
+    """binary text -> (number of shingles, its prefix's shingles folded to 32 bits)."""
+    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType()))])
+
+    @F.arrow_udf(kind)
+    def prefixes(texts: pa.Array) -> pa.Array:
+        sizes, out = [], []
+        for t in texts.to_pylist():
+            own = np.unique(shingle_hashes(t, words))
+            sizes.append(len(own))
+            out.append(np.unique((prefix(own, similarity, often, counts) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(flat))
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], kind.names)
+
+    return prefixes
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (t, id) of a partition whose t has several."""
+    held = list(batches)
+    if not held:
+        return
+    t, ids = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+    order = np.argsort(t, kind="stable")
+    t, ids = t[order], ids[order]
+    same = np.concatenate(([False], t[1:] == t[:-1], [False]))
+    keep = same[1:] | same[:-1]
+    yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(ids[keep])], ["t", "id"])
+
+
+#: Up to this size groups are compared all at once.
+_SMALL = 32
+
+
+def crossing(t: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of equal t and different label whose sizes n allow that Jaccard similarity."""
+    order = np.lexsort((n, t))
+    t, ids, label, n = t[order], ids[order], label[order], n[order]
+    edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
+    size = np.diff(edge)
+    small = np.repeat(size <= _SMALL, size)
+    for j in range(1, min(_SMALL, len(t))):
+        i = np.flatnonzero((t[j:] == t[:-j]) & small[j:])
+        i = i[(label[i] != label[i + j]) & (n[i] >= similarity * n[i + j] - 1e-9)]
+        yield ids[i], ids[i + j]
+    for k in np.flatnonzero(size > _SMALL):
+        a, b = edge[k], edge[k + 1]
+        if (label[a:b] == label[a]).all():
+            continue
+        last = np.searchsorted(n[a:b], n[a:b] / similarity + 1e-9, "right") + a
+        for i in range(a, b - 1):
+            other = ids[i + 1 : last[i - a]][label[i + 1 : last[i - a]] != label[i]]
+            if len(other):
+                yield np.full(len(other), ids[i]), other
+
+
+def _crossing(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4)]
+        out, size = [], 0
+
+        def made() -> pa.RecordBatch:
+            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+            times = np.diff(np.append(first, len(a)))
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(times)], ["a", "b", "c"])
+
+        for a, b in crossing(*cols, similarity):
+            out.append((a, b))
+            size += len(a)
+            if size > 500_000:
+                yield made()
+                out, size = [], 0
+        if size:
+            yield made()
+
+    return run
+
+
+def _similar(rows: DataFrame, sig: DataFrame, todo: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the links (a, b) of keys whose whole shingle sets are similar."""
+    involved = todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct().join(sig.select("key", "text_key"), "key")
+    texts = rows.withColumn("text_key", F.md5("text")).join(involved, "text_key").dropDuplicates(["text_key"])
+    sets = cut(texts.select("key", _shingle_set_udf(words)(F.col("text").cast("binary")).alias("set")))
+    both = (todo.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
+            .join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
+            .withColumn("common", F.size(F.array_intersect("sa", "sb"))))
+    good = both.where(F.col("common") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common")))
+    return cut(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def _tree_links(sig: DataFrame, radius: int, bands: int, band_bits: int, tree_size: int) -> DataFrame:
+    """Links (a, b) of keys that share a band and lie within the radius; a forest of them in large trees."""
     every = cut(sig.select("key", F.col("fp")[0].alias("f")))
     # equal fingerprints of different texts are candidates as well: nodes are fingerprints here, texts below
     def band(i: int) -> Column:
@@ -321,15 +435,53 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     same = every.join(reps.select("f", F.col("key").alias("rep")), "f").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
     across = (pairs.join(reps.select(F.col("f").alias("u"), F.col("key").alias("a")), "u")
               .join(reps.select(F.col("f").alias("v"), F.col("key").alias("b")), "v").select("a", "b"))
-    todo = cut(same.union(across).distinct())
-    involved = todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct().join(sig.select("key", "text_key"), "key")
-    texts = rows.withColumn("text_key", F.md5("text")).join(involved, "text_key").dropDuplicates(["key"])
-    sets = cut(texts.select("key", _shingle_set_udf(words)(F.col("text").cast("binary")).alias("set")))
-    both = (todo.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
-            .withColumn("common", F.size(F.array_intersect("sa", "sb"))))
-    good = both.where(F.col("common") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common")))
-    labels = connected_components(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    return cut(same.union(across).distinct())
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 72,
+                   band_bits: int = 20, tree_size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_key, group) of every text that has a near copy; text_key: md5 of the text.
+
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
+    ``similarity``; texts with the same words are one node.  First candidates come from the trees:
+    texts that share one of ``bands`` bands of ``band_bits`` further SimHash bits are in one
+    shard, and its BK-trees give a forest of those whose fingerprints differ in at most ``radius``
+    bits.  Every candidate link is checked on the whole shingle sets, and only checked links make
+    components.
+
+    The trees miss some pairs, so the rest is searched exactly: two sets of that similarity share
+    a shingle of their prefixes (see ``prefix``).  Pairs that share one, lie in different
+    components of checked links and are of fitting size are checked as well, all of them.
+    """
+    rows = narrow(docs, id_col, text_col).select(F.coalesce(text_col, F.lit("")).alias("text"))
+    n_words = 1 + -(-bands * band_bits // 64)
+    sig = (rows.select(F.md5("text").alias("text_key"), _signature_udf(words, n_words)(F.col("text").cast("binary")).alias("s"))
+           .select("text_key", "s.key", "s.fp"))
+    sig = cut(sig.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.collect_set("text_key").alias("texts")))
+    spark = docs.sparkSession
+    near = _tree_links(sig, radius, bands, band_bits, tree_size)
+    release(spark)
+    good = _similar(rows, sig, near, words, similarity)
+    release(spark)
+    labels = connected_components(good)
+
+    often, counts = _counted(rows, words, 16, 100_000)
+    found = rows.select(F.md5("text").alias("text_key"), _prefix_udf(words, similarity, often, counts)(F.col("text").cast("binary")).alias("p"))
+    own = stored(found.join(sig.select("key", "text_key"), "text_key").dropDuplicates(["text_key"])
+                 .select("key", F.xxhash64("key").alias("id"), "p.n", "p.t"), "prefixes")
+    release(spark)
+    n = parts(spark)
+    met = stored(own.select(F.explode("t").alias("t"), "id").repartition(n, "t").mapInArrow(_shared, "t int, id long"), "met")
+    release(spark)
+    nodes = own.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("id", F.xxhash64(F.coalesce("label", "key")).alias("label"), "n")
+    cross = met.join(nodes, "id").select("t", "id", "label", "n").repartition(n, "t").mapInArrow(_crossing(similarity), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    # what two sets have in common is in both prefixes, or in the rest of the set whose prefix ends first
+    def end(x: str) -> DataFrame:
+        return own.select(F.col("id").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.size("t")).alias(f"r{x}"))
+    most = F.col("c") + F.greatest("ra", "rb")
+    todo = (cross.join(end("a"), "a").join(end("b"), "b").where(most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")))
+            .select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    labels = connected_components(good.union(_similar(rows, sig, cut(todo), words, similarity)))
     grouped = sig.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
     return (grouped.select(F.explode("texts").alias("text_key"), F.coalesce("label", "key").alias("group")))
 

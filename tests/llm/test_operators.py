@@ -42,6 +42,41 @@ def test_simhash(docs, texts):
         assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == want
 
 
+def _brute_groups(sets, similarity):
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common) and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [b if x == a else x for x in label]
+    return {frozenset(k for k, x in enumerate(label) if x == y) for y in label}
+
+
+def _groups(spark, texts, **options):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = {r.text_key: r.group for r in simhash.similar_groups(df, **options).collect()}
+    group = [of[hashlib.md5(t.encode()).hexdigest()] for t in texts]
+    return {frozenset(k for k, x in enumerate(group) if x == y) for y in group}
+
+
+def test_near_copies_are_all_of_that_jaccard_similarity(spark):
+    rng, texts = random.Random(3), ["", "a b", "A  b", "a b c"]
+    for _ in range(60):
+        base = [str(rng.randrange(10**6)) for _ in range(rng.randint(20, 160))]
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(1, 3)):
+            own = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 45))):
+                own[rng.randrange(len(own))] = str(rng.randrange(10**6))
+            texts.append(" ".join(own[rng.randint(0, len(own) // 9) :]))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    want = _brute_groups(sets, 0.8)
+    assert _groups(spark, texts) == want
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == {min(g) for g in want}
+
+
 def _brute_substring(rows, length):
     seen = Counter(t.encode()[i : i + length] for _, t in rows if t for i in range(len(t.encode()) - length + 1))
     want = Counter()
