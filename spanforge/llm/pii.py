@@ -1,8 +1,8 @@
 """Personal data replaced by keyed surrogates (operator 10).
 
-*Detection.*  Mail addresses, IPv4 addresses, phone numbers, card numbers, secret tokens, and
-names that a title or a phrase of introduction announces; a name found in a text is also found
-where the text repeats it.
+*Detection.*  Mail addresses, IPv4 addresses, phone numbers, card and
+social security numbers, secret tokens, and names that a title or a phrase of
+introduction announces; a name found in a text is also found where the text repeats it.
 
 *Surrogates.*  An entity's canonical form (letters in lower case, digits alone) goes through a
 keyed Feistel network over its own digits and letters, a bijection among the strings of one
@@ -61,22 +61,29 @@ _ENTITY = re.compile(
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
     r"|(?P<card>(?<![\w.])\d{4}([ -]?)\d{4}\4\d{4}\4\d{1,7}(?!\d))"
     r"|(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\d))"
+    r"|(?P<call>(?<![\w.])(?:\+[1-9]\d{6,14}|(?:\+|00)[1-9]\d{0,2}(?:[ ./()-]{1,2}\d{1,8})?(?:[ ./()-]{1,2}\d{2,8}){1,5}|0[1-9]\d{0,3}(?P<sep>[ ./-])\d{2,8}(?:(?P=sep)\d{2,8}){0,4})(?!\d))"
+    r"|(?P<ssn>(?<![\w.-])\d{3}(?P<gap>[ -])\d{2}(?P=gap)\d{4}(?![\w-]|\.\d))"
     r"|(?P<secret>(?<![A-Za-z0-9])(?:(?=[a-f0-9]*\d)(?=[a-f0-9]*[a-f])[a-f0-9]{24,}|(?=[A-F0-9]*\d)(?=[A-F0-9]*[A-F])[A-F0-9]{24,})(?![A-Za-z0-9]))",
 )
 _NAME = re.compile(rf"(?P<cue>(?<!\w)(?:{'|'.join(map(re.escape, TITLES))})\b\.?|{_INTRO})\s+(?P<name>(?-i:{_WORD})(?:\s+(?-i:{_WORD}))?)", re.IGNORECASE)
 
 
-_MARKS = re.compile("[0-9@]")
-_CUES = frozenset(a + b + c for t in TITLES for a in ("", "(", '"', "'", "«", "“", "—") for b in (t, t.capitalize(), t.upper()) for c in ("", "."))
-_PHRASES = tuple(_INTRO[3:-1].split("|"))
+_DIGITS = ("card", "phone", "ssn")
+_MARKS = re.compile(r"[\d@]")
+
+
+def _folded(text: str) -> str:
+    """Letters that a pattern takes as equal, whatever their case, made equal."""
+    return text.casefold().replace("i\u0307", "i").replace("ı", "i")
+
+
+_CUES = tuple(_folded(x) for x in (*TITLES, *_INTRO[3:-1].split("|")))
 
 
 def _announced(text: str) -> bool:
-    """Whether the text has a title as a word of its own or a phrase of introduction."""
-    if not _CUES.isdisjoint(text.split()):
-        return True
-    low = text.lower()
-    return any(p in low for p in _PHRASES)
+    """False only if no cue of a name is a part of the text, in whatever place and case."""
+    low = _folded(text)
+    return any(c in low for c in _CUES)
 
 
 def _script(word: str) -> str:
@@ -91,12 +98,19 @@ def entities(text: str) -> list[Entity]:
     """(start, end, type, canonical form) of the text's entities, in order and without overlap."""
     found: list[Entity] = []
     if _MARKS.search(text):
-        for m in _ENTITY.finditer(text):
-            kind, s = m.lastgroup or "", m.group()
-            kind = next(k for k in ("email", "ip", "card", "phone", "secret") if m.group(k) is not None)
-            if kind == "card" and len(re.sub(r"\D", "", s)) < 13:
+        at = 0
+        while m := _ENTITY.search(text, at):
+            at = m.start() + 1  # of what is passed over, later parts may be an entity
+            s, digits = m.group(), re.sub(r"\D", "", m.group())
+            kind = next(k for k in ("email", "ip", "card", "phone", "call", "ssn", "secret") if m.group(k) is not None)
+            if kind == "card" and len(digits) < 13:
                 continue
-            canon = re.sub(r"\D", "", s) if kind in ("card", "phone") else s.lower()
+            if kind == "call":  # a phone number in another form; dates have fewer digits
+                if not (9 - (s[0] == "+") * 2 <= len(digits) <= 17):
+                    continue
+                kind = "phone"
+            at = m.end()
+            canon = digits if kind in _DIGITS else s.lower()
             found.append((m.start(), m.end(), kind, canon))
     names: dict[str, str] = {}
     for m in _NAME.finditer(text) if _announced(text) else ():
@@ -144,7 +158,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """The canonical form of an entity's surrogate."""
     if kind == "ip":
         return ".".join(map(str, _feistel(key, kind, attempt, list(map(int, canon.split("."))), [256] * 4)))
-    if kind in ("card", "phone"):
+    if kind in _DIGITS:
         d = list(map(int, canon))
         if kind == "card" and _luhn(d[:-1]) == d[-1]:
             head = _feistel(key, "card+", attempt, d[:-1], [10] * (len(d) - 1))
@@ -191,7 +205,7 @@ def written(kind: str, canon: str, mention: str) -> str:
     """A surrogate in the format of the mention that it replaces."""
     if kind == "ip":
         return canon
-    if kind in ("card", "phone"):
+    if kind in _DIGITS:
         digits = iter(canon)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "name":

@@ -1,6 +1,7 @@
 """Kernels against brute force, without Spark."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -74,6 +75,29 @@ def test_surrogates_are_distinct_and_consistent():
     assert pii._replace("no data here", key, {}, {}) == ("no data here", []) and pii._replace(None, key, {}, {}) == (None, [])
 
 
+@pytest.mark.parametrize("text", ["[Mr. Smith]", "„Herr Müller“", "‘Dr. Lee’", "<b>Mrs. Jones</b>", "From:Mr. Smith", "/Dr. Xavier", "(mr. Smith)", "MRS. Jones"])
+def test_titles_announce_names_wherever_they_stand(text):
+    assert [k for _, _, k, _ in pii.entities(text)] == ["name"]
+
+
+def test_no_form_of_a_cue_is_passed_over():
+    for c in sorted(set("".join(pii.TITLES) + pii._INTRO[3:-1]) - set("|")):
+        alike = re.findall(re.escape(c), "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)])), re.IGNORECASE)
+        assert {pii._folded(x) for x in alike} == {pii._folded(c)}
+
+
+@pytest.mark.parametrize(("number", "kind"), [
+    ("+15551234567", "phone"), ("01 23 45 67 89", "phone"), ("01.23.45.67.89", "phone"), ("+33 1 23 45 67 89", "phone"), ("0033 1 23 45 67 89", "phone"), ("+49 (0)30 1234567", "phone"),
+    ("0171/1234567", "phone"), ("030 1234567", "phone"), ("(555) 123-4567", "phone"), ("+1 (377) 555-0271", "phone"), ("123-45-6789", "ssn"), ("123 45 6789", "ssn"),
+    ("01.02.2024", None), ("2024-01-02", None), ("12345", None), ("1 234 567", None)])
+def test_numbers_are_found_in_each_form(number, kind):
+    text = f"call {number}, please"
+    want = [(5, 5 + len(number), kind)] if kind else []
+    assert [x[:3] for x in pii.entities(text)] == want
+    new, _ = pii._replace(text, b"k", {}, {})
+    assert (new != text) == bool(kind) and len(new) == len(text)
+
+
 def test_chains_follow_both_orders():
     own = [(i, i + 100) for i in range(0, 40, 8)] + [(20, 3)]
     best = chaining.chains(own, 6, 0.1, 60, 12.0)[0]
