@@ -154,6 +154,14 @@ def test_shared_passages(docs):
     assert len({got[i].class_id for i in range(40, 60)}) == 1 and got[45].n_passages == 1 and got[None].n_passages == 0
 
 
+def test_passages_that_occur_again_in_one_text(spark):
+    word = random.Random(8).sample(range(10**6), 700)
+    own = [" ".join(map(str, word[i : i + 60])) for i in range(0, 660, 60)]
+    rows = [(1, " ".join([own[1], own[0], own[2], own[0], own[3], own[0], own[4]])), (2, " ".join([own[5], own[0], own[6], own[0], own[7], own[0]]))]
+    got = chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.n_passages, r.n_shared_words, r.class_id) for r in sorted(got)] == [(3, 180, 1)] * 2
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert simhash.near_duplicates(none).count() == 0 and packing.pack(none).count() == 0 and substring.deduplicated(none).count() == 0
