@@ -162,6 +162,21 @@ def test_passages_that_occur_again_in_one_text(spark):
     assert [(r.n_passages, r.n_shared_words, r.class_id) for r in sorted(got)] == [(3, 180, 1)] * 2
 
 
+def test_links_that_only_unlike_texts_connect_are_found(spark):
+    # u-w and w-v are near in bits and less than 0.8 alike, u-v is 0.8 or more alike
+    rng = random.Random(1)
+    texts = []
+    for _ in range(40):
+        base = [str(rng.randrange(10**6)) for _ in range(200)]
+        for at in ((), (30,), (60, 120, 150, 90), (45, 75, 105, 135)):
+            own = list(base)
+            for i in at:
+                own[i] = str(rng.randrange(10**6))
+            texts.append(" ".join(own))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
+    assert _groups(spark, texts, bands=1, band_bits=1, tree_size=16) == _brute_groups(sets, 0.8)
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("false")
     assert simhash.near_duplicates(none).count() == 0 and packing.pack(none).count() == 0 and substring.deduplicated(none).count() == 0
