@@ -5,7 +5,8 @@ shingles.  Fingerprints within a Hamming radius are linked; equal fingerprints a
 
 *Shards.*  With ``radius + 2`` blocks of bits, two fingerprints within the radius agree on at
 least two whole blocks, so each fingerprint goes to one shard for every pair of blocks and no
-link is lost.  *Trees.*  Each shard holds BK-trees of a bounded number of fingerprints, whose
+link is lost; from about a billion fingerprints on, more blocks keep the shards small
+(``blocks_for``).  *Trees.*  Each shard holds BK-trees of a bounded number of fingerprints, whose
 children are keyed by their integer Hamming distance to the parent; a search follows only the
 edges within the radius.  A tree is sent to the task that holds its shard's queries by the
 shuffle on the shard's key; trees of all shards together grow with the data, so they are not
@@ -26,6 +27,7 @@ empty table gives an empty one; further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -144,57 +146,60 @@ def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
             label = new
 
 
-#: Trees up to this size are compared node by node, which costs less than building them.
-_FLAT = 12
+def _links(group: np.ndarray, fps: np.ndarray, radius: int, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A BK-tree for each run of equal group, and a spanning forest of the links that it gives.
 
-
-def _links(group: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links inside runs of equal group: all of a small run, a spanning forest of a larger one."""
+    With labels, only links between different ones count, and the forest is one of labels.
+    """
     edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-    size = np.diff(edge)
-    small = np.repeat(size <= _FLAT, size)
-    for j in range(1, _FLAT):
-        near = np.flatnonzero((group[j:] == group[:-j]) & small[j:])
-        if not len(near):
-            break
-        near = near[np.bitwise_count(fps[near] ^ fps[near + j]) <= radius]
-        yield fps[near], fps[near + j]
-    for k in np.flatnonzero(size > _FLAT):
-        own = np.unique(fps[edge[k] : edge[k + 1]])
+    for k in np.flatnonzero(np.diff(edge) > 1):
+        own, first = np.unique(fps[edge[k] : edge[k + 1]], return_index=True)
+        if label is None:
+            node, n = np.arange(len(own)), len(own)
+        else:
+            names, node = np.unique(label[edge[k] + first], return_inverse=True)
+            n = len(names)
+        if n < 2:
+            continue
         a, b, d = BKTree(own).within(own, radius)
-        a, b, d = (x[a < b] for x in (a, b, d))
-        keep = spanning(a, b, d, len(own))
-        yield own[a[keep]], own[b[keep]]
+        a, b, d = (x[(a < b) & (node[a] != node[b])] for x in (a, b, d))
+        if len(a) > 1:
+            keep = spanning(node[a], node[b], d, n)
+            a, b = a[keep], b[keep]
+        if len(a):
+            yield own[a], own[b]
 
 
 def _search(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def solve(g: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in _links(g, f, radius):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+    """Arrow batches of (g, f[, label]) sorted by g -> links (u, v) of fingerprints of equal g."""
+    def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = list(_links(cols[0], cols[1].view(np.uint64), radius, *cols[2:]))
+        if found:
+            u, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            rest.append(batch)
-            g = np.concatenate([x.column(0).to_numpy() for x in rest])
-            if g[0] == g[-1]:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy() for c in batch.columns])
+            if held[0][0][0] == held[-1][0][-1]:
                 continue
-            f = np.concatenate([x.column(1).to_numpy() for x in rest]).view(np.uint64)
-            last = int(np.flatnonzero(g != g[-1])[-1]) + 1  # the last run may go on
-            yield from solve(g[:last], f[:last])
-            rest = [pa.RecordBatch.from_arrays([pa.array(g[last:]), pa.array(f[last:].view(np.int64))], ["g", "f"])]
-        if rest and sum(x.num_rows for x in rest):
-            yield from solve(np.concatenate([x.column(0).to_numpy() for x in rest]), np.concatenate([x.column(1).to_numpy() for x in rest]).view(np.uint64))
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1  # the last run may go on
+            yield from solve([x[:last] for x in cols])
+            held = [[x[last:] for x in cols]]
+        if held:
+            yield from solve([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return run
 
 
-def _searched(rows: DataFrame, group: Column, radius: int) -> DataFrame:
-    """Links of fingerprints f that share a tree; group: the tree's number."""
+def _searched(rows: DataFrame, group: Column, radius: int, *also: str) -> DataFrame:
+    """Links of fingerprints f that share a tree; group: the tree's number; also: the label."""
     n = parts(rows.sparkSession)
-    return (rows.select(group.alias("g"), "f").repartition(n, "g").sortWithinPartitions("g")
+    return (rows.select(group.alias("g"), "f", *also).repartition(n, "g").sortWithinPartitions("g")
             .mapInArrow(_search(radius), "u long, v long"))
 
 
@@ -231,13 +236,20 @@ def linked(keyed: DataFrame, radius: int, tree_size: int) -> DataFrame:
     return cut(first.union(second).distinct())
 
 
-def block_shards(f: Column, radius: int) -> Column:
-    """One shard for every pair of radius + 2 blocks of a fingerprint's 64 bits."""
-    n = radius + 2
-    width = [64 // n + (i < 64 % n) for i in range(n)]
-    at = [sum(width[:i]) for i in range(n)]
-    part = [F.shiftrightunsigned(f, at[i]).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(n)]
-    return F.array(*[F.xxhash64(F.lit(i * n + j), part[i], part[j]) for i in range(n) for j in range(i + 1, n)])
+def block_shards(f: Column, radius: int, blocks: int) -> Column:
+    """One shard for every choice of ``blocks - radius`` blocks of a fingerprint's 64 bits."""
+    width = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
+    at = [sum(width[:i]) for i in range(blocks)]
+    part = [F.shiftrightunsigned(f, at[i]).bitwiseAND(F.lit((1 << width[i]) - 1)) for i in range(blocks)]
+    return F.array(*[F.xxhash64(F.lit(k), *[part[i] for i in chosen]) for k, chosen in enumerate(combinations(range(blocks), blocks - radius))])
+
+
+def blocks_for(n: int, radius: int, tree_size: int) -> int:
+    """So many blocks that ``n`` evenly spread fingerprints leave a shard no fuller than a tree."""
+    blocks = radius + 2
+    while blocks < radius + 4 and n > tree_size << (64 * (blocks - radius) // blocks):
+        blocks += 1
+    return blocks
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size: int = 512,
@@ -248,7 +260,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size:
     rows = narrow(docs, id_col, text_col)
     fps = cut(rows.select(F.col(id_col).alias("id"), fingerprint_udf(words)(F.col(text_col).cast("binary"))[0].alias("f")))
     nodes = cut(fps.groupBy("f").agg(F.min("id").alias("least"), F.count("*").alias("n_copies")))
-    keyed = nodes.select(F.explode(block_shards(F.col("f"), radius)).alias("shard"), "f")
+    blocks = blocks_for(nodes.count(), radius, tree_size)
+    keyed = nodes.select(F.explode(block_shards(F.col("f"), radius, blocks)).alias("shard"), "f")
     labels = connected_components(linked(keyed, radius, tree_size)).select(F.col("node").alias("f"), "label")
     known = nodes.join(labels, "f", "left").withColumn("label", F.coalesce("label", "f"))
     least = known.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -259,27 +272,6 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size:
 
 # --- documents of 0.8 similarity or more -------------------------------------------------
 
-def _signature_udf(words: int, n_words: int):
-    kind = T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.ArrayType(T.LongType()))])
-
-    @F.arrow_udf(kind)
-    def signature(texts: pa.Array) -> pa.Array:
-        keys, out, held, size = [], [], [], 0
-        rows = texts.to_pylist()
-        for i, t in enumerate(rows):
-            keys.append(xxhash.xxh3_128_hexdigest(b" ".join((t or b"").translate(LOWER).split())))
-            held.append(np.unique(shingle_hashes(t, words)))
-            size += len(held[-1])
-            if size > 100_000 or len(held) >= 256 or i == len(rows) - 1:
-                out.append(majority(held, n_words))
-                held, size = [], 0
-        flat = np.concatenate(out).ravel().view(np.int64) if out else np.zeros(0, np.int64)
-        fp = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * n_words), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.string()), fp], ["key", "fp"])
-
-    return signature
-
-
 def _shingle_set_udf(words: int):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def shingle_set(texts: pa.Array) -> pa.Array:
@@ -321,70 +313,66 @@ def prefix(own: np.ndarray, similarity: float, often: np.ndarray, counts: np.nda
     return own[np.lexsort((own, rank))[:n]]
 
 
-def _prefix_udf(words: int, similarity: float, often: np.ndarray, counts: np.ndarray):
-    """binary text -> (number of shingles, its prefix's shingles folded to 32 bits)."""
-    kind = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType()))])
-
-    @F.arrow_udf(kind)
-    def prefixes(texts: pa.Array) -> pa.Array:
-        sizes, out = [], []
-        for t in texts.to_pylist():
-            own = np.unique(shingle_hashes(t, words))
-            sizes.append(len(own))
-            out.append(np.unique((prefix(own, similarity, often, counts) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-        flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(flat))
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), lists], kind.names)
+SIGNATURE = T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType()))])
 
-    return prefixes
 
+def _signature_udf(words: int, n_words: int, similarity: float, often: np.ndarray, counts: np.ndarray):
+    """binary text -> (key of its words, fingerprint words, number of shingles, its prefix's shingles folded to 32 bits)."""
+    @F.arrow_udf(SIGNATURE)
+    def signature(texts: pa.Array) -> pa.Array:
+        keys, fps, n, tokens, held, size = [], [], [], [], [], 0
+        for i, t in enumerate(texts):
+            t = t.as_py() or b""
+            keys.append(xxhash.xxh3_128_hexdigest(b" ".join(t.translate(LOWER).split())))
+            own = np.unique(shingle_hashes(t, words))
+            n.append(len(own))
+            tokens.append(np.unique((prefix(own, similarity, often, counts) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            held.append(own)
+            size += len(own)
+            if size > 100_000 or len(held) >= 256 or i == len(texts) - 1:
+                fps.append(majority(held, n_words))
+                held, size = [], 0
+        fp = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_words), pa.array(np.concatenate(fps).ravel().view(np.int64) if fps else np.zeros(0, np.int64)))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([pa.array(keys, pa.string()), fp, pa.array(n, pa.int32()), lists], SIGNATURE.names)
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows (t, id) of a partition whose t has several."""
-    held = list(batches)
-    if not held:
-        return
-    t, ids = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
-    order = np.argsort(t, kind="stable")
-    t, ids = t[order], ids[order]
-    same = np.concatenate(([False], t[1:] == t[:-1], [False]))
-    keep = same[1:] | same[:-1]
-    yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(ids[keep])], ["t", "id"])
+    return signature
 
 
 #: Up to this size groups are compared all at once.
 _SMALL = 32
 
 
-def crossing(t: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids of equal t and different label whose sizes n allow that Jaccard similarity."""
-    order = np.lexsort((n, t))
-    t, ids, label, n = t[order], ids[order], label[order], n[order]
-    edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
+def crossing(g: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, guest: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of equal g and different label whose sizes n allow that Jaccard similarity.
+
+    Guests are compared with those that are at home in g, not with each other.
+    """
+    order = np.lexsort((n, g))
+    g, ids, label, n, guest = g[order], ids[order], label[order], n[order], guest[order]
+    edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
     size = np.diff(edge)
     small = np.repeat(size <= _SMALL, size)
-    for j in range(1, min(_SMALL, len(t))):
-        i = np.flatnonzero((t[j:] == t[:-j]) & small[j:])
-        i = i[(label[i] != label[i + j]) & (n[i] >= similarity * n[i + j] - 1e-9)]
+    for j in range(1, min(_SMALL, len(g))):
+        i = np.flatnonzero((g[j:] == g[:-j]) & small[j:])
+        i = i[(label[i] != label[i + j]) & (n[i] >= similarity * n[i + j] - 1e-9) & ~(guest[i] & guest[i + j])]
         yield ids[i], ids[i + j]
     for k in np.flatnonzero(size > _SMALL):
         a, b = edge[k], edge[k + 1]
-        if (label[a:b] == label[a]).all():
-            continue
         last = np.searchsorted(n[a:b], n[a:b] / similarity + 1e-9, "right") + a
         for i in range(a, b - 1):
-            other = ids[i + 1 : last[i - a]][label[i + 1 : last[i - a]] != label[i]]
+            to = slice(i + 1, last[i - a])
+            other = ids[to][(label[to] != label[i]) & ~(guest[to] & guest[i])]
             if len(other):
                 yield np.full(len(other), ids[i]), other
 
 
 def _crossing(similarity: float):
+    """Arrow batches (g, id, label, n, guest) sorted by g -> (a, b, c): pairs and how often they met."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        cols = [np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(4)]
-        out, size = [], 0
+        held: list[list[np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
         def made() -> pa.RecordBatch:
             a, b = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -395,12 +383,28 @@ def _crossing(similarity: float):
             times = np.diff(np.append(first, len(a)))
             return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(times)], ["a", "b", "c"])
 
-        for a, b in crossing(*cols, similarity):
-            out.append((a, b))
-            size += len(a)
-            if size > 500_000:
-                yield made()
-                out, size = [], 0
+        def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            nonlocal out, size
+            for a, b in crossing(*cols, similarity):
+                if len(a):
+                    out.append((a, b))
+                    size += len(a)
+                if size > 500_000:
+                    yield made()
+                    out, size = [], 0
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            if held[0][0][0] == held[-1][0][-1]:
+                continue
+            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
+            yield from solve([x[:last] for x in cols])
+            held = [[x[last:] for x in cols]]
+        if held:
+            yield from solve([np.concatenate(x) for x in zip(*held, strict=True)])
         if size:
             yield made()
 
@@ -408,10 +412,10 @@ def _crossing(similarity: float):
 
 
 def _similar(rows: DataFrame, sig: DataFrame, todo: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the links (a, b) of keys whose whole shingle sets are similar."""
+    """Those of the links (a, b) of keys whose whole shingle sets are similar, as (u, v)."""
     involved = todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct().join(sig.select("key", "text_key"), "key")
     texts = rows.withColumn("text_key", F.md5("text")).join(involved, "text_key").dropDuplicates(["text_key"])
-    sets = cut(texts.select("key", _shingle_set_udf(words)(F.col("text").cast("binary")).alias("set")))
+    sets = stored(texts.select("key", _shingle_set_udf(words)(F.col("text").cast("binary")).alias("set")), "sets")
     both = (todo.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
             .join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
             .withColumn("common", F.size(F.array_intersect("sa", "sb"))))
@@ -419,71 +423,102 @@ def _similar(rows: DataFrame, sig: DataFrame, todo: DataFrame, words: int, simil
     return cut(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def _tree_links(sig: DataFrame, radius: int, bands: int, band_bits: int, tree_size: int) -> DataFrame:
-    """Links (a, b) of keys that share a band and lie within the radius; a forest of them in large trees."""
-    every = cut(sig.select("key", F.col("fp")[0].alias("f")))
-    # equal fingerprints of different texts are candidates as well: nodes are fingerprints here, texts below
+def _tree_links(sig: DataFrame, labels: DataFrame | None, bands: range, band_bits: int, radius: int, tree_size: int) -> DataFrame:
+    """Links (a, b) of keys of different label that share a band and whose fingerprints lie within the radius.
+
+    A shard that is too full is dealt to several trees by hash, and the shard's least fingerprint
+    is in each of them; what these trees don't connect is left to the exact search.
+    """
     def band(i: int) -> Column:
         lo, off = divmod(i * band_bits, 64)
         x = F.shiftrightunsigned(F.col("fp")[1 + lo], off)
         if off + band_bits > 64:
             x = x.bitwiseOR(F.shiftleft(F.col("fp")[2 + lo], 64 - off))
         return F.xxhash64(F.lit(i), x.bitwiseAND(F.lit((1 << band_bits) - 1)))
-    keyed = sig.select(F.explode(F.array(*[band(i) for i in range(bands)])).alias("shard"), F.col("fp")[0].alias("f")).distinct()
-    pairs = linked(keyed, radius, tree_size)
-    reps = every.groupBy("f").agg(F.min("key").alias("key"))
-    same = every.join(reps.select("f", F.col("key").alias("rep")), "f").where("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    across = (pairs.join(reps.select(F.col("f").alias("u"), F.col("key").alias("a")), "u")
-              .join(reps.select(F.col("f").alias("v"), F.col("key").alias("b")), "v").select("a", "b"))
-    return cut(same.union(across).distinct())
 
+    named = sig.withColumn("label", F.xxhash64("key"))
+    if labels is not None:
+        named = sig.join(labels.select(F.col("node").alias("key"), F.xxhash64("label").alias("label")), "key", "left").withColumn("label", F.coalesce("label", F.xxhash64("key")))
+    # texts of one fingerprint are one node, named as the least of them; here they are linked to it
+    node = named.groupBy(F.col("fp")[0].alias("f")).agg(F.min(F.struct("key", "label")).alias("r"), F.count("*").alias("n"))
+    node = stored(node.select("f", "r.key", "r.label", "n"), "nodes")
+    same = named.select(F.col("fp")[0].alias("f"), "key").join(node.where("n > 1").select("f", F.col("key").alias("rep")), "f").where("key <> rep")
+    keyed = stored(named.select(F.explode(F.array(*[band(i) for i in bands])).alias("shard"), F.col("fp")[0].alias("f")).distinct(), "shards")
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("f").alias("least")).where("n > 1")
+    trees = F.ceil(F.col("n") / tree_size)
+    rows = keyed.join(sizes.select("shard", "n"), "shard").select(F.xxhash64("shard", F.pmod(F.xxhash64("f"), trees)).alias("g"), "f")
+    led = sizes.where(F.col("n") > tree_size).select("shard", F.col("least").alias("f"), F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("tree"))
+    rows = rows.union(led.select(F.xxhash64("shard", "tree"), "f")).join(node.select("f", "label"), "f")
+    pairs = _searched(rows, F.col("g"), radius, "label").distinct()
+    across = (pairs.join(node.select(F.col("f").alias("u"), F.col("key").alias("a")), "u")
+              .join(node.select(F.col("f").alias("v"), F.col("key").alias("b")), "v").select("a", "b"))
+    return cut(across.union(same.select(F.col("key").alias("a"), F.col("rep").alias("b")) if labels is None else across.limit(0)))
+
+
+def _prefix_links(sig: DataFrame, labels: DataFrame, similarity: float, most: int) -> DataFrame:
+    """All links (a, b) of keys of different label that share a prefix shingle and can be that similar.
+
+    Shingles whose texts have one label need no search.  A shingle with more than ``most`` texts is
+    searched in blocks: texts of its most frequent label stay in their block, the others also
+    visit every other block.
+    """
+    own = stored(sig.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
+                 .select("key", F.xxhash64("key").alias("id"), F.xxhash64(F.coalesce("label", "key")).alias("label"), "n", "t"), "prefixes")
+    each = own.select(F.explode("t").alias("t"), "id", "label", "n")
+    by = each.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
+    met = each.join(by.where("k > 1").select("t", F.ceil(F.col("m") / most).alias("blocks"), F.col("top.label").alias("top")), "t")
+    home = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    homes = met.select(F.xxhash64("t", home).alias("g"), "id", "label", "n", F.lit(False).alias("guest"))
+    tours = (met.where("blocks > 1 and label <> top").withColumn("home", home).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .where("at <> home").select(F.xxhash64("t", "at").alias("g"), "id", "label", "n", F.lit(True).alias("guest")))
+    cross = (homes.union(tours).repartition(parts(sig.sparkSession), "g").sortWithinPartitions("g")
+             .mapInArrow(_crossing(similarity), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")))
+
+    # what two sets have in common is in both prefixes, or in the rest of the set whose prefix ends first
+    def end(x: str) -> DataFrame:
+        return own.select(F.col("id").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.size("t")).alias(f"r{x}"))
+
+    common = F.col("c") + F.greatest("ra", "rb")
+    return cut(cross.join(end("a"), "a").join(end("b"), "b").where(common + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")))
+               .select(F.col("ka").alias("a"), F.col("kb").alias("b")))
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 72,
-                   band_bits: int = 20, tree_size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_key, group) of every text that has a near copy; text_key: md5 of the text.
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 32,
+                   band_bits: int = 24, tree_size: int = 512, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text_key, group) of every text; text_key: md5 of the text.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     ``similarity``; texts with the same words are one node.  First candidates come from the trees:
     texts that share one of ``bands`` bands of ``band_bits`` further SimHash bits are in one
     shard, and its BK-trees give a forest of those whose fingerprints differ in at most ``radius``
-    bits.  Every candidate link is checked on the whole shingle sets, and only checked links make
-    components.
+    bits.  A few bands come first; the others look only for links between the components that
+    these left.  Every candidate link is checked on the whole shingle sets, and only checked
+    links make components.
 
     The trees miss some pairs, so the rest is searched exactly: two sets of that similarity share
     a shingle of their prefixes (see ``prefix``).  Pairs that share one, lie in different
     components of checked links and are of fitting size are checked as well, all of them.
     """
     rows = narrow(docs, id_col, text_col).select(F.coalesce(text_col, F.lit("")).alias("text"))
-    n_words = 1 + -(-bands * band_bits // 64)
-    sig = (rows.select(F.md5("text").alias("text_key"), _signature_udf(words, n_words)(F.col("text").cast("binary")).alias("s"))
-           .select("text_key", "s.key", "s.fp"))
-    sig = cut(sig.groupBy("key").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.collect_set("text_key").alias("texts")))
     spark = docs.sparkSession
-    near = _tree_links(sig, radius, bands, band_bits, tree_size)
-    release(spark)
-    good = _similar(rows, sig, near, words, similarity)
-    release(spark)
-    labels = connected_components(good)
-
+    n_words = 1 + -(-bands * band_bits // 64)
     often, counts = _counted(rows, words, 16, 100_000)
-    found = rows.select(F.md5("text").alias("text_key"), _prefix_udf(words, similarity, often, counts)(F.col("text").cast("binary")).alias("p"))
-    own = stored(found.join(sig.select("key", "text_key"), "text_key").dropDuplicates(["text_key"])
-                 .select("key", F.xxhash64("key").alias("id"), "p.n", "p.t"), "prefixes")
+    signature = _signature_udf(words, n_words, similarity, often, counts)
+    seen = stored(rows.select(F.md5("text").alias("text_key"), signature(F.col("text").cast("binary")).alias("s")), "signatures")
+    texts = seen.select("text_key", "s.key").distinct()
+    sig = stored(seen.groupBy("s.key").agg(F.min("text_key").alias("text_key"), F.first("s").alias("s")).select("key", "text_key", "s.fp", "s.n", "s.t"), "texts")
     release(spark)
-    n = parts(spark)
-    met = stored(own.select(F.explode("t").alias("t"), "id").repartition(n, "t").mapInArrow(_shared, "t int, id long"), "met")
+    good, labels = None, None
+    few = min(bands, 4)
+    for some in (range(few), range(few, bands)):
+        if len(some):
+            found = _similar(rows, sig, _tree_links(sig, labels, some, band_bits, radius, tree_size), words, similarity)
+            good = found if good is None else good.union(found)
+            labels = connected_components(good)
+            release(spark)
+    labels = connected_components(good.union(_similar(rows, sig, _prefix_links(sig, labels, similarity, most), words, similarity)))
     release(spark)
-    nodes = own.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("id", F.xxhash64(F.coalesce("label", "key")).alias("label"), "n")
-    cross = met.join(nodes, "id").select("t", "id", "label", "n").repartition(n, "t").mapInArrow(_crossing(similarity), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    # what two sets have in common is in both prefixes, or in the rest of the set whose prefix ends first
-    def end(x: str) -> DataFrame:
-        return own.select(F.col("id").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.size("t")).alias(f"r{x}"))
-    most = F.col("c") + F.greatest("ra", "rb")
-    todo = (cross.join(end("a"), "a").join(end("b"), "b").where(most + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")))
-            .select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    labels = connected_components(good.union(_similar(rows, sig, cut(todo), words, similarity)))
-    grouped = sig.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
-    return (grouped.select(F.explode("texts").alias("text_key"), F.coalesce("label", "key").alias("group")))
+    return texts.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("text_key", F.coalesce("label", "key").alias("group"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
