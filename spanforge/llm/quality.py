@@ -44,7 +44,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     again[1:] = word[1:] == word[:-1]
     again[first[first < len(s)]] = False
     yield np.zeros(len(s), np.int32), again, first  # bucket 0: a token that repeats the one before
-    for bucket, ok in grams(flat, blank, SIZES, BUCKET_BITS):
+    # a blank before the first text, so that each text begins with the blank before it
+    for bucket, ok in grams(np.append(np.uint8(0x20), flat), np.append(True, blank), SIZES, BUCKET_BITS):
         yield bucket, ok, offsets[:-1]
 
 

@@ -58,10 +58,10 @@ class Bags:
         """(buckets, which of them count, first place of each sentence) of each kind of feature."""
         word = (span_hash(self.low, self.s, self.e) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
         yield word, np.ones(len(word), bool), self.begin
-        flat = np.where(self.blank, np.uint8(0x20), self.low)
-        start = np.maximum(self.s[self.begin] - 1, 0)  # runs that begin with the blank before a word are the word's
-        for bucket, ok in grams(flat, self.blank, SIZES, BUCKET_BITS):
-            yield bucket, ok, start
+        # with a blank before the first text; runs that begin with the blank before a word are the word's
+        flat = np.append(np.uint8(0x20), np.where(self.blank, np.uint8(0x20), self.low))
+        for bucket, ok in grams(flat, np.append(True, self.blank), SIZES, BUCKET_BITS):
+            yield bucket, ok, self.s[self.begin]
 
 
 class Model:
