@@ -8,6 +8,10 @@ no pre-token looks further ahead, and stops at the first old leaf's edge behind
 which the new splitting stands too; from there on it can't differ.  Only that region is encoded
 again, and only the sums above its leaves are updated.
 
+``trees`` encodes each text once and stores it with its leaves as a table in the shared folder;
+``recounted`` applies edits to rows of that table and encodes nothing but the touched regions.
+Its result holds the new text and leaves, and may be stored as the next state of the table.
+
 Defined results: a null or empty text has 0 tokens; an edit is clipped to the text that it finds;
 edits apply in their order; repeated rows are counted each; an empty table gives an empty
 result; further columns are ignored.
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frame import narrow, table
+from ._scratch import stored
 
 LEAF = 64
 
@@ -106,6 +111,12 @@ class SegmentTree:
     def chars(self) -> int:
         return int(self.sums[1, 0])
 
+    def kept(self) -> np.ndarray:
+        """(characters, tokens) of the leaves, to be stored; empty ones are left out."""
+        own = self.sums[self.n : self.n + self.leaves]
+        own = own[own[:, 0] > 0]
+        return own if len(own) else np.zeros((1, 2), np.int64)
+
     def leaf_at(self, char: int) -> tuple[int, int]:
         """The last leaf that starts at or before the character, and where it starts."""
         node, start = 1, 0
@@ -154,43 +165,71 @@ class SegmentTree:
 
 
 EDIT = "array<struct<start:bigint,deleted:bigint,inserted:string>>"
-_RESULT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_tokens", "n_leaves", "n_tokens_after", "n_chars_after", "leaves_encoded", "chars_encoded")])
+TREE = T.StructType([T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("tokens", T.ArrayType(T.IntegerType()))])
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
+
+
+def _tree_udf(path: str, leaf: int):
+    @F.arrow_udf(TREE)
+    def build(texts: pa.Array) -> pa.Array:
+        pieces = counter(path)
+        got = [pieces.leaves(t.as_py() or "", leaf) for t in texts]
+        return pa.StructArray.from_arrays([_lists([g[0] for g in got]), _lists([g[1] for g in got])], TREE.names)
+
+    return build
+
+
+def trees(docs: DataFrame, path: str | None = None, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A stored table (id, text, tree): the characters and tokens of every ``leaf`` pre-tokens of each text."""
+    rows = narrow(docs, id_col, text_col)
+    return stored(rows.withColumn("tree", _tree_udf(path or ranks_path(), leaf)(F.col(text_col))), "trees")
+
+
+_RESULT = T.StructType([*[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_leaves", "n_tokens_after", "n_chars_after", "leaves_encoded", "chars_encoded")],
+                        T.StructField("text", T.StringType()), T.StructField("tree", TREE)])
 
 
-def _count_udf(path: str, leaf: int):
+def _recount_udf(path: str):
     @F.arrow_udf(_RESULT)
-    def count(texts: pa.Array, edits: pa.Array) -> pa.Array:
-        pieces, rows = counter(path), []
-        for t, own in zip(texts, edits, strict=True):
-            text = t.as_py() or ""
-            tree = SegmentTree.of(text, pieces, leaf)
-            before, leaves, encoded, chars = tree.tokens, tree.leaves, 0, 0
-            for e in own.as_py() or ():
+    def recount(texts: pa.Array, own: pa.Array, edits: pa.Array) -> pa.Array:
+        pieces, rows, new, after = counter(path), [], [], []
+        for t, kept, todo in zip(texts, own, edits, strict=True):
+            text, kept = t.as_py() or "", kept.as_py()
+            tree = SegmentTree(np.array(kept["chars"], np.int64), np.array(kept["tokens"], np.int64))
+            before, leaves, encoded, chars = tree.tokens, tree.leaves if text else 0, 0, 0
+            for e in todo.as_py() or ():
                 text, a, b = tree.edit(text, e["start"] or 0, e["deleted"] or 0, e["inserted"] or "", pieces)
                 encoded, chars = encoded + a, chars + b
-            rows.append((before, leaves if len(t.as_py() or "") else 0, tree.tokens, tree.chars, encoded, chars))
+            rows.append((before, leaves, tree.tokens, tree.chars, encoded, chars))
+            new.append(text)
+            after.append(tree.kept())
         cols = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], _RESULT.names)
+        tree = pa.StructArray.from_arrays([_lists([x[:, 0] for x in after]), _lists([x[:, 1] for x in after])], TREE.names)
+        return pa.StructArray.from_arrays([*[pa.array(c, pa.int64()) for c in cols], pa.array(new, pa.string()), tree], _RESULT.names)
 
-    return count
+    return recount
 
 
-def counted(docs: DataFrame, edits: Column, path: str | None = None, leaf: int = LEAF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, n_leaves, n_tokens_after, n_chars_after, leaves_encoded, chars_encoded).
+def recounted(kept: DataFrame, edits: Column, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, n_leaves, n_tokens_after, n_chars_after, leaves_encoded, chars_encoded, text, tree).
 
-    edits: a column of the type ``EDIT`` over docs' columns id_col and text_col (or of a table
-    that was joined to them).
+    kept: rows of ``trees`` (or an earlier result of this), perhaps with a column of the type
+    ``EDIT`` joined to them; edits: that column or another over kept's columns.
     """
-    rows = docs.select(id_col, text_col, edits.cast(EDIT).alias("_edits"))
-    return rows.select(id_col, _count_udf(path or ranks_path(), leaf)(text_col, "_edits").alias("r")).select(id_col, "r.*")
+    rows = kept.select(id_col, text_col, "tree", edits.cast(EDIT).alias("_edits"))
+    found = rows.select(id_col, _recount_udf(path or ranks_path())(F.col(text_col), F.col("tree"), F.col("_edits")).alias("r"))
+    return found.select(id_col, *[F.col("r")[n].alias(n if n != "text" else text_col) for n in _RESULT.names])
 
 
 def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the edits (id, seq, start, deleted, inserted) of each id, in order, as column edits."""
+    """Rows of ``trees`` with the edits (id, seq, start, deleted, inserted) of each id, in order, as column edits."""
     own = (edits.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("seq", "start", "deleted", "inserted"))).alias("e"))
            .select(F.col(id_col).alias("_id"), F.transform("e", lambda x: F.struct(x["start"].alias("start"), x["deleted"].alias("deleted"), x["inserted"].alias("inserted"))).alias("edits")))
-    d = narrow(docs, id_col, text_col)
-    return d.join(own, d[id_col] == own["_id"], "left").drop("_id")
+    return docs.join(own, docs[id_col] == own["_id"], "left").drop("_id")
 
 
 def revision(id_col: str, text_col: str) -> Column:
@@ -206,5 +245,5 @@ def revision(id_col: str, text_col: str) -> Column:
 
 
 def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = narrow(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return counted(docs, revision("doc_id", "text"))
+    kept = trees(table(spark, sf_dir, "documents"))
+    return recounted(kept, revision("doc_id", "text")).drop("text", "tree")
