@@ -87,7 +87,7 @@ def _halves(rows: DataFrame, width: int, length: int) -> DataFrame:
     first = (F.col("lead") - far).cast("int")
     shared = F.col("ctx").substr((F.col("lead") - F.col("cell") * width).cast("int") + 1, F.lit(length - width + 1))
     return cells.select(
-        "h", "i", (F.col("lo") + first).cast("int").alias("lo"), far.cast("int").alias("lead"),
+        "u", (F.col("lo") + first).cast("int").alias("lo"), far.cast("int").alias("lead"),
         F.xxhash64("key", "cell", shared).alias("key"), F.col("ctx").substr(first + 1, (far - near + length).cast("int")).alias("ctx"))
 
 
@@ -153,14 +153,14 @@ def _kept_udf(length: int):
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, core: int = CORE, most: int = 256, limit: int = 1 << 20) -> DataFrame:
-    """(h, i, first, last): runs of windows of the distinct texts that also start elsewhere."""
+    """(u, first, last): runs of windows of the distinct texts (u, t) that also start elsewhere."""
     spark = texts.sparkSession
-    found = stored(texts.select("h", "i", F.explode(_anchor_udf(length, core)("t")).alias("a")).select("h", "i", "a.*"), "anchors")
+    found = stored(texts.select("u", F.explode(_anchor_udf(length, core)("t")).alias("a")).select("u", "a.*"), "anchors")
     shared = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    own = found.join(shared, "key").groupBy("h", "i").agg(F.collect_list(F.struct("key", "place", "lo", "hi")).alias("a"))
-    cuts = texts.join(own, ["h", "i"]).select("h", "i", "t", F.explode("a").alias("a"))
+    own = found.join(shared, "key").groupBy("u").agg(F.collect_list(F.struct("key", "place", "lo", "hi")).alias("a"))
+    cuts = texts.join(own, "u").select("u", "t", F.explode("a").alias("a"))
     rows = stored(cuts.select(
-        "h", "i", "a.lo", (F.col("a.place") - F.col("a.lo")).alias("lead"), "a.key",
+        "u", "a.lo", (F.col("a.place") - F.col("a.lo")).alias("lead"), "a.key",
         F.col("t").substr(F.col("a.lo") + 1, F.col("a.hi") - F.col("a.lo") + length).alias("ctx")), "contexts")
     width, cold, marks = length - core + 1, [], []
     while True:
@@ -173,9 +173,9 @@ def repeats(texts: DataFrame, length: int = LENGTH, core: int = CORE, most: int
         # copies of a context are repeats as a whole; one of them goes on, for the others to match
         copied = rows.join(hot, "key").withColumn("ctx_key", F.md5("ctx"))
         alike = stored(copied.groupBy("key", "ctx").agg(
-            F.count("*").alias("m"), F.min(F.struct("h", "i", "lo", "lead")).alias("one")), "alike")
+            F.count("*").alias("m"), F.min(F.struct("u", "lo", "lead")).alias("one")), "alike")
         marks.append(copied.join(alike.where("m > 1").select("key", F.md5("ctx").alias("ctx_key")), ["key", "ctx_key"])
-                     .select("h", "i", F.col("lo").alias("first"), (F.col("lo") + F.length("ctx") - length).alias("last")))
+                     .select("u", F.col("lo").alias("first"), (F.col("lo") + F.length("ctx") - length).alias("last")))
         width = -(-width // 2)
         split = stored(_halves(alike.select("one.*", "key", "ctx"), width, length), "contexts")
         live = split.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -185,8 +185,8 @@ def repeats(texts: DataFrame, length: int = LENGTH, core: int = CORE, most: int
         once = part.groupBy("key", "ctx").agg(F.count("*").alias("m"))
         hits = (once.repartition(n, "key").sortWithinPartitions("key").select("key", "ctx", "m")
                 .mapInArrow(_index_run(length, limit), "key long, ctx_key string, first int, last int"))
-        marks.append(part.select("h", "i", "lo", "key", F.md5("ctx").alias("ctx_key")).join(hits, ["key", "ctx_key"])
-                     .select("h", "i", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")))
+        marks.append(part.select("u", "lo", "key", F.md5("ctx").alias("ctx_key")).join(hits, ["key", "ctx_key"])
+                     .select("u", (F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")))
     out = marks[0]
     for m in marks[1:]:
         out = out.union(m)
@@ -195,20 +195,22 @@ def repeats(texts: DataFrame, length: int = LENGTH, core: int = CORE, most: int
 
 def deduplicated(docs: DataFrame, length: int = LENGTH, core: int = CORE, most: int = 256, id_col: str = "doc_id", text_col: str = "text",
                  with_spans: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, spans]) of every row."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats[, spans]) of every row."""
     rows = keyed(docs, id_col, text_col)
     texts = distinct_texts(rows, length)
-    marks = repeats(texts, length, core, most).groupBy("h", "i").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.length("t") - length).alias("last")))
-    judged = (texts.join(marks, ["h", "i"], "left")
-              .withColumn("marks", F.when(F.col("copies") > 1, whole).otherwise(F.col("marks"))).where("marks is not null")
-              .withColumn("k", _kept_udf(length)("t", "marks")))
-    result = cut(judged.select("h", F.sha2("t", 256).alias("sha"), "k.*"))
-    known = rows.select("id", "h", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
-    out = known.join(result, ["h", "sha"], "left")
-    cols: list[Column] = [F.col("id").alias(id_col), F.col("n_bytes"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-                          F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256")]
-    return out.select(*cols, *([F.coalesce("spans", F.array()).alias("spans")] if with_spans else []))
+    marks = repeats(texts, length, core, most).groupBy("u").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    result = cut(texts.join(marks, "u").select("h", "m", _kept_udf(length)("t", "marks").alias("k")).select("h", "m", "k.*"))
+    copies = rows.groupBy("h", "m").agg(F.count("*").alias("c")).where("c > 1").select("h", "m", F.lit(True).alias("copied"))
+    known = rows.select("id", "h", "m", F.length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
+    out = known.join(result, ["h", "m"], "left").join(copies, ["h", "m"], "left")
+    gone = F.coalesce("copied", F.lit(False)) & (F.col("n_bytes") >= length)  # all bytes of a text with copies are repeats
+    n_removed = F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    cols: list[Column] = [F.col("id").alias(id_col), F.col("n_bytes"), n_removed.alias("n_removed"),
+                          F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+                          F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+                          (n_removed > 0).alias("has_repeats")]
+    spans = F.when(gone, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.coalesce("spans", F.array()))
+    return out.select(*cols, *([spans.alias("spans")] if with_spans else []))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
