@@ -40,6 +40,8 @@ from ._bytes import LOWER, mix
 from ._frame import Framed, narrow, table
 from ._graph import connected_components
 from ._scratch import cut, parts, release, stored
+from ._texts import distinct_texts
+from ._texts import keyed as hashed
 
 SEED = 42
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -283,12 +285,12 @@ def _shingle_set_udf(words: int):
 
 
 def _counted(rows: DataFrame, words: int, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of one text in ``share`` and their counts there, by hash.
+    """The most frequent shingles of one text (u, t) in ``share`` and their counts there, by hash.
 
     Only the order of shingles depends on them, no result does.
     """
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0)
-    n = cut(some.select(F.explode(_shingle_set_udf(words)(F.col("text").cast("binary"))).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 2"))
+    some = rows.where(F.pmod("u", F.lit(share)) == 0)
+    n = cut(some.select(F.explode(_shingle_set_udf(words)("t")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 2"))
     least, total = 1 << 62, 0
     for r in sorted(n.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r.n):
         total += r.m
@@ -313,28 +315,41 @@ def prefix(own: np.ndarray, similarity: float, often: np.ndarray, counts: np.nda
     return own[np.lexsort((own, rank))[:n]]
 
 
-SIGNATURE = T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType()))])
+SIGNATURE = T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("hot", T.ArrayType(T.IntegerType()))])
 
 
-def _signature_udf(words: int, n_words: int, similarity: float, often: np.ndarray, counts: np.ndarray):
-    """binary text -> (key of its words, fingerprint words, number of shingles, its prefix's shingles folded to 32 bits)."""
+def _folded(shingles: np.ndarray) -> np.ndarray:
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+
+
+def _signature_udf(words: int, n_words: int, similarity: float, often: np.ndarray, counts: np.ndarray, hot: int):
+    """binary text -> (key of its words, fingerprint words, number of shingles, its prefix's shingles
+    folded to 32 bits, those of them that the sample counts at least ``hot`` times)."""
+    many = _folded(often[counts >= hot])
+
     @F.arrow_udf(SIGNATURE)
     def signature(texts: pa.Array) -> pa.Array:
-        keys, fps, n, tokens, held, size = [], [], [], [], [], 0
+        keys, fps, n, cold, warm, held, size = [], [], [], [], [], [], 0
         for i, t in enumerate(texts):
             t = t.as_py() or b""
             keys.append(xxhash.xxh3_128_hexdigest(b" ".join(t.translate(LOWER).split())))
             own = np.unique(shingle_hashes(t, words))
             n.append(len(own))
-            tokens.append(np.unique((prefix(own, similarity, often, counts) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+            tokens = _folded(prefix(own, similarity, often, counts))
+            frequent = np.isin(tokens, many)
+            cold.append(tokens[~frequent])
+            warm.append(tokens[frequent])
             held.append(own)
             size += len(own)
             if size > 100_000 or len(held) >= 256 or i == len(texts) - 1:
                 fps.append(majority(held, n_words))
                 held, size = [], 0
+
+        def lists(x: list[np.ndarray]) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *x])))
+
         fp = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_words), pa.array(np.concatenate(fps).ravel().view(np.int64) if fps else np.zeros(0, np.int64)))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int32)))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.string()), fp, pa.array(n, pa.int32()), lists], SIGNATURE.names)
+        return pa.StructArray.from_arrays([pa.array(keys, pa.string()), fp, pa.array(n, pa.int32()), lists(cold), lists(warm)], SIGNATURE.names)
 
     return signature
 
@@ -411,81 +426,87 @@ def _crossing(similarity: float):
     return run
 
 
-def _similar(rows: DataFrame, sig: DataFrame, todo: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the links (a, b) of keys whose whole shingle sets are similar, as (u, v)."""
-    involved = todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct().join(sig.select("key", "text_key"), "key")
-    texts = rows.withColumn("text_key", F.md5("text")).join(involved, "text_key").dropDuplicates(["text_key"])
-    sets = stored(texts.select("key", _shingle_set_udf(words)(F.col("text").cast("binary")).alias("set")), "sets")
-    both = (todo.join(sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), "a")
-            .join(sets.select(F.col("key").alias("b"), F.col("set").alias("sb")), "b")
+def _similar(texts: DataFrame, todo: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the links (a, b) of texts whose whole shingle sets are similar, as (u, v)."""
+    involved = todo.select(F.col("a").alias("u")).union(todo.select("b")).distinct()
+    sets = stored(texts.join(involved, "u").select("u", _shingle_set_udf(words)("t").alias("set")), "sets")
+    both = (todo.join(sets.select(F.col("u").alias("a"), F.col("set").alias("sa")), "a")
+            .join(sets.select(F.col("u").alias("b"), F.col("set").alias("sb")), "b")
             .withColumn("common", F.size(F.array_intersect("sa", "sb"))))
     good = both.where(F.col("common") >= F.lit(similarity) * (F.size("sa") + F.size("sb") - F.col("common")))
     return cut(good.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def _labelled(sig: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """sig with the component of each text; without labels each is its own."""
+    if labels is None:
+        return sig.withColumn("label", F.col("u"))
+    return sig.join(labels.select(F.col("node").alias("u"), "label"), "u", "left").withColumn("label", F.coalesce("label", "u"))
+
+
 def _tree_links(sig: DataFrame, labels: DataFrame | None, bands: range, band_bits: int, radius: int, tree_size: int) -> DataFrame:
-    """Links (a, b) of keys of different label that share a band and whose fingerprints lie within the radius.
+    """Links (a, b) of texts of different label that share a band and whose fingerprints lie within the radius.
 
     A shard that is too full is dealt to several trees by hash, and the shard's least fingerprint
     is in each of them; what these trees don't connect is left to the exact search.
     """
     def band(i: int) -> Column:
         lo, off = divmod(i * band_bits, 64)
-        x = F.shiftrightunsigned(F.col("fp")[1 + lo], off)
+        x = F.shiftrightunsigned(F.col("r.fp")[1 + lo], off)
         if off + band_bits > 64:
-            x = x.bitwiseOR(F.shiftleft(F.col("fp")[2 + lo], 64 - off))
+            x = x.bitwiseOR(F.shiftleft(F.col("r.fp")[2 + lo], 64 - off))
         return F.xxhash64(F.lit(i), x.bitwiseAND(F.lit((1 << band_bits) - 1)))
 
-    named = sig.withColumn("label", F.xxhash64("key"))
-    if labels is not None:
-        named = sig.join(labels.select(F.col("node").alias("key"), F.xxhash64("label").alias("label")), "key", "left").withColumn("label", F.coalesce("label", F.xxhash64("key")))
-    # texts of one fingerprint are one node, named as the least of them; here they are linked to it
-    node = named.groupBy(F.col("fp")[0].alias("f")).agg(F.min(F.struct("key", "label")).alias("r"), F.count("*").alias("n"))
-    node = stored(node.select("f", "r.key", "r.label", "n"), "nodes")
-    same = named.select(F.col("fp")[0].alias("f"), "key").join(node.where("n > 1").select("f", F.col("key").alias("rep")), "f").where("key <> rep")
-    keyed = stored(named.select(F.explode(F.array(*[band(i) for i in bands])).alias("shard"), F.col("fp")[0].alias("f")).distinct(), "shards")
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min("f").alias("least")).where("n > 1")
+    named = _labelled(sig, labels).select("u", "label", "fp", F.col("fp")[0].alias("f"))
+    # texts of one fingerprint are one node, that of the least of them; the others are linked to it
+    node = stored(named.groupBy("f").agg(F.min(F.struct("u", "label", "fp")).alias("r"), F.count("*").alias("n")), "nodes")
+    keyed = node.select(F.explode(F.array(*[band(i) for i in bands])).alias("shard"), "f", F.col("r.label").alias("label"))
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.min(F.struct("f", "label")).alias("least")).where("n > 1")
     trees = F.ceil(F.col("n") / tree_size)
-    rows = keyed.join(sizes.select("shard", "n"), "shard").select(F.xxhash64("shard", F.pmod(F.xxhash64("f"), trees)).alias("g"), "f")
-    led = sizes.where(F.col("n") > tree_size).select("shard", F.col("least").alias("f"), F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("tree"))
-    rows = rows.union(led.select(F.xxhash64("shard", "tree"), "f")).join(node.select("f", "label"), "f")
+    rows = keyed.join(sizes.select("shard", "n"), "shard").select(F.xxhash64("shard", F.pmod(F.xxhash64("f"), trees)).alias("g"), "f", "label")
+    led = sizes.where(F.col("n") > tree_size).select("shard", "least", F.explode(F.sequence(F.lit(0).cast("long"), trees - 1)).alias("tree"))
+    rows = rows.union(led.select(F.xxhash64("shard", "tree"), "least.f", "least.label"))
     pairs = _searched(rows, F.col("g"), radius, "label").distinct()
-    across = (pairs.join(node.select(F.col("f").alias("u"), F.col("key").alias("a")), "u")
-              .join(node.select(F.col("f").alias("v"), F.col("key").alias("b")), "v").select("a", "b"))
-    return cut(across.union(same.select(F.col("key").alias("a"), F.col("rep").alias("b")) if labels is None else across.limit(0)))
+    of = node.select("f", F.col("r.u").alias("text"))
+    across = (pairs.join(of.select(F.col("f").alias("u"), F.col("text").alias("a")), "u")
+              .join(of.select(F.col("f").alias("v"), F.col("text").alias("b")), "v").select("a", "b"))
+    if labels is not None:
+        return cut(across)
+    same = named.select("f", F.col("u").alias("a")).join(node.where("n > 1").select("f", F.col("r.u").alias("b")), "f").where("a <> b")
+    return cut(across.union(same.select("a", "b")))
 
 
 def _prefix_links(sig: DataFrame, labels: DataFrame, similarity: float, most: int) -> DataFrame:
-    """All links (a, b) of keys of different label that share a prefix shingle and can be that similar.
+    """All links (a, b) of texts of different label that share a prefix shingle and can be that similar.
 
-    Shingles whose texts have one label need no search.  A shingle with more than ``most`` texts is
-    searched in blocks: texts of its most frequent label stay in their block, the others also
-    visit every other block.
+    Frequent shingles are counted first: those whose texts have one label need no search, and one
+    with more than ``most`` texts is searched in blocks: texts of its most frequent label stay in
+    their block, the others also visit every other block.
     """
-    own = stored(sig.join(labels.select(F.col("node").alias("key"), "label"), "key", "left")
-                 .select("key", F.xxhash64("key").alias("id"), F.xxhash64(F.coalesce("label", "key")).alias("label"), "n", "t"), "prefixes")
-    each = own.select(F.explode("t").alias("t"), "id", "label", "n")
-    by = each.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-    met = each.join(by.where("k > 1").select("t", F.ceil(F.col("m") / most).alias("blocks"), F.col("top.label").alias("top")), "t")
-    home = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    homes = met.select(F.xxhash64("t", home).alias("g"), "id", "label", "n", F.lit(False).alias("guest"))
+    own = stored(_labelled(sig, labels).select("u", "label", "n", "t", "hot"), "prefixes")
+    cold = own.select(F.explode("t").alias("t"), "u", "label", "n").select(F.col("t").cast("long").alias("g"), "u", "label", "n", F.lit(False).alias("guest"))
+    hot = own.select(F.explode("hot").alias("t"), "u", "label", "n")
+    by = hot.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
+    by = stored(by.where("k > 1").select("t", F.ceil(F.col("m") / most).alias("blocks"), F.col("top.label").alias("top")), "frequent")
+    met = hot.join(by, "t")
+    home = F.pmod(F.xxhash64("u"), F.col("blocks"))
+    homes = met.select(F.xxhash64("t", home).alias("g"), "u", "label", "n", F.lit(False).alias("guest"))
     tours = (met.where("blocks > 1 and label <> top").withColumn("home", home).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .where("at <> home").select(F.xxhash64("t", "at").alias("g"), "id", "label", "n", F.lit(True).alias("guest")))
-    cross = (homes.union(tours).repartition(parts(sig.sparkSession), "g").sortWithinPartitions("g")
+             .where("at <> home").select(F.xxhash64("t", "at").alias("g"), "u", "label", "n", F.lit(True).alias("guest")))
+    cross = (cold.union(homes).union(tours).repartition(parts(sig.sparkSession), "g").sortWithinPartitions("g")
              .mapInArrow(_crossing(similarity), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")))
 
     # what two sets have in common is in both prefixes, or in the rest of the set whose prefix ends first
     def end(x: str) -> DataFrame:
-        return own.select(F.col("id").alias(x), F.col("key").alias(f"k{x}"), F.col("n").alias(f"n{x}"), (F.col("n") - F.size("t")).alias(f"r{x}"))
+        return own.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.size("t") - F.size("hot")).alias(f"r{x}"))
 
     common = F.col("c") + F.greatest("ra", "rb")
-    return cut(cross.join(end("a"), "a").join(end("b"), "b").where(common + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")))
-               .select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    return cut(cross.join(end("a"), "a").join(end("b"), "b").where(common + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb"))).select("a", "b"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 32,
                    band_bits: int = 24, tree_size: int = 512, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text_key, group) of every text; text_key: md5 of the text.
+    """(h, m, group) of every text; h and m: its 64-bit hash and md5.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     ``similarity``; texts with the same words are one node.  First candidates come from the trees:
@@ -499,26 +520,28 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     a shingle of their prefixes (see ``prefix``).  Pairs that share one, lie in different
     components of checked links and are of fitting size are checked as well, all of them.
     """
-    rows = narrow(docs, id_col, text_col).select(F.coalesce(text_col, F.lit("")).alias("text"))
     spark = docs.sparkSession
-    n_words = 1 + -(-bands * band_bits // 64)
-    often, counts = _counted(rows, words, 16, 100_000)
-    signature = _signature_udf(words, n_words, similarity, often, counts)
-    seen = stored(rows.select(F.md5("text").alias("text_key"), signature(F.col("text").cast("binary")).alias("s")), "signatures")
-    texts = seen.select("text_key", "s.key").distinct()
-    sig = stored(seen.groupBy("s.key").agg(F.min("text_key").alias("text_key"), F.first("s").alias("s")).select("key", "text_key", "s.fp", "s.n", "s.t"), "texts")
+    texts = distinct_texts(hashed(docs, id_col, text_col), 0)
     release(spark)
+    n_words = 1 + -(-bands * band_bits // 64)
+    often, counts = _counted(texts, words, 16, 100_000)
+    signature = _signature_udf(words, n_words, similarity, often, counts, max(3, most // 16))
+    seen = stored(texts.select("u", "h", "m", signature("t").alias("s")), "signatures")
+    one = seen.groupBy("s.key").agg(F.min("u").alias("node"))
+    sig = seen.select("u", "s.fp", "s.n", "s.t", "s.hot").join(one.select(F.col("node").alias("u")), "u", "left_semi")
+    sig = stored(sig, "nodes")
     good, labels = None, None
     few = min(bands, 4)
     for some in (range(few), range(few, bands)):
         if len(some):
-            found = _similar(rows, sig, _tree_links(sig, labels, some, band_bits, radius, tree_size), words, similarity)
+            found = _similar(texts, _tree_links(sig, labels, some, band_bits, radius, tree_size), words, similarity)
             good = found if good is None else good.union(found)
             labels = connected_components(good)
             release(spark)
-    labels = connected_components(good.union(_similar(rows, sig, _prefix_links(sig, labels, similarity, most), words, similarity)))
+    labels = connected_components(good.union(_similar(texts, _prefix_links(sig, labels, similarity, most), words, similarity)))
     release(spark)
-    return texts.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").select("text_key", F.coalesce("label", "key").alias("group"))
+    of = seen.select("h", "m", "s.key").join(one, "key")
+    return of.join(labels, "node", "left").select("h", "m", F.coalesce("label", "node").alias("group"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -527,13 +550,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     f = Framed(docs, id_col, text_col)
     ident, text = f.columns
     groups = similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
-    rank = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("_tk").alias("tk"))
-    key = F.concat_ws(":", F.coalesce(F.col(ident).cast("string"), F.lit("-")), F.col("_tk"))
-    slim = f.df.select(ident, F.md5(F.coalesce(text, F.lit(""))).alias("_tk"))
-    first = (slim.join(groups, slim["_tk"] == groups["text_key"]).groupBy("group").agg(F.min(rank).alias("w"))
-             .select(F.concat_ws(":", F.coalesce(F.col("w.id").cast("string"), F.lit("-")), F.col("w.tk")).alias("_key")))
-    return f.keep(lambda d: d.withColumn("_tk", F.md5(F.coalesce(text, F.lit("")))).withColumn("_key", key)
-                  .join(first, "_key", "left_semi").dropDuplicates(["_key"]))
+    rank = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("_m").alias("m"))
+    key = F.concat_ws(":", F.coalesce(F.col(ident).cast("string"), F.lit("-")), F.col("_m"))
+    t = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
+    slim = f.df.select(ident, F.xxhash64(t).alias("_h"), F.md5(t).alias("_m"))
+    first = (slim.join(groups, (slim["_h"] == groups["h"]) & (slim["_m"] == groups["m"])).groupBy("group").agg(F.min(rank).alias("w"))
+             .select(F.concat_ws(":", F.coalesce(F.col("w.id").cast("string"), F.lit("-")), F.col("w.m")).alias("_key")))
+    return f.keep(lambda d: d.withColumn("_m", F.md5(t)).withColumn("_key", key).join(first, "_key", "left_semi").dropDuplicates(["_key"]))
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
