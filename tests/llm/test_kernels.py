@@ -70,7 +70,7 @@ def test_surrogates_are_distinct_and_consistent():
     assert len({pii.surrogate(key, "card", f"{i:016d}") for i in range(3000)}) == 3000
     new, kinds = pii._replace("Mrs. Anna Kowalski, a.b@C1.org, +1 (377) 555-0271, 4111 1111 1111 1111. KOWALSKI again, a.b@c1.org", key, {}, {})
     assert kinds.count("name") == 3 and kinds.count("email") == 2 and "4111" not in new and "owalski" not in new
-    card = [int(c) for c in new.split("-")[1].split(", ")[1][:19] if c.isdigit()]
+    card = [int(c) for c in re.search(r"\d{4} \d{4} \d{4} \d{4}", new).group() if c.isdigit()]
     assert pii._luhn(card[:-1]) == card[-1]
     assert pii._replace("no data here", key, {}, {}) == ("no data here", []) and pii._replace(None, key, {}, {}) == (None, [])
 

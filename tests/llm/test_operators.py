@@ -55,7 +55,7 @@ def _brute_groups(sets, similarity):
 
 def _groups(spark, texts, **options):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    of = {r.text_key: r.group for r in simhash.similar_groups(df, **options).collect()}
+    of = {r.m: r.group for r in simhash.similar_groups(df, **options).collect()}
     group = [of[hashlib.md5(t.encode()).hexdigest()] for t in texts]
     return {frozenset(k for k, x in enumerate(group) if x == y) for y in group}
 
