@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ._scratch import cut
 
 
+#: Rows that a task of a round may have; a round's tables shrink to as few tasks as that allows.
+_ROWS = 200_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (u, v); label: the least node reachable.
 
@@ -20,20 +24,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select("u", "v").where("u is not null and v is not null and u <> v")
     both = cut(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    tasks = both.count() // _ROWS + 1
+    both = both.coalesce(tasks)
     state = cut(both.groupBy("u").agg(F.min("v").alias("m"))
-                .select(F.col("u").alias("node"), F.least("u", "m").alias("parent")))
+                .select(F.col("u").alias("node"), F.least("u", "m").alias("parent")).coalesce(tasks))
     while True:
         up = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        known = state.join(up, "parent").select("node", "parent", "grand")
-        near = (both.join(known.select(F.col("node").alias("v"), "grand"), "v")
-                .groupBy("u").agg(F.min("grand").alias("least")))
-        seen = known.join(near, known.node == near.u).select("node", "parent", F.least("grand", "least").alias("least"))
+        known = state.join(up, "parent").select("node", "parent", "grand").coalesce(tasks)
+        near = (both.join(known.select(F.col("node").alias("v"), "grand"), "v").coalesce(tasks)
+                .groupBy("u").agg(F.min("grand").alias("least")).coalesce(tasks))
+        seen = known.join(near, known.node == near.u).select("node", "parent", F.least("grand", "least").alias("least")).coalesce(tasks)
         better = (seen.select("node", "least")
                   .union(seen.select(F.col("parent").alias("node"), "least"))
-                  .groupBy("node").agg(F.min("least").alias("least")))
+                  .groupBy("node").agg(F.min("least").alias("least")).coalesce(tasks))
         after = cut(state.join(better, "node", "left")
                     .select("node", F.least("parent", F.coalesce("least", "parent")).alias("next"),
-                            (F.coalesce("least", "parent") < F.col("parent")).alias("moved")))
+                            (F.coalesce("least", "parent") < F.col("parent")).alias("moved")).coalesce(tasks))
         moved = not after.where("moved").isEmpty()
         state = after.select("node", F.col("next").alias("parent"))
         if not moved:

@@ -1,7 +1,8 @@
 """Intermediate results in the folder that all executors share.
 
 ``spark.checkpoint.dir`` is read from the session.  Only where neither it nor the
-context's checkpoint folder is set (as in local tests) a temporary folder is taken.
+context's checkpoint folder is set, a temporary folder is taken in local mode (as in tests);
+on a cluster that is an error, because other machines could not read it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
     return spark.sparkContext.getCheckpointDir()
 

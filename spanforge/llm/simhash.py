@@ -272,6 +272,43 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, tree_size:
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id", "n_copies")
 
 
+def near_reference(docs: DataFrame, reference: DataFrame, words: int = 4, radius: int = 4, most: int = 50_000,
+                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fingerprint, reference, distance): texts of docs within the radius of a fingerprint of a small table.
+
+    Here the shards' trees are broadcast: the reference has at most ``most`` distinct fingerprints,
+    or it is refused.  Null and empty texts have fingerprint zero on both sides.
+    """
+    one = fingerprint_udf(words)
+    refs = narrow(reference, text_col).select(one(F.col(text_col).cast("binary"))[0].alias("f")).distinct()
+    found = refs.limit(most + 1).select("f", block_shards(F.col("f"), radius, radius + 2).alias("s")).collect()
+    if len(found) > most:
+        raise ValueError(f"trees are broadcast for at most {most} fingerprints")
+    by: dict[int, list[int]] = {}
+    for r in found:
+        for shard in r.s:
+            by.setdefault(shard, []).append(r.f % 2**64)
+    trees = docs.sparkSession.sparkContext.broadcast({k: BKTree(np.array(v, np.uint64)) for k, v in by.items()})
+    kind = T.ArrayType(T.StructType([T.StructField("f", T.LongType()), T.StructField("d", T.IntegerType())]))
+
+    @F.arrow_udf(kind)
+    def search(f: pa.Array, shards: pa.Array) -> pa.Array:
+        out = []
+        for q, own in zip(f.to_pylist(), shards.to_pylist(), strict=True):
+            hit = {}
+            for s in own:
+                if (tree := trees.value.get(s)) is not None:
+                    _, node, d = tree.within(np.array([q], np.int64).view(np.uint64), radius)
+                    hit |= {tree.keys[i]: int(x) for i, x in zip(node.tolist(), d.tolist(), strict=True)}
+            out.append([{"f": k - 2**64 if k >= 2**63 else k, "d": d} for k, d in sorted(hit.items())])
+        return pa.array(out, pa.list_(pa.struct([("f", pa.int64()), ("d", pa.int32())])))
+
+    rows = narrow(docs, id_col, text_col).select(F.col(id_col), one(F.col(text_col).cast("binary"))[0].alias("_f"))
+    text = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return (rows.select(id_col, "_f", F.explode(search("_f", block_shards(F.col("_f"), radius, radius + 2))).alias("m"))
+            .select(id_col, text(F.col("_f")).alias("fingerprint"), text(F.col("m.f")).alias("reference"), F.col("m.d").alias("distance")))
+
+
 # --- documents of 0.8 similarity or more -------------------------------------------------
 
 def _shingle_set_udf(words: int):
@@ -358,8 +395,17 @@ def _signature_udf(words: int, n_words: int, similarity: float, often: np.ndarra
 _SMALL = 32
 
 
-def crossing(g: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, guest: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids of equal g and different label whose sizes n allow that Jaccard similarity.
+def needed(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """How many shingles the prefixes of two sets of these sizes share at least if the sets are that similar.
+
+    What both sets share is in both prefixes, or in the rest of the set whose prefix ends first.
+    """
+    rest = np.maximum(*[np.maximum(np.ceil(similarity * n - 1e-9) - 1, 0) for n in (na, nb)])
+    return np.maximum(np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-6) - rest, 1).astype(np.int32)
+
+
+def crossing(g: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, guest: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of ids of equal g and different label whose sizes n allow that Jaccard similarity, and what they need.
 
     Guests are compared with those that are at home in g, not with each other.
     """
@@ -371,39 +417,40 @@ def crossing(g: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, g
     for j in range(1, min(_SMALL, len(g))):
         i = np.flatnonzero((g[j:] == g[:-j]) & small[j:])
         i = i[(label[i] != label[i + j]) & (n[i] >= similarity * n[i + j] - 1e-9) & ~(guest[i] & guest[i + j])]
-        yield ids[i], ids[i + j]
+        yield ids[i], ids[i + j], needed(n[i], n[i + j], similarity)
     for k in np.flatnonzero(size > _SMALL):
         a, b = edge[k], edge[k + 1]
         last = np.searchsorted(n[a:b], n[a:b] / similarity + 1e-9, "right") + a
         for i in range(a, b - 1):
             to = slice(i + 1, last[i - a])
-            other = ids[to][(label[to] != label[i]) & ~(guest[to] & guest[i])]
-            if len(other):
-                yield np.full(len(other), ids[i]), other
+            ok = (label[to] != label[i]) & ~(guest[to] & guest[i])
+            if ok.any():
+                other = ids[to][ok]
+                yield np.full(len(other), ids[i]), other, needed(n[i], n[to][ok], similarity)
 
 
 def _crossing(similarity: float):
-    """Arrow batches (g, id, label, n, guest) sorted by g -> (a, b, c): pairs and how often they met."""
+    """Arrow batches (g, id, label, n, guest) sorted by g -> (a, b, c, need): pairs, how often they met and need to meet."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def made() -> pa.RecordBatch:
-            a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            a, b, need = (np.concatenate(x) for x in zip(*out, strict=True))
             a, b = np.minimum(a, b), np.maximum(a, b)
             order = np.lexsort((b, a))
-            a, b = a[order], b[order]
+            a, b, need = a[order], b[order], need[order]
             first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
             times = np.diff(np.append(first, len(a)))
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(times)], ["a", "b", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(times), pa.array(need[first])], ["a", "b", "c", "need"])
 
         def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal out, size
-            for a, b in crossing(*cols, similarity):
-                if len(a):
-                    out.append((a, b))
-                    size += len(a)
+            for found in crossing(*cols, similarity):
+                if len(found[0]):
+                    out.append(found)
+                    size += len(found[0])
                 if size > 500_000:
                     yield made()
                     out, size = [], 0
@@ -494,14 +541,9 @@ def _prefix_links(sig: DataFrame, labels: DataFrame, similarity: float, most: in
     tours = (met.where("blocks > 1 and label <> top").withColumn("home", home).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .where("at <> home").select(F.xxhash64("t", "at").alias("g"), "u", "label", "n", F.lit(True).alias("guest")))
     cross = (cold.union(homes).union(tours).repartition(parts(sig.sparkSession), "g").sortWithinPartitions("g")
-             .mapInArrow(_crossing(similarity), "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c")))
-
-    # what two sets have in common is in both prefixes, or in the rest of the set whose prefix ends first
-    def end(x: str) -> DataFrame:
-        return own.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.size("t") - F.size("hot")).alias(f"r{x}"))
-
-    common = F.col("c") + F.greatest("ra", "rb")
-    return cut(cross.join(end("a"), "a").join(end("b"), "b").where(common + 1e-6 >= F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb"))).select("a", "b"))
+             .mapInArrow(_crossing(similarity), "a long, b long, c long, need int").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")))
+    # shingles that are folded to the same 32 bits count once, so one less is enough
+    return cut(cross.where("c >= need - 1").select("a", "b"))
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 32,
@@ -524,8 +566,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     texts = distinct_texts(hashed(docs, id_col, text_col), 0)
     release(spark)
     n_words = 1 + -(-bands * band_bits // 64)
-    often, counts = _counted(texts, words, 16, 100_000)
-    signature = _signature_udf(words, n_words, similarity, often, counts, max(3, most // 16))
+    often, counts = _counted(texts, words, 4, 400_000)
+    signature = _signature_udf(words, n_words, similarity, often, counts, max(3, most // 4))
     seen = stored(texts.select("u", "h", "m", signature("t").alias("s")), "signatures")
     one = seen.groupBy("s.key").agg(F.min("u").alias("node"))
     sig = seen.select("u", "s.fp", "s.n", "s.t", "s.hot").join(one.select(F.col("node").alias("u")), "u", "left_semi")
