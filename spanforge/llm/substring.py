@@ -4,7 +4,7 @@ Every byte covered by a string of ``length`` bytes that starts anywhere else too
 
 1. *Distinct texts* go to a bucketed table; all bytes of a text with copies are repeats.
 2. *Anchors.*  Each window of ``length`` bytes selects the least hash of its runs of ``core``
-   bytes, the last one of equal ones.  The windows of one anchor are consecutive, so they are a
+   bytes (by its upper half), the last one of equal ones.  The windows of one anchor are consecutive, so they are a
    context; each window is in one context, and equal windows have contexts of equal key and lie
    at the same distance from their anchors.  Contexts whose key occurs once can't repeat.
 3. *Hot keys.*  A key with more than ``most`` different contexts is split by the distance of
@@ -53,13 +53,10 @@ def anchors(text: bytes, length: int, core: int) -> tuple[np.ndarray, np.ndarray
     n = len(b) - core + 1
     x = mix((h[core:] - h[:-core]) * powers(n)[1])
     w = length - core + 1
-    least = sliding_min(x, w)
-    # places by hash and place; a window's anchor is the last place of its least hash up to its end
-    order = np.argsort(x, kind="stable")
-    number = np.cumsum(np.concatenate(([0], x[order][1:] != x[order][:-1])))
-    stride = n + 1
-    own = number[np.searchsorted(x[order], least)] * stride + np.arange(len(least)) + w - 1
-    out = order[np.searchsorted(number * stride + order, own, side="right") - 1]
+    # half of the hash and the place in one number, so that the least of a window is its anchor, the last of equal ones
+    last = np.uint64(0xFFFFFFFF)
+    least = sliding_min((x & ~last) | (last - np.arange(n, dtype=np.uint64)), w)
+    out = (last - (least & last)).astype(np.int64)
     new = np.flatnonzero(np.concatenate(([True], out[1:] != out[:-1])))
     place = out[new]
     return x[place], place, new, np.append(new[1:], len(out)) - 1
