@@ -10,15 +10,17 @@
    the term's place in the window, are intersected; what is left are the exact starts.
    Proximity search takes the same lists and finds the least spans that hold all terms.
 
-The benchmark is worked through in blocks of at most ``block_words`` words, which bounds what
-is sent to the tasks; each block has its own postings column.  The corpus is never grouped or
-collected: documents stay where they are read, so frequent words, passages that many documents
-share and large groups of copies put no more than their own share on any task.
+The benchmark is worked through in blocks of at most ``block_words`` words, one after the other,
+each with its own passes and its own table of postings; so the driver and each task hold one
+block.  The corpus is never grouped or collected: documents stay where they are read, so frequent
+words, passages that many documents share and large groups of copies put no more than their own
+share on any task.  Only the hits of a text, keyed by its md5, are joined to its documents.
 
 Defined results: a null or empty text has no words and is not contaminated; repeated rows and
 repeated ids are judged row by row; items without words never occur; items with the same id
 are one item; an item with a null id makes hits but is not counted among the items; further
-columns are ignored or, in the filter, returned.  Words are compared by 64-bit hashes.
+columns are ignored or, in the filter, returned.  Words are compared by 64-bit hashes, all words
+of a window one by one, so a wrong hit needs as many collisions as the window has words.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +79,7 @@ class Block:
         self.items: list[tuple[object, np.ndarray]] = []
         found: dict[bytes, list[int]] = {}
         for (ident, _), h in zip(items, hashes, strict=True):
+            ident = None if ident is None else str(ident)
             n = self.vocabulary.numbers(h)
             if not len(n):
                 continue
@@ -209,26 +212,26 @@ class Lists:
         return out
 
 
-MATCHES = T.ArrayType(T.StructType([T.StructField("item", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+MATCHES = T.ArrayType(T.StructType([T.StructField("item", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def _as_matches(rows: list[list[tuple[int, int, int]]]) -> pa.Array:
+def _as_matches(rows: list[list[tuple[str | None, int, int]]]) -> pa.Array:
     return pa.array([[{"item": i, "start": a, "end": b} for i, a, b in r] for r in rows],
-                    pa.list_(pa.struct([("item", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])))
+                    pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
 
 
 def _phrases_udf(block: Block):
-    anchored, windows, df = block.anchored, block.windows, block.df
+    anchored, windows, df, ids = block.anchored, block.windows, block.df, [ident for ident, _ in block.items]
 
     @F.arrow_udf(MATCHES)
     def phrases(rows: pa.Array) -> pa.Array:
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(rows))]
+        out: list[list[tuple[str | None, int, int]]] = [[] for _ in range(len(rows))]
         for i, lists in Lists.each(rows):
             for term in lists.terms.tolist():
                 for w in anchored.get(term, ()):
                     terms, items = windows[w]
                     for a in lists.phrase(terms, df).tolist():
-                        out[i] += [(k, a, a + len(terms)) for k in items]
+                        out[i] += [(ids[k], a, a + len(terms)) for k in items]
         return _as_matches(out)
 
     return phrases
@@ -243,57 +246,64 @@ def _near_udf(block: Block, slack: int):
         for i, (_, terms) in enumerate(items):
             if df[terms].min() > 0:
                 by.setdefault(int(terms[np.argmin(df[terms])]), []).append(i)
-        out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(rows))]
+        out: list[list[tuple[str | None, int, int]]] = [[] for _ in range(len(rows))]
         for i, lists in Lists.each(rows):
-            out[i] = [(k, a, b) for t in lists.terms.tolist() for k in by.get(t, ()) for a, b in lists.near(items[k][1], slack)]
+            out[i] = [(items[k][0], a, b) for t in lists.terms.tolist() for k in by.get(t, ()) for a, b in lists.near(items[k][1], slack)]
         return _as_matches(out)
 
     return near
 
 
-def _blocks(benchmark: DataFrame, window: int, block_words: int, id_col: str, text_col: str) -> list[Block]:
-    """The benchmark's items in blocks of at most block_words words (or one item)."""
+def _blocks(benchmark: DataFrame, text: DataFrame, window: int, block_words: int, id_col: str, text_col: str) -> Iterator[Block]:
+    """The benchmark's items in blocks of at most block_words words (or one item), weighed by the corpus (t)."""
     rows = narrow(benchmark, id_col, text_col).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    out: list[Block] = []
     held: list[tuple[object, bytes]] = []
     size = 0
+
+    def made() -> Block:
+        block = Block(held, window)
+        df = np.zeros(len(block.vocabulary.keys), np.int64)
+        for r in text.mapInArrow(_df_udf(block.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            df[r.term] = r.n
+        block.weigh(df)
+        return block
+
     for r in rows.orderBy("id", "t").toLocalIterator():
         n = len(r.t) // 2 + 1  # words are a byte and a separator at least
         if held and size + n > block_words:
-            out.append(Block(held, window))
+            yield made()
             held, size = [], 0
         held.append((r.id, bytes(r.t)))
         size += n
-    return [*out, Block(held, window)]
+    yield made()
 
 
 class Index:
-    """Stored postings of a corpus for the terms of a benchmark."""
+    """Stored postings of a corpus for the terms of a benchmark, a table for each block of it."""
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000,
                  doc_id: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> None:
-        text = narrow(docs, text_col).select(F.col(text_col).cast("binary").alias("t"))
-        self.blocks = _blocks(benchmark, window, block_words, item_id, item_text)
-        for b in self.blocks:
-            df = np.zeros(len(b.vocabulary.keys), np.int64)
-            for r in text.mapInArrow(_df_udf(b.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-                df[r.term] = r.n
-            b.weigh(df)
         f = Framed(docs, doc_id, text_col)
-        self.frame, (self.id, self.text) = f, f.columns
-        self.postings = stored(f.df.select(F.col(self.id).alias("doc_id"), *[
-            _postings_udf(b)(F.col(self.text).cast("binary")).alias(f"p{i}") for i, b in enumerate(self.blocks)]), "postings")
-
-    def _found(self, udf_of) -> Column:
-        """Matches of all blocks, with item numbers counted through the blocks."""
-        cols, at = [], 0
-        for i, b in enumerate(self.blocks):
-            cols.append(F.transform(udf_of(b)(F.col(f"p{i}")), _moved(at)))
-            at += len(b.items)
-        return F.concat(*cols)
-
-    def _ids(self) -> list[object]:
-        return [ident for b in self.blocks for ident, _ in b.items]
+        text = F.col(f.columns[1]).cast("binary")
+        rows = f.df.select(F.col(f.columns[0]).alias("doc_id"), F.md5(text).alias("m"), text.alias("t"))
+        self.docs: DataFrame | None = None
+        self.tables: list[tuple[DataFrame, Block]] = []
+        for block in _blocks(benchmark, rows.select("t"), window, block_words, item_id, item_text):
+            found = rows.select("doc_id", "m", _postings_udf(block)("t").alias("p"))
+            if self.docs is None:  # the first block's table has every document, the others only those with an anchor
+                table_ = stored(found, "postings")
+                self.docs = table_.select("doc_id", "m", F.col("p.n_words").alias("n_words"))
+            else:
+                table_ = stored(found.where(F.size("p.terms") > 0), "postings")
+            self.tables.append((table_.where(F.size("p.terms") > 0), block))
+
+    def _found(self, udf_of) -> DataFrame:
+        """(m, item, start, end): matches of all blocks by the text's md5, stored block by block."""
+        out = None
+        for table_, block in self.tables:
+            own = stored(table_.select("m", F.explode(udf_of(block)("p")).alias("x")).select("m", "x.item", F.col("x.start").alias("start"), F.col("x.end").alias("end")).distinct(), "matches")
+            out = own if out is None else out.union(own)
+        return out.distinct()
 
     def phrases(self) -> DataFrame:
         """(doc_id, item, start, end) of each occurrence of a window, in words; item: the item's id as text."""
@@ -307,30 +317,20 @@ class Index:
         """
         return self._listed(self._found(lambda b: _near_udf(b, slack)))
 
-    def _listed(self, found: Column) -> DataFrame:
-        ids = [None if x is None else str(x) for x in self._ids()]
-        name = _name_udf(ids)
-        return self.postings.select("doc_id", F.explode(found).alias("m")).select("doc_id", name("m.item").alias("item"), "m.start", "m.end").distinct()
+    def _listed(self, found: DataFrame) -> DataFrame:
+        return self.docs.join(found, "m").select("doc_id", "item", "start", "end").distinct()
 
     def report(self) -> DataFrame:
         """One row for each document; see op7_decontamination."""
-        return self.postings.select("doc_id", F.col("p0.n_words").alias("n_words"), _digest_udf(self._ids())(self._found(_phrases_udf)).alias("d")).select(
-            "doc_id", "n_words", "d.n_hit", "d.n_items", "d.items_sha256", (F.col("d.n_hit") > 0).alias("contaminated"))
-
+        by = self._found(_phrases_udf).groupBy("m").agg(F.collect_list(F.struct("item", "start", "end")).alias("x"))
+        digest = stored(by.select("m", _digest_udf()("x").alias("d")), "digests")
+        d = self.docs.join(digest, "m", "left")
+        n_hit = F.coalesce("d.n_hit", F.lit(0))
+        return d.select("doc_id", F.coalesce("n_words", F.lit(0)).alias("n_words"), n_hit.alias("n_hit"), F.coalesce("d.n_items", F.lit(0)).alias("n_items"),
+                        F.coalesce("d.items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
-def _moved(by: int):
-    return lambda m: F.struct((m["item"] + F.lit(by)).alias("item"), m["start"].alias("start"), m["end"].alias("end"))
 
-
-def _name_udf(ids: list[str | None]):
-    @F.arrow_udf(T.StringType())
-    def name(items: pa.Array) -> pa.Array:
-        return pa.array([ids[i] for i in items.to_pylist()], pa.string())
-
-    return name
-
-
-def _digest_udf(ids: list[object]):
+def _digest_udf():
     kind = T.StructType([T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType())])
 
     @F.arrow_udf(kind)
@@ -341,7 +341,7 @@ def _digest_udf(ids: list[object]):
             for a, b in sorted({(m["start"], m["end"]) for m in row}):
                 n += max(0, b - max(a, last))
                 last = max(last, b)
-            names = sorted({str(ids[m["item"]]) for m in row if ids[m["item"]] is not None})
+            names = sorted({m["item"] for m in row if m["item"] is not None})
             hit.append(n)
             count.append(len(names))
             sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
@@ -353,20 +353,16 @@ def _digest_udf(ids: list[object]):
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 2_000_000, **names: str) -> DataFrame:
     """The rows of docs, with all columns, that hold no window of the benchmark.
 
-    Both passes and the verdict are columns of the same rows, so that no row needs a key.
+    Postings and verdict are columns of the same rows, so that no row needs a key; what one block
+    leaves is stored before the next block is taken up.
     """
-    text_col = names.get("text_col", "text")
-    f = Framed(docs, text_col)
+    f = Framed(docs, names.get("text_col", "text"))
     text = F.col(f.columns[0]).cast("binary")
-    blocks = _blocks(benchmark, window, block_words, names.get("item_id", "item_id"), names.get("item_text", "text"))
-    bad = F.lit(False)
-    for b in blocks:
-        df = np.zeros(len(b.vocabulary.keys), np.int64)
-        for r in f.df.select(text.alias("t")).mapInArrow(_df_udf(b.vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-            df[r.term] = r.n
-        b.weigh(df)
-        bad = bad | (F.size(_phrases_udf(b)(_postings_udf(b)(text))) > 0)
-    return f.keep(lambda d: d.where(~bad))
+    left, held = f.df, None
+    for block in _blocks(benchmark, f.df.select(text.alias("t")), window, block_words, names.get("item_id", "item_id"), names.get("item_text", "text")):
+        left = left if held is None else stored(held, "clean")
+        held = left.where(F.size(_phrases_udf(block)(_postings_udf(block)(text))) == 0)
+    return f.keep(lambda _: held)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
