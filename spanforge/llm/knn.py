@@ -1,25 +1,30 @@
 """Exact top-k by inner product through a Voronoi kNN join (operator 5).
 
-Vectors are grouped by their nearest pivot.  A cell's summary holds its pivot and the least
-distances of its members to it.  For a query q and a member x at distance d of pivot p,
-``q.p - |q| d <= q.x <= q.p + |q| d``.  The summaries alone give each query a score that its
-k-th best reaches for certain; a piece of a cell is sent to a block of queries only if its
-upper bound reaches that score for one of them, and is solved there by one matrix product.
+Vectors are grouped by their nearest pivot.  A cell's summary holds the least distances of its
+members to the pivot, their greatest one, the range of their coordinates along ``AXES`` common
+directions (the main ones of the pivots), and the greatest length of what these leave.  For a
+query q and a member x at distance d of pivot p, ``q.p - |q| d <= q.x <= q.p + |q| d``; along the
+directions q.x is at most the sum of the better ends of the ranges, and no more than the product
+of the remaining lengths besides.  The summaries alone give each query a score that its k-th
+best reaches for certain; a piece of a cell is sent to a block of queries only if the lesser of
+both upper bounds reaches that score for one of them, and is solved there by one matrix product.
+``visited_share`` tells how many of the candidates that leaves.
 
 Equal vectors are one member with its smallest ids, as many as a query can need; so a vector
 that a third of all rows repeat costs no more than any other, and no row that could be in a
-result is lost.  Pivots are a bounded sample (``pivots`` vectors by hash); summaries have
-``pivots * (k + 1)`` numbers whatever the input is.
+result is lost.  Pivots are a sample by hash, half the square root of the rows and at least 32; from
+``most_pivots`` on their number is fixed, which bounds the summaries (about 40 numbers each).
 
 Defined results: rows with a null id, a null vector, or a null or non-finite component take no
 part; vectors are compared with vectors of the same length; a query's own row is left out once,
 other rows with its id stay; repeated query rows give repeated results; an empty table gives
-an empty result; further columns are ignored.  Components are expected to give scores within
-the range of a long.
+an empty result; further columns are ignored.  A score beyond the range of a long is the end of
+that range.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,11 @@ def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+#: Directions along which cells keep the range of their members.
+AXES = 16
+LONG = 2**63
+
+
 class Pivots:
     """Pivots by the vectors' length."""
 
@@ -53,6 +63,9 @@ class Pivots:
             self.by.setdefault(len(v), []).append(v)
         self.by = {k: np.array(v, np.float64).reshape(len(v), k) for k, v in self.by.items()}
         self.most = max(1, len(sample))
+        self.axes: dict[int, np.ndarray] = {}
+        for dim, p in self.by.items():  # main directions, as orthonormal columns
+            self.axes[dim] = np.linalg.svd(p, full_matrices=False)[2][:AXES].T
 
     def of(self, dim: int) -> np.ndarray:
         return self.by.get(dim, np.zeros((1, dim)))
@@ -65,6 +78,13 @@ class Pivots:
         exact = np.sqrt(((x - p[i]) ** 2).sum(1))
         return dim * self.most + i, exact * (1 + 1e-12) + 1e-9
 
+    def along(self, dim: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Coordinates along the directions, missing ones 0, and the lengths of the rest."""
+        a = self.axes.get(dim, np.zeros((dim, 0)))
+        c = x @ a
+        rest = np.sqrt(np.maximum((x * x).sum(1) - (c * c).sum(1), 0))
+        return np.pad(c, ((0, 0), (0, AXES - c.shape[1]))), rest
+
     def centre(self, cell: int) -> np.ndarray:
         return self.of(cell // self.most)[cell % self.most]
 
@@ -78,19 +98,28 @@ def _by_length(v: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def _place_udf(pivots: Pivots):
-    kind = T.StructType([T.StructField("cell", T.LongType()), T.StructField("d", T.DoubleType())])
+    kind = T.StructType([T.StructField("cell", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("along", T.ArrayType(T.DoubleType())), T.StructField("rest", T.DoubleType())])
 
     @F.arrow_udf(kind)
     def place(v: pa.Array) -> pa.Array:
-        cell, d = np.zeros(len(v), np.int64), np.zeros(len(v))
+        cell, d, along, rest = np.zeros(len(v), np.int64), np.zeros(len(v)), np.zeros((len(v), AXES)), np.zeros(len(v))
         for dim, rows, x in _by_length(v):
             cell[rows], d[rows] = pivots.place(dim, x)
-        return pa.StructArray.from_arrays([pa.array(cell), pa.array(d)], kind.names)
+            along[rows], rest[rows] = pivots.along(dim, x)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * AXES), pa.array(along.ravel()))
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(d), lists, pa.array(rest)], kind.names)
 
     return place
 
 
-def _needs_udf(pivots: Pivots, least: dict[int, np.ndarray], k: int):
+class Summary:
+    """Of a cell: distances to the pivot (the least ones and the greatest), ranges along the axes, length of the rest."""
+
+    def __init__(self, near: list[float], reach: float, low: list[float], high: list[float], rest: float) -> None:
+        self.near, self.reach, self.low, self.high, self.rest = np.array(near), reach, np.array(low), np.array(high), rest
+
+
+def _needs_udf(pivots: Pivots, least: dict[int, Summary], k: int):
     """Integer vectors -> the cells that may hold one of the k best, and the score that these reach."""
     kind = T.StructType([T.StructField("sure", T.DoubleType()), T.StructField("cells", T.ArrayType(T.LongType()))])
     by: dict[int, list[int]] = {}
@@ -107,10 +136,14 @@ def _needs_udf(pivots: Pivots, least: dict[int, np.ndarray], k: int):
             norm = np.sqrt((x * x).sum(1))
             dots = x @ np.array([pivots.centre(c) for c in own]).T
             slack = 1e-9 * (1 + np.abs(dots).max(initial=0))
-            low = np.concatenate([dots[:, [j]] - norm[:, None] * least[c][:-1] for j, c in enumerate(own)], axis=1) - slack
+            low = np.concatenate([dots[:, [j]] - norm[:, None] * least[c].near for j, c in enumerate(own)], axis=1) - slack
             if low.shape[1] > k:  # one may be the query itself
                 sure[rows] = -np.partition(-low, k, axis=1)[:, k]
-            high = dots + norm[:, None] * np.array([least[c][-1] for c in own]) + slack
+            ball = dots + norm[:, None] * np.array([least[c].reach for c in own])
+            a, rest = pivots.along(dim, x)
+            box = np.maximum(a, 0) @ np.array([least[c].high for c in own]).T + np.minimum(a, 0) @ np.array([least[c].low for c in own]).T
+            box += rest[:, None] * np.array([least[c].rest for c in own])
+            high = np.minimum(ball, box + 1e-9 * np.abs(box)) + slack
             for r, h, s in zip(rows.tolist(), high, sure[rows], strict=True):
                 cells[r] = [own[j] for j in np.flatnonzero(h >= s)]
         return pa.StructArray.from_arrays([pa.array(sure), pa.array(cells, pa.list_(pa.int64()))], kind.names)
@@ -165,46 +198,67 @@ def _solve_udf(pivots: Pivots, k: int):
                         ids = list(ids)
                         ids.remove(x["id"])  # the query's own row, once
                     near += [(-int(row[j]), v) for v in ids]
-                found += [{"query_id": x["id"], "copies": x["copies"], "q": x["v"], "vec_id": v, "score": -s} for s, v in sorted(near)[:k]]
+                near = [(max(-LONG + 1, min(LONG, s)), v) for s, v in near] if top >= LONG else near
+                found += [{"query_id": x["id"], "copies": x["copies"], "q": x["v"], "vec_id": v, "score": min(LONG - 1, -s)} for s, v in sorted(near)[:k]]
             out.append(found)
         return pa.array(out, pa.list_(pa.struct([("query_id", pa.int64()), ("copies", pa.int64()), ("q", pa.list_(pa.int64())), ("vec_id", pa.int64()), ("score", pa.int64())])))
 
     return solve
 
 
-def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, pivots: int = 32, piece: int = 1024,
+class Cells:
+    """The vectors in their cells, and what each query needs of them."""
+
+    def __init__(self, vectors: DataFrame, k: int, query_every: int, scale: int, pivots: int | None, most_pivots: int, id_col: str, vec_col: str) -> None:
+        self.rows = rows = cut(quantised(vectors, scale, id_col, vec_col))
+        n = pivots or min(most_pivots, max(32, math.isqrt(rows.count()) // 2))
+        few = Window.partitionBy("v").orderBy("id")  # Spark limits each task's rows of a vector before the shuffle
+        members = (rows.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= k + 1)
+                   .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
+        sample = [list(r.v) for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(n).collect()]
+        self.pivots = Pivots(sample)
+        placed = cut(members.withColumn("at", _place_udf(self.pivots)("v")).select("v", "ids", "at.*"))
+        near = Window.partitionBy("cell").orderBy("d", "v")
+        least = (placed.select("cell", "d", F.row_number().over(near).alias("_r")).where(F.col("_r") <= k + 1)
+                 .groupBy("cell").agg(F.array_sort(F.collect_list("d")).alias("near")))
+        ends = [F.array(*[f(F.col("along")[i]) for i in range(AXES)]).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+        self.size = placed.groupBy("cell").agg(F.max("d").alias("reach"), F.max("rest").alias("rest"), F.count("*").alias("n"), *ends)
+        # at most one row for each pivot and length
+        summary = {r.cell: Summary(r.near, r.reach, r.low, r.high, r.rest) for r in least.join(self.size, "cell").collect()}
+        self.placed = placed.select("v", "ids", "cell", "d")
+        self.asked = (rows.where(F.col("id") % query_every == 0).groupBy("id", "v").agg(F.count("*").alias("copies"))
+                      .withColumn("at", _place_udf(self.pivots)("v")["cell"]).withColumn("need", _needs_udf(self.pivots, summary, k)("v")))
+
+
+def visited_share(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, pivots: int | None = None, most_pivots: int = 4096,
+                  id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """One row: n_queries, n_pairs (distinct candidates in the cells that each query must visit) and their share of all pairs."""
+    c = Cells(vectors, k, query_every, scale, pivots, most_pivots, id_col, vec_col)
+    pairs = c.asked.select("id", F.explode("need.cells").alias("cell")).join(c.size.select("cell", "n"), "cell").agg(F.sum("n").alias("n_pairs"))
+    every = c.size.agg(F.sum("n").alias("_n")).crossJoin(c.asked.agg(F.count("*").alias("n_queries")))
+    return pairs.crossJoin(every).select("n_queries", "n_pairs", (F.col("n_pairs") / (F.col("n_queries") * F.col("_n"))).alias("share"))
+
+
+def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, pivots: int | None = None, most_pivots: int = 4096, piece: int = 1024,
           block: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products, ties to smaller ids.
 
     Queries are the rows whose id is divisible by ``query_every``; candidates are all rows but
     the query's own.
     """
-    rows = cut(quantised(vectors, scale, id_col, vec_col))
-    few = Window.partitionBy("v").orderBy("id")  # Spark limits each task's rows of a vector before the shuffle
-    members = (rows.withColumn("_r", F.row_number().over(few)).where(F.col("_r") <= k + 1)
-               .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    sample = [list(r.v) for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()]
-    pivot = Pivots(sample)
-    placed = cut(members.withColumn("at", _place_udf(pivot)("v")).select("v", "ids", "at.cell", "at.d"))
-    near = Window.partitionBy("cell").orderBy("d", "v")
-    least = (placed.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= k + 1)
-             .groupBy("cell").agg(F.array_sort(F.collect_list("d")).alias("near")))
-    size = placed.groupBy("cell").agg(F.max("d").alias("reach"), F.count("*").alias("n"))
-    cells = least.join(size, "cell").collect()  # at most one row for each pivot and length
-    summary = {r.cell: np.array([*r.near, r.reach]) for r in cells}
-    split = placed.join(F.broadcast(size.select("cell", "n")), "cell")
+    c = Cells(vectors, k, query_every, scale, pivots, most_pivots, id_col, vec_col)
+    split = c.placed.join(F.broadcast(c.size.select("cell", "n")), "cell")  # a row for each pivot and length
     pieces = (split.withColumn("piece", F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / piece))).drop("n")
               .groupBy("cell", "piece").applyInArrow(_pack, PIECE))
-    asked = (rows.where(F.col("id") % query_every == 0).groupBy("id", "v").agg(F.count("*").alias("copies"))
-             .withColumn("at", _place_udf(pivot)("v")).withColumn("need", _needs_udf(pivot, summary, k)("v")))
-    load = asked.groupBy("at.cell").agg(F.count("*").alias("n"))
-    blocks = (asked.select(F.col("at.cell").alias("own"), "id", "v", "copies", "need.sure", "need.cells")
-              .join(load.withColumnRenamed("cell", "own"), "own")
+    # queries of one cell need nearly the same cells, so blocks are made of such
+    load = c.asked.groupBy("at").agg(F.count("*").alias("n"))
+    blocks = (c.asked.select(F.col("at").alias("own"), "id", "v", "copies", "need.sure", "need.cells")
+              .join(load.withColumnRenamed("at", "own"), "own")
               .withColumn("part", F.pmod(F.xxhash64("id", "v"), F.ceil(F.col("n") / block)))
               .groupBy("own", "part").agg(F.collect_list(F.struct("id", "v", "copies", "sure")).alias("queries"),
                                           F.array_distinct(F.flatten(F.collect_list("cells"))).alias("cells")))
     met = blocks.select("queries", F.explode("cells").alias("cell")).join(pieces, "cell")
-    found = met.select(F.explode(_solve_udf(pivot, k)("queries", F.struct("cell", "dim", "n", "reach", "kind", "data", "ids"))).alias("m")).select("m.*")
+    found = met.select(F.explode(_solve_udf(c.pivots, k)("queries", F.struct("cell", "dim", "n", "reach", "kind", "data", "ids"))).alias("m")).select("m.*")
     best = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_c")).drop("_c")
