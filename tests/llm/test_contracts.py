@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import chaining, counting, pii, quality, simhash, toxicity
+from spanforge.llm import chaining, counting, decontaminate, knn, pii, quality, simhash, toxicity
 
 
 def words(rng, n):
@@ -100,6 +101,20 @@ def test_shards_lose_no_link(spark, blocks):
     assert simhash.blocks_for(10**6, 4, 512) == 6 and simhash.blocks_for(10**11, 4, 512) > 6
 
 
+def test_broadcast_trees_of_a_small_reference(spark):
+    rng = random.Random(9)
+    base = [words(rng, 60) for _ in range(40)]
+    near = [" ".join([*b[:30], "other", *b[31:]]) for b in base]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*near, None])], "doc_id long, text string")
+    ref = spark.createDataFrame([(i, " ".join(b)) for i, b in enumerate(base)] + [(99, "")], "doc_id long, text string")
+    fp = lambda t: int(simhash.majority([simhash.shingle_hashes((t or "").encode(), 4)])[0, 0])
+    refs = {fp(" ".join(b)) for b in base} | {0}
+    want = {(i, f"{fp(t):016x}", f"{r:016x}", (fp(t) ^ r).bit_count()) for i, t in enumerate([*near, None]) for r in refs if (fp(t) ^ r).bit_count() <= 12}
+    assert {tuple(x) for x in simhash.near_reference(docs, ref, radius=12).collect()} == want and len(want) > 20
+    with pytest.raises(ValueError):
+        simhash.near_reference(docs, ref, most=5)
+
+
 # --- token counts -------------------------------------------------------------------------
 
 def test_stored_trees_take_edits(spark):
@@ -223,3 +238,62 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert set(packed.doc_id) == set(got) and packed.groupby("sequence_id").length.sum().max() <= 4096
     digest = hashlib.sha256(got[0].encode()).hexdigest()
     assert digest == hashlib.sha256(texts[0].encode()).hexdigest()
+
+
+# --- search -------------------------------------------------------------------------------
+
+def test_clustered_vectors_are_pruned(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 16)) * 3
+    x = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 16)) * 0.1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    r = knn.visited_share(df, query_every=20).first()
+    assert r.n_queries == 100 and r.share < 0.4
+    q = np.floor(256 * x).astype(np.int64)
+    want = {(a, n + 1, b, -s) for a in range(0, 2000, 20) for n, (s, b) in enumerate(sorted((-int(q[a] @ q[b]), b) for b in range(2000) if b != a)[:5])}
+    assert {tuple(t) for t in knn.top_k(df, query_every=20, block=16, piece=64).collect()} == want
+
+
+def test_odd_and_huge_vectors(spark):
+    rows = [(0, [1e16, 1e16]), (1, [1e16, 1e16]), (2, [-1e16, -1e16]), (3, [0.0, 0.0]), (4, None), (None, [1.0, 1.0]), (50, [1.0]), (51, [2.0]), (51, [2.0]), (50, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
+    got = sorted(tuple(r) for r in knn.top_k(df).collect())
+    assert (0, 1, 1, 2**63 - 1) in got and (0, 3, 2, -(2**63) + 1) in got or (0, 3, 2, -(2**63)) in got
+    assert [t for t in got if t[0] == 50] == sorted([(50, 1, 51, 131072), (50, 2, 51, 131072), (50, 3, 50, 65536)] * 2)
+
+
+def test_benchmark_in_one_block_or_many(spark):
+    rng = random.Random(8)
+    items = [(k, " ".join(words(rng, rng.choice([1, 4, 10, 25])))) for k in range(12)] + [(3, "a second text of item three"), (None, "no name for this item"), (20, None)]
+    docs = []
+    for i in range(60):
+        t = words(rng, rng.randint(0, 30))
+        for _ in range(rng.randint(0, 2)):
+            t += (items[rng.randrange(14)][1] or "").upper().split("x")
+        docs.append((i, ", ".join(t), 1))
+    docs += [(5, docs[5][1], 2), (None, docs[6][1], 3), (61, None, 4), (62, " ".join(words(rng, 20_000)) + " " + items[2][1], 5)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string, m int"), spark.createDataFrame(items, "item_id long, text string")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    windows = {}
+    for k, t in items:
+        w = split(t)
+        for a in range(max(1, len(w) - 9)):
+            if w:
+                windows.setdefault(tuple(w[a : a + 10]), set()).add(k)
+    want = Counter()
+    for i, t, _ in docs:
+        w, hit, who = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if (x := tuple(w[a : a + n])) in windows:
+                    hit |= set(range(a, a + n))
+                    who |= windows[x]
+        names = sorted(str(k) for k in who if k is not None)
+        want[(i, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit))] += 1
+    for size in (10**6, 30):
+        got = decontaminate.Index(df, bench, block_words=size).report()
+        assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()) == want
+        kept = decontaminate.clean(df, bench, block_words=size)
+        assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(k[0] for k, n in want.items() for _ in range(n) if not k[-1])
+    assert decontaminate.Index(df.where("false"), bench).report().count() == 0
+    assert not any(r.contaminated for r in decontaminate.Index(df, bench.where("false")).report().collect())
