@@ -42,11 +42,11 @@ def stats(b: DataFrame, v: str = "n") -> DataFrame:
 
 def scaled(b: DataFrame, center: bool, scale: bool, v: str = "n") -> DataFrame:
     """Column y: minus the series' mean and by its population deviation (0 counts as 1)."""
-    w = Window.partitionBy("series_id")
     x = F.col(v).cast("double")
-    y = x - F.avg(x).over(w) if center else x
-    sd = F.stddev_pop(x).over(w)
-    return b.withColumn("y", y / F.when(sd == 0, 1.0).otherwise(sd) if scale else y)
+    m = b.groupBy("series_id").agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    y = x - F.col("_m") if center else x
+    y = y / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s")) if scale else y
+    return b.join(m, "series_id").withColumn("y", y).drop("_m", "_s")
 
 
 def active_per_bin(b: DataFrame) -> DataFrame:
@@ -84,3 +84,57 @@ def smooth(b: DataFrame, weights: list[float], keys: list[str], v: str = "n", re
     y = F.sum(F.col("_w") * F.col("_v")) if reflect else F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")
     done = want.join(own, [*keys, "bin_idx"]).groupBy(*keys, F.col("_at").alias("bin_idx")).agg(y.alias("y"))
     return b.join(done, [*keys, "bin_idx"])
+
+
+def combined(a: DataFrame, b: DataFrame | float, op: str, v: str = "n") -> DataFrame:
+    """Bins and a number, or bins of the same grid; x / 0 is null."""
+    f = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: x / F.when(y != 0, y)}[op]
+    if isinstance(b, DataFrame):
+        return a.join(b.select(*_GROUP, "bin_idx", F.col(v).alias("_o")), [*_GROUP, "bin_idx"]).withColumn(v, f(F.col(v), F.col("_o"))).drop("_o")
+    return a.withColumn(v, f(F.col(v).cast("double"), F.lit(float(b))))
+
+
+def centers(b: DataFrame, ds: int) -> DataFrame:
+    """(interval_id, n_bins, first, last, midpoint): midpoint counts the bins of all intervals before."""
+    size = b.groupBy("interval_id").agg((F.max("bin_idx") + 1).alias("n_bins"), F.min("bin_start").alias("first"), (F.max("bin_start") + ds).alias("last"))
+    before = size.alias("x").join(size.alias("y"), F.expr("y.interval_id < x.interval_id"), "left").groupBy(F.col("x.interval_id").alias("interval_id")).agg(F.coalesce(F.sum("y.n_bins"), F.lit(0)).alias("_o"))
+    return size.join(before, "interval_id").select("interval_id", "n_bins", "first", "last", (F.col("_o") + (F.col("n_bins") - 1) / 2).alias("midpoint"))
+
+
+def without_last(b: DataFrame) -> DataFrame:
+    """Each interval without its last bin."""
+    last = b.groupBy("interval_id").agg(F.max("bin_idx").alias("_m"))
+    return b.join(last, "interval_id").where(F.col("bin_idx") < F.col("_m")).drop("_m")
+
+
+def from_signal(s: DataFrame, iv: DataFrame, step: int, bucket: int) -> DataFrame:
+    """Samples as bins one step wide: (series_id, interval_id, bin_idx, bin_start, n), n being the sample."""
+    rows = restrict(s, iv, bucket)
+    w = Window.partitionBy("series_id", "interval_id").orderBy("t")
+    return rows.select("series_id", "interval_id", (F.row_number().over(w) - 1).cast("int").alias("bin_idx"), F.col("t").alias("bin_start"), F.col("y").alias("n"))
+
+
+class Moments:
+    """A scaler whose numbers of rows, sums and squares can be added to: fit on parts, then transform."""
+
+    def __init__(self, keys: list[str], v: str = "n") -> None:
+        self.keys, self.v, self.state = keys, v, None
+
+    def partial_fit(self, b: DataFrame) -> Moments:
+        x = F.col(self.v).cast("double")
+        part = b.groupBy(*self.keys).agg(F.count(x).alias("_n"), F.sum(x).alias("_x"), F.sum(x * x).alias("_xx"))
+        if self.state is not None:
+            part = self.state.unionByName(part).groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in ("_n", "_x", "_xx")])
+        self.state = part
+        return self
+
+    def moments(self) -> DataFrame:
+        mean = F.col("_x") / F.col("_n")
+        sd = F.sqrt(F.greatest(F.col("_xx") / F.col("_n") - mean * mean, F.lit(0.0)))
+        return self.state.select(*self.keys, mean.alias("mean"), F.when(sd < 1e-9, 1.0).otherwise(sd).alias("std"))
+
+    def transform(self, b: DataFrame) -> DataFrame:
+        return b.join(self.moments(), self.keys).withColumn("y", (F.col(self.v) - F.col("mean")) / F.col("std")).drop("mean", "std")
+
+    def inverse_transform(self, b: DataFrame, y: str = "y") -> DataFrame:
+        return b.join(self.moments(), self.keys).withColumn(self.v, F.col(y) * F.col("std") + F.col("mean")).drop("mean", "std")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .events import restrict
+
 
 def runs(s: DataFrame, keys: list[str], index: str, flag: Column, value: Column) -> DataFrame:
     """(keys, first, last, best): maximal runs of consecutive rows where the flag holds."""
@@ -30,3 +32,72 @@ def boundaries(s: DataFrame, keys: list[str], index: str, value: str, sigmas: fl
     o = outer.select(*keys, F.col("first").alias("start"), F.col("last").alias("stop"), "best")
     found = inner.select(*keys, "first", "last").join(o, keys).where("start <= first and last <= stop").drop("first", "last").distinct()
     return found.where((F.col("stop") - F.col("start") + 1).between(least, most))
+
+
+# --- population bursts ------------------------------------------------------------------------
+
+def population_rate(ev: DataFrame, iv: DataFrame, ds: int, weights: list[float] | None = None, second: int = 1_000_000) -> DataFrame:
+    """(interval_id, bin_idx, bin_start, rate): events of all series a second in bins of ds, smoothed."""
+    from . import binned
+
+    inside = restrict(ev, iv, max(ds * 24, 1)).withColumn("bin_idx", F.floor((F.col("t") - F.col("start")) / ds).cast("int"))
+    some = inside.groupBy("interval_id", "bin_idx").agg(F.count("*").alias("n"))
+    b = binned.grid(iv, ds).join(some, ["interval_id", "bin_idx"], "left").withColumn("rate", F.coalesce("n", F.lit(0)) * (second / ds)).drop("n")
+    if weights is None:
+        return b
+    return binned.smooth(b, weights, ["interval_id"], v="rate").withColumn("rate", F.col("y")).drop("y")
+
+
+def bursts(rate: DataFrame, ds: int, sigmas: float = 3.0, least: int = 1, most: int = 10**15) -> DataFrame:
+    """(interval_id, start, stop, best): runs of the rate above its mean over all bins that reach mean + sigmas
+    deviations, of a duration from ``least`` to ``most``; stop is the start of the last bin."""
+    level = rate.agg(F.avg("rate").alias("_m"), F.stddev_pop("rate").alias("_s"))  # one row
+    x = rate.join(F.broadcast(level), how="cross")
+    rows = x.withColumn("_hi", F.col("rate") >= F.col("_m") + sigmas * F.col("_s"))
+    outer = runs(rows, ["interval_id"], "bin_idx", F.col("rate") >= F.col("_m"), F.struct(F.col("_hi").cast("int").alias("hi"), F.col("rate").alias("rate")))
+    found = outer.where("best.hi = 1").select("interval_id", "first", "last", F.col("best.rate").alias("best"))
+    size = (F.col("last") - F.col("first") + 1) * F.lit(ds)
+    found = found.where(size.between(least, most))
+    at = rate.select("interval_id", "bin_idx", "bin_start")
+    return (found.join(at.select("interval_id", F.col("bin_idx").alias("first"), F.col("bin_start").alias("start")), ["interval_id", "first"])
+            .join(at.select("interval_id", F.col("bin_idx").alias("last"), F.col("bin_start").alias("stop")), ["interval_id", "last"])
+            .select("interval_id", "start", "stop", "best"))
+
+
+def population_bursts(ev: DataFrame, iv: DataFrame, ds: int, weights: list[float], min_active: int, unsorted=None, **limits) -> DataFrame:
+    """(interval_id, start, stop, n_active): bursts of the population in which more than ``min_active`` series
+    are active, those of ``unsorted`` not counted."""
+    b = bursts(population_rate(ev, iv, ds, weights), ds, **limits)
+    spans = b.select("interval_id", "start", "stop")
+    own = ev if unsorted is None else ev.where(F.col("series_id") != unsorted)
+    inside = restrict(own, spans, max(ds * 24, 1), closed_right=True)
+    return inside.groupBy("interval_id", "start", "stop").agg(F.countDistinct("series_id").alias("n_active")).where(F.col("n_active") > min_active)
+
+
+def epochs(s: DataFrame, keys: list[str], threshold: float, mode: str = "above", second: float | None = None, step: int = 1) -> DataFrame:
+    """(keys, start, stop): runs of samples (keys, t, y) beyond ``second`` that reach ``threshold``; half-open.
+
+    ``second`` is the threshold itself if it isn't given; run epochs are 10 and 8 above, inactive ones 5 and 7 below.
+    """
+    y, sign = F.col("y"), 1 if mode == "above" else -1
+    low = threshold if second is None else second
+    found = runs(s, keys, "t", sign * y >= sign * low, sign * y)
+    return found.where(F.col("best") >= sign * threshold).select(*keys, F.col("first").alias("start"), (F.col("last") + step).alias("stop"))
+
+
+def stretched(ranges: DataFrame, step: float) -> DataFrame:
+    """(start, stop, x): floor of length / step even points from start on; they are further apart if the length isn't divisible."""
+    n = F.floor((F.col("stop") - F.col("start")) / step)
+    return (ranges.where(n > 0).withColumn("_n", n).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+            .select("start", "stop", (F.col("start") + F.col("_k") * (F.col("stop") - F.col("start")) / F.col("_n")).alias("x")))
+
+
+def zoomed(m: DataFrame, n_cols: int, wanted: int) -> DataFrame:
+    """A matrix (row, col, v) of n_cols columns at ``wanted`` even places between its first and last column."""
+    at = F.col("k") * ((n_cols - 1) / max(wanted - 1, 1))
+    rows = m.select("row").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(wanted - 1)))).withColumn("_x", at)
+    lo = F.least(F.floor("_x"), F.lit(n_cols - 1)).cast("int")
+    rows = rows.withColumn("_lo", lo).withColumn("_hi", F.least(lo + 1, F.lit(n_cols - 1)))
+    a = m.select("row", F.col("col").alias("_lo"), F.col("v").alias("_a"))
+    b = m.select("row", F.col("col").alias("_hi"), F.col("v").alias("_b"))
+    return rows.join(a, ["row", "_lo"]).join(b, ["row", "_hi"]).select("row", F.col("k").alias("col"), (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_x") - F.col("_lo"))).alias("v"))

@@ -130,3 +130,140 @@ def fit(w: DataFrame, model: Model, rounds: int) -> Model:
         pairs = pairs.reshape(k, k) + 1e-9
         model = Model(start / start.sum(), pairs / pairs.sum(axis=1, keepdims=True), np.maximum(counts.reshape(k, s) / np.maximum(weight, 1e-9)[:, None], 1e-3), model.series)
     return model
+
+
+# --- covariates, order of states, samples and quality -----------------------------------------
+
+def posteriors(w: DataFrame, model: Model) -> DataFrame:
+    """(interval_id, bin_idx, state, p): chances of the states given the whole interval."""
+    k = len(model.start)
+
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("bin_idx")
+        gamma = recursions(model, _counts(g))[1]
+        return pd.DataFrame({"interval_id": np.repeat(g.interval_id.to_numpy(), k), "bin_idx": np.repeat(g.bin_idx.to_numpy(), k), "state": np.tile(np.arange(k), len(g)), "p": gamma.ravel()})
+
+    return w.groupBy("interval_id").applyInPandas(each, "interval_id long, bin_idx int, state long, p double")
+
+
+def increments(w: DataFrame, model: Model) -> DataFrame:
+    """(interval_id, bin_idx, loglik, total): each bin's log likelihood given those before, and the sum so far."""
+    def each(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("bin_idx")
+        e = _emission(model, _counts(g))
+        top, a, out = e.max(axis=1), model.start, []
+        for t in range(len(g)):
+            a = (a if t == 0 else a @ model.trans) * np.exp(e[t] - top[t])
+            out.append(float(np.log(a.sum()) + top[t]))
+            a = a / a.sum()
+        return pd.DataFrame({"interval_id": g.interval_id, "bin_idx": g.bin_idx, "loglik": out, "total": np.cumsum(out)})
+
+    return w.groupBy("interval_id").applyInPandas(each, "interval_id long, bin_idx int, loglik double, total double")
+
+
+def memoryless(b: DataFrame, model: Model) -> DataFrame:
+    """(t_bin, state, p): states by the rates alone, every bin by itself; b: (series_id, t_bin, n)."""
+    from .decode import posterior
+
+    rates = [(s, i, float(model.rates[i, j])) for j, s in enumerate(model.series) for i in range(len(model.start))]
+    table = b.sparkSession.createDataFrame(rates, "series_id string, state int, rate double")  # of the model's size
+    return posterior(b, table, "state")
+
+
+def covariate_map(post: DataFrame, ext: DataFrame, normalize: bool = True, by_occupancy: bool = True) -> DataFrame:
+    """(state, x, weight): the states' chances summed by a covariate's value (interval_id, bin_idx, x),
+    over the time spent there, and so that each state's weights add up to 1."""
+    m = post.join(ext, ["interval_id", "bin_idx"])
+    g = m.groupBy("state", "x").agg(F.sum("p").alias("weight"))
+    if by_occupancy:
+        g = g.join(ext.groupBy("x").agg(F.count("*").alias("_o")), "x").withColumn("weight", F.col("weight") / F.col("_o")).drop("_o")
+    if normalize:
+        g = g.join(g.groupBy("state").agg(F.sum("weight").alias("_t")), "state").withColumn("weight", F.col("weight") / F.col("_t")).drop("_t")
+    return g.select("state", "x", "weight")
+
+
+def decoded_covariate(post: DataFrame, weights: DataFrame) -> DataFrame:
+    """(interval_id, bin_idx, x, p): the covariate's chances through the states'."""
+    return post.join(weights, "state").groupBy("interval_id", "bin_idx", "x").agg(F.sum(F.col("p") * F.col("weight")).alias("p"))
+
+
+def state_order(model: Model, start: int = 0) -> list[int]:
+    """States from ``start`` on, each followed by the likeliest of those that are left."""
+    left, out = set(range(len(model.start))) - {start}, [start]
+    while left:
+        out.append(max(left, key=lambda j: (model.trans[out[-1], j], -j)))
+        left.remove(out[-1])
+    return out
+
+
+def reordered(model: Model, states: list[int] | None = None, series: list[str] | None = None) -> Model:
+    """The same model with its states or series in another order."""
+    i = list(range(len(model.start))) if states is None else states
+    j = list(range(len(model.series))) if series is None else [model.series.index(s) for s in series]
+    return Model(model.start[i], model.trans[np.ix_(i, i)], model.rates[np.ix_(i, j)], tuple(model.series[x] for x in j))
+
+
+def sampled(spark, model: Model, intervals: DataFrame, seed: int) -> DataFrame:
+    """(interval_id, bin_idx, state, x) drawn from the model for each interval (interval_id, n_bins)."""
+    def draw(g: pd.DataFrame) -> pd.DataFrame:
+        i, n = int(g.interval_id.iloc[0]), int(g.n_bins.iloc[0])
+        rng = np.random.default_rng([seed, i % 2**32])
+        path, k = [], len(model.start)
+        for t in range(n):
+            path.append(int(rng.choice(k, p=model.start if t == 0 else model.trans[path[-1]])))
+        x = rng.poisson(model.rates[path]).astype(float)
+        return pd.DataFrame({"interval_id": i, "bin_idx": np.arange(n, dtype=np.int32), "state": path, "x": list(x)})
+
+    return intervals.groupBy("interval_id").applyInPandas(draw, "interval_id long, bin_idx int, state long, x array<double>")
+
+
+def swapped_in_time(w: DataFrame, seed: int, pooled: bool = False) -> DataFrame:
+    """Wide bins in random order within each interval, or over all of them."""
+    from .shuffles import time_swapped
+
+    return time_swapped(w.withColumnRenamed("x", "n").withColumn("series_id", F.lit("all")), seed, pooled).select("interval_id", "bin_idx", F.col("n").alias("x"))
+
+
+def with_shuffled_transitions(model: Model, seed: int) -> Model:
+    """Each row's chances off the diagonal in random order."""
+    rng, trans = np.random.default_rng(seed), model.trans.copy()
+    for i in range(len(trans)):
+        off = np.delete(np.arange(len(trans)), i)
+        trans[i, off] = rng.permutation(trans[i, off])
+    return Model(model.start, trans, model.rates, model.series)
+
+
+def cross_scores(w: DataFrame, series: tuple[str, ...], states: int, folds: int, rounds: int, shuffles: int, seed: int = 0, kind: str = "transitions") -> DataFrame:
+    """(interval_id, score, p, z): each interval's log likelihood under the model of the other folds against the
+    same with shuffled transitions (``transitions``), or with its bins shuffled (``time``, ``pooled``)."""
+    from .shuffles import against_null
+
+    fold = F.pmod(F.col("interval_id"), F.lit(folds))
+    own = null = None
+    for k in range(folds):
+        train, held = w.where(fold != k), w.where(fold == k)
+        model = fit(train, initial(train, series, states), rounds)
+        score = scores(held, model).select("interval_id", F.col("loglik").alias("score"))
+        own = score if own is None else own.unionByName(score)
+        for j in range(shuffles):
+            some = seed + 1000 * k + j
+            n = scores(held, with_shuffled_transitions(model, some)) if kind == "transitions" else scores(swapped_in_time(held, some, kind == "pooled"), model)
+            n = n.select("interval_id", F.col("loglik").alias("score"))
+            null = n if null is None else null.unionByName(n)
+    return against_null(own, null, ["interval_id"])
+
+
+def quality(w: DataFrame, series: tuple[str, ...], states: int, folds: int, rounds: int, shuffles: int, seed: int = 0, kind: str = "pooled") -> DataFrame:
+    """One row: the mean held-out score and its distance from the shuffles' mean scores, in their deviations."""
+    fold = F.pmod(F.col("interval_id"), F.lit(folds))
+    rows = None
+    for k in range(folds):
+        train, held = w.where(fold != k), w.where(fold == k)
+        model = fit(train, initial(train, series, states), rounds)
+        for j in range(shuffles + 1):
+            some = held if j == 0 else swapped_in_time(held, seed + 1000 * k + j, kind == "pooled")
+            s = scores(some, model).select(F.lit(j).alias("j"), "loglik")
+            rows = s if rows is None else rows.unionByName(s)
+    mean = rows.groupBy("j").agg(F.avg("loglik").alias("m"))
+    g = mean.agg(F.max(F.when(F.col("j") == 0, F.col("m"))).alias("score"), F.avg(F.when(F.col("j") > 0, F.col("m"))).alias("_a"), F.stddev_pop(F.when(F.col("j") > 0, F.col("m"))).alias("_d"))
+    return g.select("score", ((F.col("score") - F.col("_a")) / F.col("_d")).alias("quality"))

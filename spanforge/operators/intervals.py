@@ -35,11 +35,22 @@ def union(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
     return merge(bag_union(a, b), keys)
 
 
-def intersect(a: DataFrame, b: DataFrame, keys: Keys, boundaries: bool = True) -> DataFrame:
+def intersect(a: DataFrame, b: DataFrame, keys: Keys, boundaries: bool = True, bucket: int | None = None) -> DataFrame:
     """Overlap of each pair with a.start < b.stop and b.start < a.stop, not merged; without
-    ``boundaries`` the hull of the pair."""
+    ``boundaries`` the hull of the pair.
+
+    With ``bucket``, both sides are dealt out by time buckets too, and a pair is kept in the bucket
+    where its overlap starts; so a set of many short intervals doesn't meet itself as a whole.
+    """
     o = b.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    pairs = a.join(o, keys).where("start < _e and _s < stop")
+    on = [*keys]
+    if bucket:
+        on.append("_b")
+        a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / bucket))))
+        o = o.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket), F.floor(F.greatest(F.col("_e") - 1, F.col("_s")) / bucket))))
+    pairs = a.join(o, on).where("start < _e and _s < stop")
+    if bucket:
+        pairs = pairs.where(F.floor(F.greatest("start", "_s") / bucket) == F.col("_b"))
     lo, hi = (F.greatest, F.least) if boundaries else (F.least, F.greatest)
     return pairs.select(*keys, lo("start", "_s").alias("start"), hi("stop", "_e").alias("stop"))
 
@@ -67,10 +78,16 @@ def complement(iv: DataFrame, keys: Keys, low: int = LEAST, high: int = MOST) ->
 
 
 def difference(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
-    """Parts of a's merged set outside b; sets without any b stay whole."""
-    m = merge(a, keys)
-    untouched = m.join(b.select(*keys).distinct(), keys, "left_anti")
-    return intersect(m, complement(b, keys), keys).unionByName(untouched)
+    """Parts of a's merged set outside b, by one sweep over the ends of both merged sets."""
+    def ends(iv: DataFrame, da: int, db: int) -> DataFrame:
+        at = F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(k * da).alias("da"), F.lit(k * db).alias("db")) for c, k in (("start", 1), ("stop", -1))]))
+        return merge(iv, keys).select(*keys, at.alias("_x")).select(*keys, "_x.*")
+
+    w = Window.partitionBy(*keys).orderBy("t")
+    up = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    run = at.select(*keys, F.col("t").alias("start"), F.lead("t").over(w).alias("stop"), F.sum("da").over(up).alias("_a"), F.sum("db").over(up).alias("_b"))
+    return run.where("_a > 0 and _b = 0 and stop is not null").select(*keys, "start", "stop")
 
 
 def expand(iv: DataFrame, amount: int, direction: str = "both") -> DataFrame:
@@ -121,10 +138,11 @@ def drop_empty(iv: DataFrame) -> DataFrame:
 
 
 def contains(points: DataFrame, iv: DataFrame, keys: Keys) -> DataFrame:
-    """Points (keys, t) inside an interval, closed on both ends; each point once."""
-    o = iv.select(*[F.col(k).alias(f"_{k}") for k in keys], "start", "stop")
-    on = [points[k] == o[f"_{k}"] for k in keys] + [(points["t"] >= o["start"]) & (points["t"] <= o["stop"])]
-    return points.join(o, on, "left_semi")
+    """Points (keys, t) inside an interval, closed on both ends: the last merged interval before each decides."""
+    m = merge(iv, keys).select(*keys, F.col("start").alias("t"), F.lit(0).alias("_k"), F.col("stop").alias("_e"))
+    p = points.select(*keys, "t", F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_e"))
+    back = Window.partitionBy(*keys).orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    return m.unionByName(p).withColumn("_e", F.last("_e", ignorenulls=True).over(back)).where("_k = 1 and t <= _e").select(*keys, "t")
 
 
 def collapse(iv: DataFrame, keys: Keys, gap: int = 0) -> DataFrame:
@@ -133,3 +151,39 @@ def collapse(iv: DataFrame, keys: Keys, gap: int = 0) -> DataFrame:
     length = F.col("stop") - F.col("start")
     new = F.coalesce(F.sum(length + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return merge(iv, keys).select(*keys, "start", "stop", new.alias("new_start"), (new + length).alias("new_stop"))
+
+
+def pieces(iv: DataFrame, keys: Keys, n: int) -> DataFrame:
+    """Each set cut into n pieces of equal total length, counted along its merged intervals.
+
+    A piece that reaches over a gap is more than one interval; ``piece`` numbers them from 0.
+    """
+    order = Window.partitionBy(*keys).orderBy("start")
+    length = F.col("stop") - F.col("start")
+    m = merge(iv, keys)
+    total = m.groupBy(*keys).agg(F.sum(length).alias("_t"))
+    m = m.withColumn("_o", F.coalesce(F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).join(total, keys).where("_t > 0 and stop > start")
+    cut = lambda k: F.floor(F.col("_t") * k / n)
+    first = F.greatest(F.floor(F.col("_o") * n / F.col("_t")) - 1, F.lit(0))
+    last = F.least(F.floor((F.col("_o") + length) * n / F.col("_t")), F.lit(n - 1))
+    at = m.withColumn("piece", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("start"), F.col("start") + cut(F.col("piece")) - F.col("_o"))
+    hi = F.least(F.col("stop"), F.col("start") + cut(F.col("piece") + 1) - F.col("_o"))
+    return at.select(*keys, F.col("piece").cast("long").alias("piece"), lo.cast("long").alias("start"), hi.cast("long").alias("stop")).where("start < stop")
+
+
+def from_starts(starts: DataFrame, length: int) -> DataFrame:
+    """Intervals of one length; a row without a start is refused."""
+    start = F.when(F.col("start").isNull(), F.raise_error(F.lit("an interval needs a start"))).otherwise(F.col("start"))
+    return starts.withColumn("start", start).withColumn("stop", F.col("start") + F.lit(length))
+
+
+def checked(iv: DataFrame) -> DataFrame:
+    """The same intervals; one that stops before it starts is refused."""
+    return iv.withColumn("stop", F.when(F.col("stop") < F.col("start"), F.raise_error(F.lit("an interval stops before it starts"))).otherwise(F.col("stop")))
+
+
+def at_places(iv: DataFrame, keys: Keys, picked: list[int]) -> DataFrame:
+    """The intervals at some places, from 0, of each set in order."""
+    w = Window.partitionBy(*keys).orderBy("start", "stop")
+    return iv.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i").isin(picked)).drop("_i")

@@ -43,17 +43,24 @@ def steady_state(p: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(a, np.append(np.zeros(n), 1.0), rcond=None)[0]
 
 
+def _passages(p: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Column by column the solution of m = right + P m, with nothing carried on from the target itself."""
+    out = np.empty_like(p, float)
+    for j in range(len(p)):
+        onward = p.copy()
+        onward[:, j] = 0
+        out[:, j] = np.linalg.solve(np.eye(len(p)) - onward, right[:, j])
+    return out
+
+
 def first_passage(p: np.ndarray) -> np.ndarray:
-    """Mean steps from i to j, by the fundamental matrix."""
-    n, s = len(p), steady_state(p)
-    z = np.linalg.inv(np.eye(n) - p + np.tile(s, (n, 1)))
-    return (np.eye(n) - z + np.tile(np.diag(z), (n, 1))) @ np.diag(1 / s)
+    """Mean steps from i to j: one step, and the mean from wherever it leads unless that is j."""
+    return _passages(p, np.ones_like(p, float))
 
 
 def first_passage_variance(p: np.ndarray) -> np.ndarray:
-    n, s = len(p), steady_state(p)
-    z, m = np.linalg.inv(np.eye(n) - p + np.tile(s, (n, 1))), first_passage(p)
-    d = np.diag(1 / s)
-    zm = z @ m
-    w = m @ (2 * np.diag(np.diag(z)) @ d - np.eye(n)) + 2 * (zm - np.tile(np.diag(zm), (n, 1)))
-    return w - m * m
+    """From the second moments, by the same first step (Kemeny and Snell, Finite Markov Chains):
+    E T^2 = 1 + sum over k other than j of p(i, k) (2 E T(k, j) + E T(k, j)^2)."""
+    m = first_passage(p)
+    onward = p @ m - p * np.diag(m)
+    return _passages(p, 1 + 2 * onward) - m * m

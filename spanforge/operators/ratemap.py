@@ -49,3 +49,87 @@ def directional(lr: DataFrame, rl: DataFrame, axes: list[str], least_max: float,
     a = passing(lr).withColumn("direction", F.lit("lr"))
     b = passing(rl).withColumn("direction", F.lit("rl"))
     return a.unionByName(b.join(a.select("series_id").distinct(), "series_id", "left_anti")).select("series_id", "direction", *axes, "rate")
+
+
+# --- curves over any number of axes ----------------------------------------------------------
+
+def binned_axes(rows: DataFrame, axes: dict[str, tuple[float, float, int]], right_closed: bool = False) -> DataFrame:
+    """Each axis's value as its bin of n equal ones between two ends; rows outside are left out.
+
+    Bins are closed on the left and the last one on both sides, or all on the right
+    (``right_closed``) and the first one on both.
+    """
+    for name, (lo, hi, n) in axes.items():
+        x = (F.col(name) - lo) * n / (hi - lo)
+        at = F.greatest(F.ceil(x) - 1, F.lit(0)) if right_closed else F.least(F.floor(x), F.lit(n - 1))
+        rows = rows.where(F.col(name).between(lo, hi)).withColumn(name, at.cast("int"))
+    return rows
+
+
+def covered(r: DataFrame, dt: float, min_duration: float) -> DataFrame:
+    """Rates of cells in which less than ``min_duration`` was spent are 0."""
+    return r.withColumn("rate", F.when(F.col("occupancy") * dt < min_duration, 0.0).otherwise(F.col("rate")))
+
+
+def smoothed(r: DataFrame, axes: list[str], weights: dict[str, list[float]]) -> DataFrame:
+    """Gaussian smoothing along one axis after the other, with its own kernel each.
+
+    Cells that aren't there count for nothing: the sum is divided by the weights that fell on cells.
+    """
+    out = r
+    for axis, kernel in weights.items():
+        half = len(kernel) // 2
+        step = F.explode(F.array(*[F.struct(F.lit(k - half).alias("off"), F.lit(w).alias("w")) for k, w in enumerate(kernel)]))
+        others = [a for a in axes if a != axis]
+        want = out.select("series_id", *others, F.col(axis).alias("_at")).withColumn("k", step)
+        want = want.select("series_id", *others, "_at", (F.col("_at") + F.col("k.off")).cast("int").alias(axis), F.col("k.w").alias("_w"))
+        done = (want.join(out.select("series_id", *axes, F.col("rate").alias("_v")), ["series_id", *axes])
+                .groupBy("series_id", *others, F.col("_at").alias(axis)).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("_s")))
+        out = out.join(done, ["series_id", *axes]).withColumn("rate", F.col("_s")).drop("_s")
+    return out
+
+
+def reduced(r: DataFrame) -> DataFrame:
+    """(series_id, mean, max, min, std) over the cells, each counted once."""
+    return r.groupBy("series_id").agg(F.avg("rate").alias("mean"), F.max("rate").alias("max"), F.min("rate").alias("min"), F.stddev_pop("rate").alias("std"))
+
+
+def combined(a: DataFrame, b: DataFrame | float, op: str, axes: list[str]) -> DataFrame:
+    """A curve and a number or another curve over the same cells; x / 0 is null."""
+    f = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": lambda x, y: x / F.when(y != 0, y)}[op]
+    if isinstance(b, DataFrame):
+        return a.join(b.select("series_id", *axes, F.col("rate").alias("_o")), ["series_id", *axes]).withColumn("rate", f(F.col("rate"), F.col("_o"))).drop("_o")
+    return a.withColumn("rate", f(F.col("rate"), F.lit(float(b))))
+
+
+class RateMap:
+    """Rates (series_id, axes, rate) with what a fitted estimator needs; all methods return tables."""
+
+    def __init__(self, rates: DataFrame, axes: list[str]) -> None:
+        self.rates, self.axes = rates, axes
+
+    @classmethod
+    def fit(cls, counts: DataFrame, bins: DataFrame, axes: list[str], dt: float = 1.0, floor: float = 0.0) -> RateMap:
+        """From counts (series_id, t_bin, n) and the covariates' bins (t_bin, axes)."""
+        r = rate_map(counts, bins, axes)
+        return cls(r.withColumn("rate", F.greatest(F.col("rate") / dt, F.lit(floor))), axes)
+
+    def units(self, labels: list) -> RateMap:
+        return RateMap(self.rates.where(F.col("series_id").isin(labels)), self.axes)
+
+    def smooth(self, weights: dict[str, list[float]]) -> RateMap:
+        return RateMap(smoothed(self.rates, self.axes, weights), self.axes)
+
+    def predict(self, bins: DataFrame) -> DataFrame:
+        """(t_bin, series_id, rate): the rate of the cell of each time bin; cells never seen give none."""
+        return bins.join(self.rates.select("series_id", *self.axes, "rate"), self.axes).select("t_bin", "series_id", "rate")
+
+    def score_samples(self, counts: DataFrame, bins: DataFrame, dt: float = 1.0) -> DataFrame:
+        """(t_bin, loglik): Poisson log likelihood of the counts, without the factorials' part."""
+        seen = self.predict(bins).join(counts, ["t_bin", "series_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        mean = F.greatest(F.col("rate") * dt, F.lit(1e-12))
+        return seen.groupBy("t_bin").agg(F.sum(F.col("n") * F.log(mean) - mean).alias("loglik"))
+
+    def score(self, counts: DataFrame, bins: DataFrame, dt: float = 1.0) -> DataFrame:
+        """One row: the mean log likelihood of a time bin, and how many there were."""
+        return self.score_samples(counts, bins, dt).agg(F.avg("loglik").alias("score"), F.count("*").alias("n_bins"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +15,8 @@ def stats(s: DataFrame, keys: list[str]) -> DataFrame:
 
 def zscore(s: DataFrame, keys: list[str]) -> DataFrame:
     """Null where the deviation is 0."""
-    w = Window.partitionBy(*keys)
-    sd = F.stddev_pop("y").over(w)
-    return s.withColumn("z", (F.col("y") - F.avg("y").over(w)) / F.when(sd != 0, sd))
+    m = s.groupBy(*keys).agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
+    return s.join(m, keys).withColumn("z", (F.col("y") - F.col("_m")) / F.when(F.col("_s") != 0, F.col("_s"))).drop("_m", "_s")
 
 
 def clip(s: DataFrame, low: float, high: float) -> DataFrame:
@@ -30,17 +31,30 @@ def gradient(s: DataFrame, keys: list[str], fs: float = 1.0, rectify: bool = Fal
     return s.withColumn("dy", F.abs(d) if rectify else d)
 
 
-def interpolate(points: DataFrame, s: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, t, y): linear between the samples around each point, held constant beyond the ends."""
+def interpolate(points: DataFrame, s: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
+    """(keys, t, y): linear between the samples around each point, held constant beyond the ends.
+
+    With ``chunk``, windows are over stretches of time of that width and not over whole series; the
+    samples next to a stretch come from a window over one row for each stretch.
+    """
     a = points.select(*keys, "t", F.lit(1).alias("_k"), F.lit(None).cast("double").alias("_y"))
     b = s.select(*keys, "t", F.lit(0).alias("_k"), F.col("y").alias("_y"))
-    back = Window.partitionBy(*keys).orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
-    on = Window.partitionBy(*keys).orderBy("t", F.desc("_k")).rowsBetween(0, Window.unboundedFollowing)
-    x = F.when(F.col("_y").isNotNull(), F.struct("t", "_y"))
-    both = a.unionByName(b).withColumn("_x", x).withColumn("_p", F.last("_x", ignorenulls=True).over(back)).withColumn("_q", F.first("_x", ignorenulls=True).over(on))
+    both = a.unionByName(b).withColumn("_x", F.when(F.col("_y").isNotNull(), F.struct("t", "_y")))
+    part = [*keys]
+    if chunk:
+        part.append("_c")
+        both = both.withColumn("_c", F.floor(F.col("t") / chunk))
+        edge = Window.partitionBy(*keys).orderBy("_c")
+        ends = both.groupBy(*part).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        ends = ends.select(*part, F.last("_hi", ignorenulls=True).over(edge.rowsBetween(Window.unboundedPreceding, -1)).alias("_pe"), F.first("_lo", ignorenulls=True).over(edge.rowsBetween(1, Window.unboundedFollowing)).alias("_ne"))
+        both = both.join(ends, part)
+    back = Window.partitionBy(*part).orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    on = Window.partitionBy(*part).orderBy("t", F.desc("_k")).rowsBetween(0, Window.unboundedFollowing)
+    p, q = F.last("_x", ignorenulls=True).over(back), F.first("_x", ignorenulls=True).over(on)
+    both = both.withColumn("_p", F.coalesce(p, "_pe") if chunk else p).withColumn("_q", F.coalesce(q, "_ne") if chunk else q)
     p, q = F.col("_p"), F.col("_q")
-    part = (F.col("t") - p["t"]) / (q["t"] - p["t"])
-    y = F.when(p.isNull(), q["_y"]).when(q.isNull() | (q["t"] == p["t"]), p["_y"]).otherwise(p["_y"] + (q["_y"] - p["_y"]) * part)
+    share = (F.col("t") - p["t"]) / (q["t"] - p["t"])
+    y = F.when(p.isNull(), q["_y"]).when(q.isNull() | (q["t"] == p["t"]), p["_y"]).otherwise(p["_y"] + (q["_y"] - p["_y"]) * share)
     return both.where("_k = 1").select(*keys, "t", y.alias("y"))
 
 
@@ -78,3 +92,115 @@ def path_length(s: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("t")
     step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2))
     return s.withColumn("_d", step).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
+
+
+# --- arithmetic, grids and derived signals -------------------------------------------------
+
+def scaled(s: DataFrame, keys: list[str], center: bool = True, scale: bool = True) -> DataFrame:
+    """Minus the mean and by the population deviation (0 counts as 1); moments are aggregated and joined."""
+    m = s.groupBy(*keys).agg(F.avg("y").alias("_m"), F.stddev_pop("y").alias("_s"))
+    y = F.col("y") - F.col("_m") if center else F.col("y")
+    y = y / F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s")) if scale else y
+    return s.join(m, keys).withColumn("y", y).drop("_m", "_s")
+
+
+_OPERATIONS = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / F.when(b != 0, b)}
+
+
+def combined(a: DataFrame, b: DataFrame | float | dict, op: str, keys: list[str]) -> DataFrame:
+    """A signal and a number, a number for each key's value, or a signal on the common grid; x / 0 is null."""
+    f = _OPERATIONS[op]
+    if isinstance(b, DataFrame):
+        return a.join(b.select(*keys, "t", F.col("y").alias("_o")), [*keys, "t"]).withColumn("y", f(F.col("y"), F.col("_o"))).drop("_o")
+    if isinstance(b, dict):
+        of = F.create_map(*[F.lit(x) for pair in b.items() for x in pair])
+        return a.withColumn("y", f(F.col("y"), of[F.col(keys[0])]))
+    return a.withColumn("y", f(F.col("y"), F.lit(float(b))))
+
+
+def complex_parts(s: DataFrame, re: str = "re", im: str = "im") -> DataFrame:
+    """Columns abs and angle of a complex signal kept as two columns."""
+    return s.withColumn("abs", F.hypot(re, im)).withColumn("angle", F.atan2(im, re))
+
+
+def shifted(s: DataFrame, by: int) -> DataFrame:
+    return s.withColumn("t", F.col("t") + F.lit(by))
+
+
+def sampling(s: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_samples, step, first, last, low, high): step is the median distance of samples."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    return (s.withColumn("_d", F.lead("t").over(w) - F.col("t")).groupBy(*keys)
+            .agg(F.count("*").alias("n_samples"), F.percentile("_d", 0.5).alias("step"), F.min("t").alias("first"), F.max("t").alias("last"), F.min("y").alias("low"), F.max("y").alias("high")))
+
+
+def regridded(s: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """The signal at every ``step`` from its first sample on, by linear interpolation."""
+    ends = s.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    points = ends.select(*keys, F.explode(F.sequence(F.col("_a"), F.col("_b"), F.lit(step))).alias("t"))
+    return interpolate(points, s, keys)
+
+
+def simplified(s: DataFrame, keys: list[str], n_samples: int) -> DataFrame:
+    """``n_samples`` samples: evenly spread places from the first sample on, and the last sample."""
+    ends = s.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))
+    at = F.when(F.col("_k") == n_samples - 1, F.col("_b")).otherwise(F.col("_a") + F.floor((F.col("_b") - F.col("_a")) * F.col("_k") / (n_samples - 1)))
+    points = ends.withColumn("_k", k).select(*keys, at.cast("long").alias("t")).distinct()
+    return interpolate(points, s, keys)
+
+
+def tumbling(s: DataFrame, keys: list[str], step: int) -> DataFrame:
+    """Fewer samples, each the mean of ``step``: a plain filter against aliasing."""
+    at = (F.col("t") - F.pmod("t", F.lit(step))).cast("long")
+    return s.groupBy(*keys, at.alias("t")).agg(F.avg("y").alias("y"), F.count("*").alias("n"))
+
+
+def lengths(s: DataFrame, keys: list[str]) -> DataFrame:
+    return s.groupBy(*keys, "interval_id").agg(F.count("*").alias("n_samples"))
+
+
+def melted(s: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Several signals of one table as single ones (signal, y)."""
+    return s.unpivot([*keys, "t"], columns, "signal", "y")
+
+
+def with_signal(s: DataFrame, other: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """A further signal on the same grid as column ``name``; every sample must be there."""
+    return s.join(other.select(*keys, "t", F.col("y").alias(name)), [*keys, "t"], "left").withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.lit("the signals have different times"))).otherwise(F.col(name)))
+
+
+def trimmed(s: DataFrame, start: int, stop: int) -> DataFrame:
+    return s.where(F.col("t").between(start, stop))
+
+
+def velocity(s: DataFrame, keys: list[str], x: str, y: str, fs: float = 1.0) -> DataFrame:
+    """Columns speed and heading of a track, from the gradients of its two coordinates."""
+    w = Window.partitionBy(*keys).orderBy("t")
+
+    def d(c: str):
+        before, after, v = F.lag(c).over(w), F.lead(c).over(w), F.col(c)
+        return F.coalesce((after - before) / 2, after - v, v - before, F.lit(0.0)) * fs
+
+    return s.withColumn("_dx", d(x)).withColumn("_dy", d(y)).withColumn("speed", F.hypot("_dx", "_dy")).withColumn("heading", F.atan2("_dy", "_dx")).drop("_dx", "_dy")
+
+
+def directions(s: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, direction, start, stop): runs in which the signal rises (1) or falls (-1)."""
+    w = Window.partitionBy(*keys).orderBy("t")
+    g = gradient(s, keys).withColumn("direction", F.signum("dy").cast("int"))
+    g = g.withColumn("_n", F.when(F.col("direction") != F.lag("direction").over(w), 1).otherwise(0)).withColumn("_run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return g.groupBy(*keys, "_run", "direction").agg(F.min("t").alias("start"), F.max("t").alias("stop")).where("direction <> 0").drop("_run")
+
+
+def power(s: DataFrame, keys: list[str], waves: list[int]) -> DataFrame:
+    """(keys, k, power): periodogram of the centred samples at k waves over the series, by sums.
+
+    Density for one sample a unit of time; k from 1 to below half the number of samples counts twice.
+    """
+    n = scaled(s, keys, True, False).withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
+    size = s.groupBy(*keys).agg(F.count("*").alias("_n"))
+    each = n.join(size, keys).withColumn("k", F.explode(F.array(*map(F.lit, waves)))).withColumn("_a", F.col("k") * F.col("_i") * (2 * math.pi) / F.col("_n"))
+    sums = each.groupBy(*keys, "k", "_n").agg(F.sum(F.col("y") * F.cos("_a")).alias("_c"), F.sum(F.col("y") * F.sin("_a")).alias("_s"))
+    twice = F.when((F.col("k") > 0) & (2 * F.col("k") < F.col("_n")), 2).otherwise(1)
+    return sums.select(*keys, "k", (twice * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.col("_n")).alias("power"))
