@@ -66,24 +66,29 @@ def rolling(b: DataFrame, before: int, after: int, v: str = "n", how: str = "sum
 
 
 def smooth(b: DataFrame, weights: list[float], keys: list[str], v: str = "n", reflect: bool = True) -> DataFrame:
-    """Column y: convolution along bin_idx by a band join with the kernel.
+    """Column y: convolution along bin_idx, from the values in a window around each bin.
 
-    Each value goes to the bins within the radius, by equi-joins on the bin; at the edges of its
-    group the index is folded back (``reflect``), or the sum is divided by the weights inside.
+    At the edges of its group, which is dense from 0 on, the index is folded back (``reflect``), or
+    the sum is divided by the weights of the bins that are there.
     """
     r = len(weights) // 2
-    own = b.select(*keys, "bin_idx", F.col(v).cast("double").alias("_v"))
-    size = b.groupBy(*keys).agg((F.max("bin_idx") + 1).alias("_n"))
-    kernel = F.explode(F.array(*[F.struct(F.lit(k - r).alias("off"), F.lit(x).alias("w")) for k, x in enumerate(weights)]))
-    want = b.select(*keys, F.col("bin_idx").alias("_at")).join(size, keys).withColumn("k", kernel)
-    at = F.col("_at") + F.col("k.off")
+    w = F.array(*map(F.lit, weights))
+    group = Window.partitionBy(*keys)
+    near = F.collect_list(F.struct(F.col("bin_idx").alias("at"), F.col(v).cast("double").alias("v"))).over(group.orderBy("bin_idx").rangeBetween(-r, r))
+    rows = b.withColumn("_w", near).withColumn("_n", F.max("bin_idx").over(group) + 1)
+    at = F.col("bin_idx")
+    zero = F.lit(0.0)
     if reflect:  # a period of 2 n, the second half mirrored
-        m = F.pmod(at, 2 * F.col("_n"))
-        at = F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m)
-    want = want.select(*keys, "_at", at.cast("int").alias("bin_idx"), F.col("k.w").alias("_w"))
-    y = F.sum(F.col("_w") * F.col("_v")) if reflect else F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")
-    done = want.join(own, [*keys, "bin_idx"]).groupBy(*keys, F.col("_at").alias("bin_idx")).agg(y.alias("y"))
-    return b.join(done, [*keys, "bin_idx"])
+        def folded(k):
+            m = F.pmod(at + k - r, 2 * F.col("_n"))
+            return F.when(m < F.col("_n"), m).otherwise(2 * F.col("_n") - 1 - m)
+
+        first = F.greatest(at - r, F.lit(0))
+        y = F.aggregate(F.sequence(F.lit(0), F.lit(2 * r)), zero, lambda s, k: s + w[k] * F.coalesce(F.col("_w")[folded(k) - first]["v"], zero))
+    else:
+        there = F.filter("_w", lambda e: e["v"].isNotNull())
+        y = (F.aggregate(there, zero, lambda s, e: s + w[e["at"] - at + r] * e["v"]) / F.aggregate(there, zero, lambda s, e: s + w[e["at"] - at + r]))
+    return rows.withColumn("y", y).drop("_w", "_n")
 
 
 def combined(a: DataFrame, b: DataFrame | float, op: str, v: str = "n") -> DataFrame:

@@ -56,7 +56,7 @@ def bursts(rate: DataFrame, ds: int, sigmas: float = 3.0, least: int = 1, most:
     rows = x.withColumn("_hi", F.col("rate") >= F.col("_m") + sigmas * F.col("_s"))
     outer = runs(rows, ["interval_id"], "bin_idx", F.col("rate") >= F.col("_m"), F.struct(F.col("_hi").cast("int").alias("hi"), F.col("rate").alias("rate")))
     found = outer.where("best.hi = 1").select("interval_id", "first", "last", F.col("best.rate").alias("best"))
-    size = (F.col("last") - F.col("first") + 1) * F.lit(ds)
+    size = (F.col("last") - F.col("first") + 1).cast("long") * F.lit(ds)
     found = found.where(size.between(least, most))
     at = rate.select("interval_id", "bin_idx", "bin_start")
     return (found.join(at.select("interval_id", F.col("bin_idx").alias("first"), F.col("bin_start").alias("start")), ["interval_id", "first"])

@@ -35,8 +35,11 @@ def summary(ev: DataFrame) -> DataFrame:
 
 def firing_order(ev: DataFrame, series: DataFrame) -> DataFrame:
     """(series_id, place): series by their first event; silent ones last, then by id."""
+    from .selection import places
+
     first = series.join(ev.groupBy("series_id").agg(F.min("t").alias("first")), "series_id", "left")
-    return first.select("series_id", F.row_number().over(Window.orderBy(F.col("first").asc_nulls_last(), "series_id")).cast("long").alias("place"))
+    at = places(first.select(F.struct(F.col("first").isNull().alias("silent"), "first", "series_id").alias("k")), "k")
+    return at.select("k.series_id", (F.col("place") + 1).alias("place"))
 
 
 def is_sorted(ev: DataFrame, order: str) -> DataFrame:
@@ -74,7 +77,7 @@ def stateful(ev: DataFrame, iv: DataFrame, keys: list[str], state: str, bucket:
     carried state, kind 1 for the events inside."""
     ids = ev.select(*keys).distinct()
     edges = iv.select(F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(0).alias("kind")), F.struct(F.col("stop").alias("t"), F.lit(2).alias("kind")))).alias("e")).select("e.t", "e.kind")
-    at = ids.crossJoin(F.broadcast(edges))  # every series has every interval's two edges
+    at = ids.crossJoin(edges)  # every series has every interval's two edges, as the result has
     carried = state_asof(at.select(*keys, "t").distinct(), ev, keys, state)
     rows = at.join(carried, [*keys, "t"]).select(*keys, "t", "kind", "state")
     inside = restrict(ev, iv, bucket).select(*keys, "t", F.lit(1).alias("kind"), F.col(state).cast("string").alias("state"))

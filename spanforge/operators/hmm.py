@@ -267,3 +267,28 @@ def quality(w: DataFrame, series: tuple[str, ...], states: int, folds: int, roun
     mean = rows.groupBy("j").agg(F.avg("loglik").alias("m"))
     g = mean.agg(F.max(F.when(F.col("j") == 0, F.col("m"))).alias("score"), F.avg(F.when(F.col("j") > 0, F.col("m"))).alias("_a"), F.stddev_pop(F.when(F.col("j") > 0, F.col("m"))).alias("_d"))
     return g.select("score", ((F.col("score") - F.col("_a")) / F.col("_d")).alias("quality"))
+
+
+def shuffled_scores(b: DataFrame, model: Model, kind: str, n: int, seed: int = 0, normalize: bool = False) -> DataFrame:
+    """(interval_id, score, p, z): each interval's log likelihood (a bin, if ``normalize``) against n shuffles of
+    the bins (series_id, interval_id, bin_idx, n): ``time`` and ``pooled`` move whole bins, ``cycle`` turns each
+    series by itself, ``series`` exchanges names, ``poisson`` draws counts anew, ``transitions`` shuffles the model."""
+    from . import shuffles as P
+    from .replay import cycled, random_shift
+
+    def change(k: int) -> DataFrame:
+        if kind in ("time", "pooled"):
+            return P.time_swapped(b, seed + k, kind == "pooled")
+        if kind == "cycle":
+            return cycled(b, ["series_id", "interval_id"], random_shift(seed + k, "series_id", "interval_id"))
+        return {"series": P.series_swapped, "poisson": P.poisson_surrogate}[kind](b, seed + k)
+
+    def score(rows: DataFrame, m: Model) -> DataFrame:
+        s = scores(wide(rows, model.series), m)
+        return s.select("interval_id", (F.col("loglik") / F.col("n_bins") if normalize else F.col("loglik")).alias("score"))
+
+    null = None
+    for k in range(n):
+        one = score(b, with_shuffled_transitions(model, seed + k)) if kind == "transitions" else score(change(k), model)
+        null = one if null is None else null.unionByName(one)
+    return P.against_null(score(b, model), null, ["interval_id"])

@@ -95,9 +95,12 @@ def expand(iv: DataFrame, amount: int, direction: str = "both") -> DataFrame:
     return iv.withColumn("start", F.col("start") - amount * left).withColumn("stop", F.col("stop") + amount * right)
 
 
-def shrink(iv: DataFrame, amount: int, direction: str = "both") -> DataFrame:
-    """Intervals that would vanish are left out (an error of the whole set would need a global test)."""
-    return expand(iv, -amount, direction).where("start <= stop")
+def shrink(iv: DataFrame, amount: int, direction: str = "both", strict: bool = False) -> DataFrame:
+    """Intervals that would vanish are left out, or refused (``strict``)."""
+    out = expand(iv, -amount, direction)
+    if strict:
+        return out.withColumn("stop", F.when(F.col("start") > F.col("stop"), F.raise_error(F.lit("an interval is shorter than what is taken off"))).otherwise(F.col("stop")))
+    return out.where("start <= stop")
 
 
 def shift(iv: DataFrame, amount: int) -> DataFrame:

@@ -64,3 +64,14 @@ def first_passage_variance(p: np.ndarray) -> np.ndarray:
     m = first_passage(p)
     onward = p @ m - p * np.diag(m)
     return _passages(p, 1 + 2 * onward) - m * m
+
+
+def edges(trans: DataFrame, least: float, loops: bool = False) -> DataFrame:
+    """(i, j, p) of the transitions with at least that chance, as the edges of a graph."""
+    return trans.where((F.col("p") >= least) & (F.lit(loops) | (F.col("i") != F.col("j")))).select("i", "j", "p")
+
+
+def departures(trans: DataFrame) -> DataFrame:
+    """(i, j, p) given that the state is left."""
+    off = trans.where("i <> j")
+    return off.join(off.groupBy("i").agg(F.sum("p").alias("_s")), "i").select("i", "j", (F.col("p") / F.col("_s")).alias("p"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import places
+
 
 def occupancy(bins: DataFrame, axes: list[str]) -> DataFrame:
     """bins: one row for each time bin with its covariate bins."""
@@ -34,7 +36,8 @@ def information(r: DataFrame) -> DataFrame:
 def peaks(r: DataFrame, axis: str) -> DataFrame:
     """(series_id, peak, place): the first bin of the highest rate and the series' order by it."""
     top = r.groupBy("series_id").agg(F.max(F.struct("rate", (-F.col(axis)).alias("b"))).alias("m")).select("series_id", (-F.col("m.b")).alias("peak"))
-    return top.withColumn("place", F.row_number().over(Window.orderBy("peak", "series_id")))
+    at = places(top.select(F.struct("peak", "series_id").alias("k")), "k")
+    return at.select("k.series_id", "k.peak", (F.col("place") + 1).cast("int").alias("place"))
 
 
 def normalised(r: DataFrame) -> DataFrame:

@@ -23,12 +23,28 @@ def clip(s: DataFrame, low: float, high: float) -> DataFrame:
     return s.withColumn("y", F.least(F.greatest("y", F.lit(low)), F.lit(high)))
 
 
-def gradient(s: DataFrame, keys: list[str], fs: float = 1.0, rectify: bool = False) -> DataFrame:
+def neighbours(s: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
+    """Columns _before and _after: y of the samples next to each.
+
+    With ``chunk``, windows are over stretches of time of that width (column _c); what lies across
+    their edges comes from a window over one row for each stretch.
+    """
+    if not chunk:
+        w = Window.partitionBy(*keys).orderBy("t")
+        return s.withColumn("_before", F.lag("y").over(w)).withColumn("_after", F.lead("y").over(w))
+    c = s.withColumn("_c", F.floor(F.col("t") / chunk))
+    edge, w = Window.partitionBy(*keys).orderBy("_c"), Window.partitionBy(*keys, "_c").orderBy("t")
+    ends = c.groupBy(*keys, "_c").agg(F.min(F.struct("t", "y")).alias("_lo"), F.max(F.struct("t", "y")).alias("_hi"))
+    ends = ends.select(*keys, "_c", F.lag("_hi").over(edge)["y"].alias("_pe"), F.lead("_lo").over(edge)["y"].alias("_ne"))
+    out = c.join(ends, [*keys, "_c"]).withColumn("_before", F.coalesce(F.lag("y").over(w), "_pe")).withColumn("_after", F.coalesce(F.lead("y").over(w), "_ne"))
+    return out.drop("_pe", "_ne")
+
+
+def gradient(s: DataFrame, keys: list[str], fs: float = 1.0, rectify: bool = False, chunk: int | None = None) -> DataFrame:
     """Column dy: central differences, one-sided at the ends, 0 for a single sample."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    before, after, y = F.lag("y").over(w), F.lead("y").over(w), F.col("y")
+    before, after, y = F.col("_before"), F.col("_after"), F.col("y")
     d = F.coalesce((after - before) / 2, after - y, y - before, F.lit(0.0)) * fs
-    return s.withColumn("dy", F.abs(d) if rectify else d)
+    return neighbours(s, keys, chunk).withColumn("dy", F.abs(d) if rectify else d).drop("_before", "_after", "_c")
 
 
 def interpolate(points: DataFrame, s: DataFrame, keys: list[str], chunk: int | None = None) -> DataFrame:
@@ -58,12 +74,18 @@ def interpolate(points: DataFrame, s: DataFrame, keys: list[str], chunk: int | N
     return both.where("_k = 1").select(*keys, "t", y.alias("y"))
 
 
-def unwrap(s: DataFrame, keys: list[str], period: float) -> DataFrame:
+def unwrap(s: DataFrame, keys: list[str], period: float, chunk: int | None = None) -> DataFrame:
     """Jumps of at least half the period are taken back by whole periods."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    d = F.col("y") - F.lag("y").over(w)
+    d = F.col("y") - F.col("_before")
     turn = F.when(d >= period / 2, -period).when(d < -period / 2, period).otherwise(0.0)
-    return s.withColumn("_t", turn).withColumn("unwrapped", F.col("y") + F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_t")
+    part = [*keys, "_c"] if chunk else keys
+    rows = neighbours(s, keys, chunk).withColumn("_t", turn)
+    here = F.sum("_t").over(Window.partitionBy(*part).orderBy("t").rowsBetween(Window.unboundedPreceding, 0))
+    if not chunk:
+        return rows.withColumn("unwrapped", F.col("y") + here).drop("_t", "_before", "_after")
+    up = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*part).agg(F.sum("_t").alias("_s")).select(*part, F.coalesce(F.sum("_s").over(up), F.lit(0.0)).alias("_o"))
+    return rows.join(before, part).withColumn("unwrapped", F.col("y") + F.col("_o") + here).drop("_t", "_before", "_after", "_o", "_c")
 
 
 def wrap(s: DataFrame, low: float, high: float) -> DataFrame:

@@ -422,7 +422,7 @@ def _(s, d):
 
 @_query("sig_gradient", f"""WITH {_SIG} SELECT series_id, t, round(coalesce((lead(y) OVER w - lag(y) OVER w) / 2, lead(y) OVER w - y, y - lag(y) OVER w, 0), 7) AS dy FROM sig WINDOW w AS (PARTITION BY series_id ORDER BY t)""")
 def _(s, d):
-    return _round(S.gradient(_sig(s, d), SK), "dy", digits=7).select("series_id", "t", "dy")
+    return _round(S.gradient(_sig(s, d), SK, chunk=7 * DAY), "dy", digits=7).select("series_id", "t", "dy")
 
 
 _GRID = f"p AS (SELECT series_id, t + {HOUR // 3} AS t FROM sig UNION SELECT series_id, t - {HOUR // 3} FROM sig)"
@@ -442,7 +442,7 @@ j AS (SELECT *, y - lag(y) OVER (PARTITION BY user_id ORDER BY t) AS dy FROM h)
 SELECT user_id, t, y + sum(CASE WHEN dy >= 12 THEN -24e0 WHEN dy < -12 THEN 24e0 ELSE 0e0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS unwrapped FROM j""")
 def _(s, d):
     h = events(s, d).select("user_id", "t", F.pmod(floordiv(F.col("t"), HOUR), F.lit(24)).cast("double").alias("y"))
-    return S.unwrap(h, ["user_id"], 24.0).select("user_id", "t", "unwrapped")
+    return S.unwrap(h, ["user_id"], 24.0, chunk=7 * DAY).select("user_id", "t", "unwrapped")
 
 
 @_query("sig_wrap", f"WITH {_SIG} SELECT series_id, t, round(y - floor(y / 90) * 90, 5) AS y FROM sig")

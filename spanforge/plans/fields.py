@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.timeops import DAY, HOUR, floordiv, gaussian_weights
 from ..operators import decode as D
 from ..operators import hmm as H
+from ..operators import markov as M
 from ..operators import ratemap as R
 from ..operators import shuffles as P
 from .catalogue import _BIN, _EV, _INFO, _MK, _POST, _QUERIES, _TB, _bins, _ev, _posterior, _query, _rates_sql, _round, _trans, _tuning
@@ -227,6 +228,17 @@ SELECT i, j, round(p, 9) AS p FROM a JOIN b ON a.{_by} = b.g AND a.k = b.k UNION
         return _round(P.shuffled_transitions(_trans(s, d)[1].select("i", "j", "p"), 10, by), "p", digits=9)
 
 
+@_query("mk_graph_edges", f"WITH {_MK} SELECT i, j, round(p, 9) AS p FROM tr WHERE p >= 0.2e0 AND i <> j")
+def _(s, d):
+    return _round(M.edges(_trans(s, d)[1], 0.2), "p", digits=9)
+
+
+@_query("mk_gini_of_departures", f"""WITH {_MK}, o AS (SELECT i, j, p / sum(p) OVER (PARTITION BY i) AS p FROM tr WHERE i <> j), r AS (SELECT i, p, row_number() OVER (PARTITION BY i ORDER BY p) AS k, count(*) OVER (PARTITION BY i) AS n FROM o)
+SELECT i, round(sum((2 * k - n - 1) * p) / (max(n) * sum(p)), 6) AS gini FROM r GROUP BY i""")
+def _(s, d):
+    return _round(M.gini(M.departures(_trans(s, d)[1]), ["i"], "p"), "gini")
+
+
 # --- trajectories: days as events, hours as bins, decoded hours as cells -----------------------------
 
 _EVENTS = f"{_POST}, pe AS (SELECT t_bin // 24 AS interval_id, t_bin % 24 AS bin_idx, h AS cell, p FROM post), pm AS (SELECT t_bin // 24 AS interval_id, t_bin % 24 AS bin_idx, mode AS x FROM mode), li AS (SELECT interval_id, regr_slope(x, bin_idx) AS slope, regr_intercept(x, bin_idx) AS intercept, regr_r2(x, bin_idx) AS r2 FROM pm GROUP BY interval_id)"
@@ -322,4 +334,14 @@ def _quality(s, d):
     return _round(H.quality(w, series, 3, 2, 1, 3), "score", "quality")
 
 
-_QUERIES.update({"hmm_posteriors": _posteriors, "hmm_increments": _increments, "hmm_covariate_map": _covariate, "hmm_decoded_covariate": _decoded, "hmm_memoryless": _memoryless, "hmm_cross_scores": _cross, "hmm_quality": _quality})
+def _shuffled(s, d):
+    b = _bins(s, d)
+    model = _fitted(s, d)[1]
+    out = None
+    for kind in ("time", "pooled", "cycle", "series", "poisson", "transitions"):
+        one = _round(H.shuffled_scores(b, model, kind, 3, 17), "score", "p", "z").withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_QUERIES.update({"hmm_shuffled_scores": _shuffled, "hmm_posteriors": _posteriors, "hmm_increments": _increments, "hmm_covariate_map": _covariate, "hmm_decoded_covariate": _decoded, "hmm_memoryless": _memoryless, "hmm_cross_scores": _cross, "hmm_quality": _quality})

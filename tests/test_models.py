@@ -69,6 +69,15 @@ def test_ordered_data_score_above_their_shuffles(spark):
     assert len(scores) == 6 and all(r.p <= 0.2 + 1e-9 for r in scores)
 
 
+@pytest.mark.parametrize("kind", ["time", "pooled", "cycle", "series", "poisson", "transitions"])
+def test_shuffles_score_every_interval(spark, kind):
+    rng = np.random.default_rng(2)
+    rows = [(k, i, b, int(rng.poisson(2))) for k in ("a", "b") for i in range(3) for b in range(8)]
+    b = spark.createDataFrame(rows, "series_id string, interval_id long, bin_idx int, n long")
+    got = hmm.shuffled_scores(b, MODEL, kind, 3, 1).collect()
+    assert sorted(r.interval_id for r in got) == [0, 1, 2] and all(0.25 <= r.p <= 1 for r in got)
+
+
 def test_best_line_finds_a_diagonal(spark):
     rows = [(1, b, c, 0.8 if c == b else 0.2 / 19) for b in range(20) for c in range(20)]
     post = spark.createDataFrame(rows, "interval_id long, bin_idx int, cell int, p double")
@@ -126,6 +135,15 @@ def test_interpolation_in_chunks_at_the_ends(spark):
         assert all(abs(got["a", t] - y) < 1e-9 for t, y in want.items()) and got["b", 1] is None
 
 
+def test_chunks_change_no_derivative_and_no_turn(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(t), float(y)) for k in ("a", "b") for t, y in zip(np.sort(rng.choice(1000, 80, False)), rng.uniform(0, 10, 80))] + [("c", 5, 1.0)]
+    s = spark.createDataFrame(rows, "series_id string, t long, y double")
+    for f, col in ((signals.gradient, "dy"), (lambda d, k, chunk=None: signals.unwrap(d, k, 10.0, chunk), "unwrapped")):
+        plain, cut = ({(r.series_id, r.t): r[col] for r in f(s, ["series_id"], chunk=c).collect()} for c in (None, 37))
+        assert len(plain) == 161 and plain.keys() == cut.keys() and all(abs(plain[k] - cut[k]) < 1e-9 for k in plain)
+
+
 def test_durations_as_text(spark):
     want = {3661.0: "1:01:01 hours", 0.0: "0.0 milliseconds", -61.0: "-1:01 minutes", 0.0125: "12.5 milliseconds", 7.25: "7.25 seconds", 61.25: "1:01:250 minutes", 90061.0: "1 days 1:01:01 hours", float("inf"): "inf", 59.9996: "1:00 minutes"}
     df = spark.createDataFrame([(k,) for k in want], "x double").withColumn("t", texts.duration_text(F.col("x")))
