@@ -30,10 +30,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What was written: tables by name, and folders.
+_made: list[tuple[str | None, str]] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Drops the tables and deletes the folders that were written so far; results that read them must be written before."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        table, path = _made.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a compressed Parquet table in the shared folder (wide rows, texts)."""
     spark = df.sparkSession
     path = f"{folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((None, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,8 +59,9 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    (df.write.option("compression", "zstd").option("path", f"{folder(spark).rstrip('/')}/{table}")
-     .bucketBy(n, key).saveAsTable(table))
+    path = f"{folder(spark).rstrip('/')}/{table}"
+    _made.append((table, path))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
 
 

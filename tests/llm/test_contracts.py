@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import chaining, counting, decontaminate, knn, pii, quality, simhash, toxicity
+from spanforge.llm import _scratch, chaining, counting, decontaminate, knn, pii, quality, simhash, toxicity
 
 
 def words(rng, n):
@@ -240,6 +240,20 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert digest == hashlib.sha256(texts[0].encode()).hexdigest()
 
 
+def test_scratch_can_be_cleared(spark):
+    df = _scratch.stored(spark.range(5), "some")
+    assert df.count() == 5
+    tables = _scratch.bucketed(spark.range(5).withColumnRenamed("id", "u"), "kept", "u")
+    name = _scratch._made[-1][0]
+    assert tables.count() == 5 and spark.catalog.tableExists(name)
+    held, _scratch._made[:] = list(_scratch._made), _scratch._made[-2:]
+    _scratch.clear(spark)
+    assert not spark.catalog.tableExists(name) and _scratch._made == []
+    with pytest.raises(Exception, match="(?i)not.*exist|not found"):
+        spark.read.parquet(held[-2][1]).count()
+    _scratch._made[:] = held[:-2]
+
+
 # --- search -------------------------------------------------------------------------------
 
 def test_clustered_vectors_are_pruned(spark):
