@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chaining, counting, decontaminate, knn, packing, pii, quality, simhash, substring, toxicity
+from . import chaining, counting, decontaminate, knn, packing, pii, quality, resampling, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,8 +23,10 @@ def queries() -> dict[str, Query]:
         "op8_collinear_chaining": chaining.op8_collinear_chaining,
         "op9_quality": quality.op9_quality,
         "op10_pii_surrogates": pii.op10_pii_surrogates,
+        "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_voronoi_knn": knn.OP5_SQL, "op7_decontamination": decontaminate.OP7_SQL}
+    return {"op5_voronoi_knn": knn.OP5_SQL, "op7_decontamination": decontaminate.OP7_SQL,
+            "op13_importance_resampling": resampling.OP13_SQL}
