@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chaining, counting, decontaminate, knn, packing, periodic, pii, quality, resampling, simhash, substring, toxicity
+from . import chaining, counting, decontaminate, knn, minhash, packing, periodic, pii, quality, resampling, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_quality": quality.op9_quality,
         "op10_pii_surrogates": pii.op10_pii_surrogates,
         "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_superminhash_near_dedup": minhash.op12_superminhash_near_dedup,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
