@@ -352,3 +352,16 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, ba
 def op12_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
+e AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.r AS u, b.r AS v FROM e a JOIN e b ON a.x = b.x AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+links AS (SELECT u, v FROM p UNION SELECT v, u FROM p),
+reach(r, o) AS (SELECT r, r FROM w UNION SELECT reach.r, links.v FROM reach JOIN links ON reach.o = links.u),
+c AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON reach.o = w.r GROUP BY reach.r)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, coalesce(s.doc_id = c.component_id, false) AS kept FROM s JOIN c USING (r)
+"""

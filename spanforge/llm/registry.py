@@ -31,4 +31,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {"op5_voronoi_knn": knn.OP5_SQL, "op7_decontamination": decontaminate.OP7_SQL,
-            "op13_importance_resampling": resampling.OP13_SQL}
+            "op12_superminhash_near_dedup": minhash.OP12_SQL, "op13_importance_resampling": resampling.OP13_SQL}
