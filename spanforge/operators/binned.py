@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .events import restrict
 
 _GROUP = ["series_id", "interval_id"]
@@ -102,8 +103,8 @@ def combined(a: DataFrame, b: DataFrame | float, op: str, v: str = "n") -> DataF
 def centers(b: DataFrame, ds: int) -> DataFrame:
     """(interval_id, n_bins, first, last, midpoint): midpoint counts the bins of all intervals before."""
     size = b.groupBy("interval_id").agg((F.max("bin_idx") + 1).alias("n_bins"), F.min("bin_start").alias("first"), (F.max("bin_start") + ds).alias("last"))
-    before = size.alias("x").join(size.alias("y"), F.expr("y.interval_id < x.interval_id"), "left").groupBy(F.col("x.interval_id").alias("interval_id")).agg(F.coalesce(F.sum("y.n_bins"), F.lit(0)).alias("_o"))
-    return size.join(before, "interval_id").select("interval_id", "n_bins", "first", "last", (F.col("_o") + (F.col("n_bins") - 1) / 2).alias("midpoint"))
+    up = scans.running(scans.pieces(size, [], "interval_id"), [], "interval_id", F.col("n_bins"), "_up")
+    return up.select("interval_id", "n_bins", "first", "last", (F.col("_up") - F.col("n_bins") + (F.col("n_bins") - 1) / 2).alias("midpoint"))
 
 
 def without_last(b: DataFrame) -> DataFrame:

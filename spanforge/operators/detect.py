@@ -5,33 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .events import restrict
 
 
-def runs(s: DataFrame, keys: list[str], index: str, flag: Column, value: Column) -> DataFrame:
-    """(keys, first, last, best): maximal runs of consecutive rows where the flag holds."""
+def runs(s: DataFrame, keys: list[str], index: str, flag: Column, value: Column, width: float | None = None) -> DataFrame:
+    """(keys, first, last, best, n): maximal runs of n consecutive rows where the flag holds.
+
+    With ``width``, series are worked through in pieces (see ``scans``): stretches of that width of the
+    index, or ranges of rows if it is 0.
+    """
+    if width is not None:
+        return scans.islands(scans.pieces(s, keys, index, width), keys, index, flag, value)
     w = Window.partitionBy(*keys).orderBy(index)
     rows = s.withColumn("_f", flag).withColumn("_v", value)
     rows = rows.withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_f")
-    return rows.groupBy(*keys, "_g").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.max("_v").alias("best")).drop("_g")
+    return rows.groupBy(*keys, "_g").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.max("_v").alias("best"), F.count("*").alias("n")).drop("_g")
 
 
-def crossings(s: DataFrame, keys: list[str], index: str, value: str, threshold: float | Column, mode: str = "above") -> DataFrame:
+def crossings(s: DataFrame, keys: list[str], index: str, value: str, threshold: float | Column, mode: str = "above", width: float | None = None) -> DataFrame:
     x = F.col(value)
-    return runs(s, keys, index, x >= threshold if mode == "above" else x <= threshold, x)
+    return runs(s, keys, index, x >= threshold if mode == "above" else x <= threshold, x, width).drop("n")
 
 
-def boundaries(s: DataFrame, keys: list[str], index: str, value: str, sigmas: float = 3.0, least_primary: int = 1, least: int = 1, most: int = 10**9) -> DataFrame:
-    """Runs above the mean that hold a run above mean + sigmas deviations, with length limits in samples."""
-    w = Window.partitionBy(*keys)
+def boundaries(s: DataFrame, keys: list[str], index: str, value: str, sigmas: float = 3.0, least_primary: int = 1, least: int = 1, most: int = 10**9, width: float | None = None) -> DataFrame:
+    """Runs above the mean that hold a run above mean + sigmas deviations, with length limits in samples.
+
+    A high run belongs to the last low run that starts at or before it; where one sample is
+    enough, a low run's maximum says whether it has a high one.
+    """
     x = F.col(value).cast("double")
-    mean, sd = F.avg(x).over(w), F.stddev_pop(x).over(w)
-    level = s.withColumn("_hi", x >= mean + sigmas * sd).withColumn("_lo", x >= mean)
-    inner = runs(level, keys, index, F.col("_hi"), x).where(F.col("last") - F.col("first") + 1 >= least_primary)
-    outer = runs(level, keys, index, F.col("_lo"), x)
-    o = outer.select(*keys, F.col("first").alias("start"), F.col("last").alias("stop"), "best")
-    found = inner.select(*keys, "first", "last").join(o, keys).where("start <= first and last <= stop").drop("first", "last").distinct()
-    return found.where((F.col("stop") - F.col("start") + 1).between(least, most))
+    moments = s.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
+    level = s.join(moments, keys).withColumn("_hi", x >= F.col("_m") + sigmas * F.col("_s"))
+    low = runs(level, keys, index, x >= F.col("_m"), F.struct(F.col("_hi").cast("int").alias("hi"), x.alias("x")), width)
+    low = low.select(*keys, F.col("first").alias("start"), F.col("last").alias("stop"), F.col("best.x").alias("best"), F.col("best.hi").alias("_hit"), "n")
+    fit = F.col("n").between(least, most)
+    if least_primary <= 1:
+        return low.where((F.col("_hit") == 1) & fit).drop("_hit", "n")
+    high = runs(level, keys, index, F.col("_hi"), x, width).where(F.col("n") >= least_primary).select(*keys, F.col("first").alias("start"), F.lit(1).alias("_k"), F.lit(None).alias("_x"))
+    both = low.select(*keys, "start", F.lit(0).alias("_k"), F.struct("start", "stop", "best", "n").alias("_x")).unionByName(high)
+    last = F.last("_x", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("start", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("_x", last).where("_k = 1").select(*keys, "_x.*").distinct()
+    return found.where(fit).drop("n")
 
 
 # --- population bursts ------------------------------------------------------------------------
@@ -74,14 +89,14 @@ def population_bursts(ev: DataFrame, iv: DataFrame, ds: int, weights: list[float
     return inside.groupBy("interval_id", "start", "stop").agg(F.countDistinct("series_id").alias("n_active")).where(F.col("n_active") > min_active)
 
 
-def epochs(s: DataFrame, keys: list[str], threshold: float, mode: str = "above", second: float | None = None, step: int = 1) -> DataFrame:
+def epochs(s: DataFrame, keys: list[str], threshold: float, mode: str = "above", second: float | None = None, step: int = 1, width: float | None = None) -> DataFrame:
     """(keys, start, stop): runs of samples (keys, t, y) beyond ``second`` that reach ``threshold``; half-open.
 
     ``second`` is the threshold itself if it isn't given; run epochs are 10 and 8 above, inactive ones 5 and 7 below.
     """
     y, sign = F.col("y"), 1 if mode == "above" else -1
     low = threshold if second is None else second
-    found = runs(s, keys, "t", sign * y >= sign * low, sign * y)
+    found = runs(s, keys, "t", sign * y >= sign * low, sign * y, width)
     return found.where(F.col("best") >= sign * threshold).select(*keys, F.col("first").alias("start"), (F.col("last") + step).alias("stop"))
 
 

@@ -48,9 +48,15 @@ def is_sorted(ev: DataFrame, order: str) -> DataFrame:
     return ev.withColumn("_ok", F.coalesce(F.col("t") >= F.lag("t").over(w), F.lit(True))).groupBy("series_id").agg(F.bool_and("_ok").alias("sorted"))
 
 
-def segments(ev: DataFrame, keys: list[str], step: int, inclusive: bool = False) -> DataFrame:
+def segments(ev: DataFrame, keys: list[str], step: int, inclusive: bool = False, width: float | None = None) -> DataFrame:
     """Contiguous runs (keys, start, stop, n): a gap of at least 2 * step starts a new one; stop is
-    the last time plus step (or the last time itself)."""
+    the last time plus step (or the last time itself); in pieces of ``width``, see ``scans``, if it is given."""
+    if width is not None:
+        from . import scans
+
+        p = scans.neighbours(scans.pieces(ev.select(*keys, "t"), keys, "t", width), keys, "t", [])
+        found = scans.stretches(p, keys, "t", F.coalesce(F.col("t") - F.col("_before.t") >= 2 * step, F.lit(True)))
+        return found.select(*keys, F.col("first").alias("start"), (F.col("last") + (0 if inclusive else step)).alias("stop"), "n")
     w = Window.partitionBy(*keys).orderBy("t")
     new = F.when(F.col("t") - F.lag("t").over(w) >= 2 * step, 1).otherwise(0)
     runs = ev.withColumn("_n", new).withColumn("_run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -2,7 +2,8 @@
 
 A filter that runs forwards and backwards multiplies the spectrum by the squared magnitude of
 its response; that is done on chunks of ``chunk`` samples, each with ``halo`` samples of its
-neighbours on both sides, so a long series is as many tasks as it has chunks.  At the ends of a
+neighbours on both sides, so a long series is as many tasks as it has chunks; samples are numbered
+in pieces, see ``scans`` (``width`` is theirs).  At the ends of a
 series the signal is continued by its odd reflection.  The response is that of a Chebyshev filter
 of the second kind, designed here from its poles and zeros.
 """
@@ -13,9 +14,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
+from . import scans
+
 
 def design(fs: float, low: float | None, high: float | None, bandstop: bool = False, gpass: float = 0.1, gstop: float = 30.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(zeros, poles, gain) of the digital filter of least order.
@@ -97,23 +101,30 @@ def extended(y: np.ndarray, before: int, after: int) -> np.ndarray:
     return np.concatenate((left, y, right, np.full(after - len(right), right[-1] if len(right) else y[-1])))
 
 
-def chunked(s: DataFrame, keys: list[str], chunk: int, halo: int, change: Callable[[np.ndarray, bool, bool], np.ndarray]) -> DataFrame:
+def numbered(s: DataFrame, keys: list[str], width: float = 0) -> DataFrame:
+    """(keys, t, y, _i, _n): each sample's number from 0, and how many its series has."""
+    return scans.numbered(scans.pieces(s.select(*keys, "t", "y"), keys, "t", width), keys, "t", "_i", "_n").drop("_p")
+
+
+def chunked(s: DataFrame, keys: list[str], chunk: int, halo: int, change: Callable[[np.ndarray, bool, bool], np.ndarray], width: float = 0) -> DataFrame:
     """(keys, t, y) of change(samples of a chunk and its halo, whether it is first, whether it is last)."""
-    w = Window.partitionBy(*keys)
-    n = s.select(*keys, "t", "y").withColumn("_i", F.row_number().over(w.orderBy("t")) - 1)
-    size = s.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return _chunked(numbered(s, keys, width), keys, chunk, halo, change).drop("_i", "_n")
+
+
+def _chunked(n: DataFrame, keys: list[str], chunk: int, halo: int, change: Callable[[np.ndarray, bool, bool], np.ndarray]) -> DataFrame:
+    """The same of numbered samples, with their numbers."""
     at = F.explode(F.sequence(F.floor(F.greatest(F.col("_i") - halo, F.lit(0)) / chunk), F.floor(F.least(F.col("_i") + halo, F.col("_n") - 1) / chunk)))
-    rows = n.join(size, keys).withColumn("_c", at)
+    rows = n.withColumn("_c", at)
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("_i")
         c, i = int(g["_c"].iloc[0]), g["_i"].to_numpy()
         y = change(g["y"].to_numpy(np.float64), i[0] == 0, i[-1] == g["_n"].iloc[0] - 1)
         own = (i >= c * chunk) & (i < (c + 1) * chunk)
-        return g.loc[own, [*keys, "t"]].assign(y=y[own])
+        return g.loc[own, [*keys, "t"]].assign(y=y[own], _i=i[own], _n=g["_n"].to_numpy()[own])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in s.select(*keys, "t").schema)
-    return rows.groupBy(*keys, "_c").applyInPandas(run, f"{kinds}, y double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in n.select(*keys, "t").schema)
+    return rows.groupBy(*keys, "_c").applyInPandas(run, f"{kinds}, y double, _i long, _n long")
 
 
 def _spectral(gain_of: Callable[[np.ndarray], np.ndarray], pad: int):
@@ -128,15 +139,24 @@ def _spectral(gain_of: Callable[[np.ndarray], np.ndarray], pad: int):
 
 
 def zero_phase(s: DataFrame, keys: list[str], fs: float, low: float | None = None, high: float | None = None, bandstop: bool = False,
-               gpass: float = 0.1, gstop: float = 30.0, chunk: int = 1 << 20, halo: int | None = None) -> DataFrame:
+               gpass: float = 0.1, gstop: float = 30.0, chunk: int = 1 << 20, halo: int | None = None, width: float = 0) -> DataFrame:
     """(keys, t, y) filtered forwards and backwards; ``halo`` is two seconds if it isn't given."""
+    return _filtered(numbered(s, keys, width), keys, fs, low, high, bandstop, gpass, gstop, chunk, halo).drop("_i", "_n")
+
+
+def _filtered(n: DataFrame, keys: list[str], fs: float, low: float | None, high: float | None, bandstop: bool = False,
+              gpass: float = 0.1, gstop: float = 30.0, chunk: int = 1 << 20, halo: int | None = None) -> DataFrame:
     halo = int(2 * fs) if halo is None else halo
     zpk = design(fs, low, high, bandstop, gpass, gstop)
-    return chunked(s, keys, chunk, halo, _spectral(lambda f: response(*zpk, f * fs, fs) ** 2, halo))
+    return _chunked(n, keys, chunk, halo, _spectral(lambda f: response(*zpk, f * fs, fs) ** 2, halo))
 
 
-def envelope(s: DataFrame, keys: list[str], fs: float, sigma: float | None = 0.004, chunk: int = 1 << 20, halo: int | None = None) -> DataFrame:
+def envelope(s: DataFrame, keys: list[str], fs: float, sigma: float | None = 0.004, chunk: int = 1 << 20, halo: int | None = None, width: float = 0) -> DataFrame:
     """(keys, t, y): the absolute analytic signal, smoothed by a Gaussian of ``sigma`` seconds unless it is None or 0."""
+    return _enveloped(numbered(s, keys, width), keys, fs, sigma, chunk, halo).drop("_i", "_n")
+
+
+def _enveloped(n: DataFrame, keys: list[str], fs: float, sigma: float | None = 0.004, chunk: int = 1 << 20, halo: int | None = None) -> DataFrame:
     halo = int(2 * fs) if halo is None else halo
 
     def change(y: np.ndarray, first: bool, last: bool) -> np.ndarray:
@@ -152,24 +172,20 @@ def envelope(s: DataFrame, keys: list[str], fs: float, sigma: float | None = 0.0
         k = np.exp(-0.5 * (np.arange(-r, r + 1) / (sigma * fs)) ** 2)
         return np.convolve(np.pad(out, r, mode="symmetric") if len(out) > r else np.pad(out, r, mode="edge"), k / k.sum(), mode="valid")
 
-    return chunked(s, keys, chunk, halo, change)
+    return _chunked(n, keys, chunk, halo, change)
 
 
-def decimated(s: DataFrame, keys: list[str], fs: float, fs_out: float, **options) -> DataFrame:
+def decimated(s: DataFrame, keys: list[str], fs: float, fs_out: float, width: float = 0, **options) -> DataFrame:
     """Low-pass at half the new rate, then every fs / fs_out-th sample."""
     step = int(round(fs / fs_out))
-    clean = zero_phase(s, keys, fs, high=fs_out / 2, **options)
-    return clean.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1).where(F.col("_i") % step == 0).drop("_i")
+    return _filtered(numbered(s, keys, width), keys, fs, None, fs_out / 2, **options).where(F.col("_i") % step == 0).drop("_i", "_n")
 
 
-def ripples(s: DataFrame, keys: list[str], fs: float, low: float = 150.0, high: float = 250.0, sigmas: float = 3.5, least: float = 0.015, **options) -> DataFrame:
+def ripples(s: DataFrame, keys: list[str], fs: float, low: float = 150.0, high: float = 250.0, sigmas: float = 3.5, least: float = 0.015, width: float = 0, **options) -> DataFrame:
     """(keys, start, stop, best): runs of the band's envelope above its mean that reach mean + sigmas
     deviations for at least ``least`` seconds."""
     from .detect import boundaries
 
-    env = envelope(zero_phase(s, keys, fs, low, high, **options), keys, fs, **options)
-    n = env.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
-    found = boundaries(n, keys, "_i", "y", sigmas, least_primary=max(1, int(np.ceil(least * fs))))
-    at = n.select(*keys, "_i", "t")
-    return (found.withColumnRenamed("start", "_i").join(at.withColumnRenamed("t", "start"), [*keys, "_i"]).drop("_i")
-            .withColumnRenamed("stop", "_i").join(at.withColumnRenamed("t", "stop"), [*keys, "_i"]).select(*keys, "start", "stop", "best"))
+    env = _enveloped(_filtered(numbered(s, keys, width), keys, fs, low, high, **options), keys, fs, **options).drop("_i", "_n")
+    env = written(env, "envelope")  # read for its moments and for both levels
+    return boundaries(env, keys, "t", "y", sigmas, least_primary=max(1, int(np.ceil(least * fs))), width=width).select(*keys, "start", "stop", "best")

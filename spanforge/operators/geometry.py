@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .shuffles import uniform
 
 
@@ -41,16 +42,24 @@ def on_track(lin: DataFrame, track: list[tuple[float, float]], value: str = "lin
     return lin.withColumn("x", x.otherwise(ax + length * ux)).withColumn("y", y.otherwise(ay + length * uy))
 
 
-def laps(s: DataFrame, keys: list[str], length: float) -> DataFrame:
-    """Column lap of a ring's positions (keys, t, y in [0, length)): how often the start was passed, forwards less backwards."""
+def laps(s: DataFrame, keys: list[str], length: float, width: float | None = None) -> DataFrame:
+    """Column lap of a ring's positions (keys, t, y in [0, length)): how often the start was passed, forwards less
+    backwards; in pieces of ``width``, see ``scans``, if it is given."""
+    if width is not None:
+        d = F.col("y") - F.col("_before.y")
+        turn = F.when(d <= -length / 2, 1).when(d > length / 2, -1).otherwise(0)
+        rows = scans.neighbours(scans.pieces(s, keys, "t", width), keys, "t", ["y"]).withColumn("_t", turn)
+        return scans.running(rows, keys, "t", F.col("_t"), "lap").drop("_t", "_before", "_after", "_p")
     w = Window.partitionBy(*keys).orderBy("t")
     d = F.col("y") - F.lag("y").over(w)
     turn = F.when(d <= -length / 2, 1).when(d > length / 2, -1).otherwise(0)
     return s.withColumn("_t", turn).withColumn("lap", F.sum("_t").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_t")
 
 
-def lap_epochs(s: DataFrame, keys: list[str], length: float) -> DataFrame:
+def lap_epochs(s: DataFrame, keys: list[str], length: float, width: float | None = None) -> DataFrame:
     """(keys, lap, start, stop) of runs on one lap, the last one included."""
+    if width is not None:
+        return scans.stays(laps(s, keys, length, width), keys, "t", "lap", width)
     w = Window.partitionBy(*keys).orderBy("t")
     x = laps(s, keys, length).withColumn("_n", F.when(F.col("lap") != F.lag("lap").over(w), 1).otherwise(0)).withColumn("_r", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(*keys, "_r", "lap").agg(F.min("t").alias("start"), F.max("t").alias("stop")).drop("_r")

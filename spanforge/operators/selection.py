@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .events import restrict
 
 
@@ -20,13 +21,9 @@ def _sliced(place: str, pick: slice, n: int | None = None):
 def places(df: DataFrame, key: str) -> DataFrame:
     """(key, place): the distinct keys in order, from 0.
 
-    Ranks come from counts of range partitions, so no task sees all keys.
+    Ranges of keys are written once, and counted; so no task sees all keys.
     """
-    keys = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
-    inside = keys.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    size = inside.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = size.alias("a").join(size.alias("b"), F.expr("b._p < a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_o"))
-    return inside.join(before, "_p").select(key, (F.col("_i") + F.col("_o")).cast("long").alias("place"))
+    return scans.numbered(scans.pieces(df.select(key).distinct(), [], key), [], key, "place").select(key, "place")
 
 
 def series_by_label(ev: DataFrame, labels: list | None = None, first=None, last=None) -> DataFrame:
@@ -75,7 +72,7 @@ def bins_by_index(b: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return b.join(cut, ["interval_id", "bin_idx"]).select("series_id", F.col("piece").alias("interval_id"), F.col("new_idx").alias("bin_idx"), "n")
 
 
-def sample_ranges(s: DataFrame, iv: DataFrame, bucket: int) -> DataFrame:
-    """(series_id, interval_id, first, last): numbers of the samples inside each interval."""
-    n = s.withColumn("i", (F.row_number().over(Window.partitionBy("series_id").orderBy("t")) - 1).cast("long"))
+def sample_ranges(s: DataFrame, iv: DataFrame, bucket: int, width: float = 0) -> DataFrame:
+    """(series_id, interval_id, first, last): numbers of the samples inside each interval; pieces of ``width``, see ``scans``."""
+    n = scans.numbered(scans.pieces(s, ["series_id"], "t", width), ["series_id"], "t", "i").drop("_p")
     return restrict(n, iv, bucket).groupBy("series_id", "interval_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
 
 def stats(s: DataFrame, keys: list[str]) -> DataFrame:
     """Reductions that skip nulls; the deviation is that of the population."""
@@ -106,11 +108,20 @@ def histogram(s: DataFrame, keys: list[str], width: float) -> DataFrame:
     return s.groupBy(*keys, F.floor(F.col("y") / width).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cdf(s: DataFrame, keys: list[str]) -> DataFrame:
+def cdf(s: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
+    """Column p: the share of samples that are not greater; in pieces of ``width`` of y, see ``scans``, if it is given."""
+    if width is not None:
+        n = scans.numbered(scans.pieces(s, keys, "y", width), keys, "y", "_i", "_n")
+        last = F.max("_i").over(Window.partitionBy(*keys, "_p", "y"))
+        return n.withColumn("p", (last + 1) / F.col("_n")).drop("_i", "_n", "_p")
     return s.withColumn("p", F.cume_dist().over(Window.partitionBy(*keys).orderBy("y")))
 
 
-def path_length(s: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+def path_length(s: DataFrame, keys: list[str], x: str, y: str, width: float | None = None) -> DataFrame:
+    if width is not None:
+        rows = scans.neighbours(scans.pieces(s, keys, "t", width), keys, "t", [x, y])
+        step = F.hypot(F.col(x) - F.col("_before")[x], F.col(y) - F.col("_before")[y])
+        return rows.groupBy(*keys).agg(F.coalesce(F.sum(step), F.lit(0.0)).alias("length"))
     w = Window.partitionBy(*keys).orderBy("t")
     step = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), 2) + F.pow(F.col(y) - F.lag(y).over(w), 2))
     return s.withColumn("_d", step).groupBy(*keys).agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
@@ -149,10 +160,13 @@ def shifted(s: DataFrame, by: int) -> DataFrame:
     return s.withColumn("t", F.col("t") + F.lit(by))
 
 
-def sampling(s: DataFrame, keys: list[str]) -> DataFrame:
+def sampling(s: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
     """(keys, n_samples, step, first, last, low, high): step is the median distance of samples."""
-    w = Window.partitionBy(*keys).orderBy("t")
-    return (s.withColumn("_d", F.lead("t").over(w) - F.col("t")).groupBy(*keys)
+    if width is None:
+        d = s.withColumn("_d", F.lead("t").over(Window.partitionBy(*keys).orderBy("t")) - F.col("t"))
+    else:
+        d = scans.neighbours(scans.pieces(s, keys, "t", width), keys, "t", []).withColumn("_d", F.col("_after.t") - F.col("t"))
+    return (d.groupBy(*keys)
             .agg(F.count("*").alias("n_samples"), F.percentile("_d", 0.5).alias("step"), F.min("t").alias("first"), F.max("t").alias("last"), F.min("y").alias("low"), F.max("y").alias("high")))
 
 
@@ -196,19 +210,28 @@ def trimmed(s: DataFrame, start: int, stop: int) -> DataFrame:
     return s.where(F.col("t").between(start, stop))
 
 
-def velocity(s: DataFrame, keys: list[str], x: str, y: str, fs: float = 1.0) -> DataFrame:
-    """Columns speed and heading of a track, from the gradients of its two coordinates."""
+def velocity(s: DataFrame, keys: list[str], x: str, y: str, fs: float = 1.0, width: float | None = None) -> DataFrame:
+    """Columns speed and heading of a track, from the gradients of its two coordinates; in pieces of ``width``, see
+    ``scans``, if it is given."""
     w = Window.partitionBy(*keys).orderBy("t")
+    if width is not None:
+        s = scans.neighbours(scans.pieces(s, keys, "t", width), keys, "t", [x, y]).drop("_p")
 
     def d(c: str):
-        before, after, v = F.lag(c).over(w), F.lead(c).over(w), F.col(c)
+        before, after, v = (F.lag(c).over(w), F.lead(c).over(w), F.col(c)) if width is None else (F.col("_before")[c], F.col("_after")[c], F.col(c))
         return F.coalesce((after - before) / 2, after - v, v - before, F.lit(0.0)) * fs
 
-    return s.withColumn("_dx", d(x)).withColumn("_dy", d(y)).withColumn("speed", F.hypot("_dx", "_dy")).withColumn("heading", F.atan2("_dy", "_dx")).drop("_dx", "_dy")
+    return s.withColumn("_dx", d(x)).withColumn("_dy", d(y)).withColumn("speed", F.hypot("_dx", "_dy")).withColumn("heading", F.atan2("_dy", "_dx")).drop("_dx", "_dy", "_before", "_after")
 
 
-def directions(s: DataFrame, keys: list[str]) -> DataFrame:
+def directions(s: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:
     """(keys, direction, start, stop): runs in which the signal rises (1) or falls (-1)."""
+    if width is not None:
+        rows = scans.neighbours(scans.pieces(s, keys, "t", width), keys, "t", ["y"])
+        before, after, y = F.col("_before.y"), F.col("_after.y"), F.col("y")
+        d = F.coalesce((after - before) / 2, after - y, y - before, F.lit(0.0))
+        rows = rows.withColumn("direction", F.signum(d).cast("int")).drop("_before", "_after", "_p")
+        return scans.stays(rows, keys, "t", "direction", width).where("direction <> 0")
     w = Window.partitionBy(*keys).orderBy("t")
     g = gradient(s, keys).withColumn("direction", F.signum("dy").cast("int"))
     g = g.withColumn("_n", F.when(F.col("direction") != F.lag("direction").over(w), 1).otherwise(0)).withColumn("_run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))

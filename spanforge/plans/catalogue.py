@@ -469,7 +469,7 @@ def _(s, d):
 
 @_query("sig_cdf", f"WITH {_SIG} SELECT series_id, t, round(cume_dist() OVER (PARTITION BY series_id ORDER BY y), 9) AS p FROM sig")
 def _(s, d):
-    return _round(S.cdf(_sig(s, d), SK), "p", digits=9).select("series_id", "t", "p")
+    return _round(S.cdf(_sig(s, d), SK, width=50.0), "p", digits=9).select("series_id", "t", "p")
 
 
 @_query("geo_path_length", f"""WITH {_EV}, g AS (SELECT user_id, sqrt(power(value - lag(value) OVER w, 2) + power(h - lag(h) OVER w, 2)) AS d FROM (SELECT user_id, t, value, CAST(t AS DOUBLE) / {HOUR} AS h FROM ev) WINDOW w AS (PARTITION BY user_id ORDER BY t))

@@ -76,7 +76,7 @@ def _(s, d):
 @_query("sel_sample_ranges", f"""WITH {_SIG}, {_WIN}, x AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i FROM sig)
 SELECT series_id, interval_id, CAST(min(i) AS BIGINT) AS first, CAST(max(i) AS BIGINT) AS last FROM x JOIN win ON x.t >= start AND x.t < stop GROUP BY ALL""")
 def _(s, d):
-    return L.sample_ranges(_sig(s, d), _ev(s, d)[1], 4 * HOUR)
+    return L.sample_ranges(_sig(s, d), _ev(s, d)[1], 4 * HOUR, width=30 * DAY)
 
 
 # --- intervals ---------------------------------------------------------------------------------
@@ -140,7 +140,7 @@ def _(s, d):
 @_query("sig_sampling", f"""WITH {_SIG}, x AS (SELECT *, lead(t) OVER (PARTITION BY series_id ORDER BY t) - t AS dt FROM sig)
 SELECT series_id, count(*) AS n_samples, CAST(quantile_cont(dt, 0.5) AS DOUBLE) AS step, min(t) AS first, max(t) AS last, min(y) AS low, max(y) AS high FROM x GROUP BY series_id""")
 def _(s, d):
-    return S.sampling(_sig(s, d), SK)
+    return S.sampling(_sig(s, d), SK, width=30 * DAY)
 
 
 _LERP = """x AS (SELECT p.series_id, p.t, a.t AS t0, a.y AS y0 FROM p ASOF LEFT JOIN sig a ON p.series_id = a.series_id AND p.t >= a.t),
@@ -207,7 +207,7 @@ def _(s, d):
 n AS (SELECT *, CASE WHEN direction <> lag(direction) OVER (PARTITION BY series_id ORDER BY t) THEN 1 ELSE 0 END AS n FROM g), r AS (SELECT *, sum(n) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS r FROM n)
 SELECT series_id, direction, min(t) AS start, max(t) AS stop FROM r WHERE direction <> 0 GROUP BY series_id, r, direction""")
 def _(s, d):
-    return S.directions(_sig(s, d), SK)
+    return S.directions(_sig(s, d), SK, width=30 * DAY)
 
 
 @_query("sig_power", f"""WITH {_SIG}, c AS (SELECT series_id, y - avg(y) OVER (PARTITION BY series_id) AS y, row_number() OVER (PARTITION BY series_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY series_id) AS n FROM sig),
@@ -222,11 +222,11 @@ def _regular(s, d):
     return _hours(s, d).select(F.lit("all").alias("series_id"), ((F.col("day") * 24 + F.col("h")) * HOUR).alias("t"), F.col("n").cast("double").alias("y"))
 
 
-_QUERIES["flt_low_pass"] = lambda s, d: _round(Z.zero_phase(_regular(s, d), SK, 24.0, high=2.0, chunk=256, halo=96), "y")
-_QUERIES["flt_band_stop"] = lambda s, d: _round(Z.zero_phase(_regular(s, d), SK, 24.0, low=2.0, high=4.0, bandstop=True, chunk=256, halo=96), "y")
-_QUERIES["flt_envelope"] = lambda s, d: _round(Z.envelope(_regular(s, d), SK, 24.0, sigma=0.1, chunk=1 << 16, halo=96), "y")
-_QUERIES["flt_decimated"] = lambda s, d: _round(Z.decimated(_regular(s, d), SK, 24.0, 6.0, chunk=256, halo=96), "y")
-_QUERIES["flt_bursts"] = lambda s, d: Z.ripples(_regular(s, d), SK, 24.0, 2.0, 5.0, sigmas=1.0, least=0.05, chunk=1 << 16, halo=96)
+_QUERIES["flt_low_pass"] = lambda s, d: _round(Z.zero_phase(_regular(s, d), SK, 24.0, high=2.0, chunk=256, halo=96, width=30 * DAY), "y")
+_QUERIES["flt_band_stop"] = lambda s, d: _round(Z.zero_phase(_regular(s, d), SK, 24.0, low=2.0, high=4.0, bandstop=True, chunk=256, halo=96, width=30 * DAY), "y")
+_QUERIES["flt_envelope"] = lambda s, d: _round(Z.envelope(_regular(s, d), SK, 24.0, sigma=0.1, chunk=1 << 12, halo=96, width=30 * DAY), "y")
+_QUERIES["flt_decimated"] = lambda s, d: _round(Z.decimated(_regular(s, d), SK, 24.0, 6.0, chunk=256, halo=96, width=30 * DAY), "y")
+_QUERIES["flt_bursts"] = lambda s, d: Z.ripples(_regular(s, d), SK, 24.0, 2.0, 5.0, sigmas=1.0, least=0.05, chunk=1 << 12, halo=96, width=30 * DAY)
 
 
 # --- bins --------------------------------------------------------------------------------------
