@@ -56,7 +56,7 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(texts, hashes, edges) by runs of texts: the sorted distinct shingles of each text, one after the other."""
-    for first, last, data, offsets in chunks(texts, 1 << 22):
+    for first, last, data, offsets in chunks(texts, 1 << 21):
         low = lowered(data)
         s, e = words(low, WHITE)
         one = span_hash(low, s, e)
@@ -262,22 +262,22 @@ def _across(batch_limit: int, similarity: float, worst: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        seen: set[tuple[int, int]] = set()
+        found: list[np.ndarray] = []
+
+        def packed() -> pa.RecordBatch:
+            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["c", "u"])
 
         def made(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True])))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2 or (cols[2][a:b] == cols[2][a]).all():
                     continue
-                for us, vs in solve(*(x[a:b] for x in cols[1:])):
-                    new = [(min(u, v), max(u, v)) for u, v in zip(us.tolist(), vs.tolist(), strict=True)]
-                    new = [x for x in new if x not in seen]
-                    seen.update(new)
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    if new:
-                        c, u = zip(*new, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(u, pa.int64())], ["c", "u"])
+                for pair in solve(*(x[a:b] for x in cols[1:])):
+                    found.append(np.stack(pair))
+                    if len(found) > 20_000 or sum(map(len, found[-1])) > 100_000:
+                        yield packed()
+                        found.clear()
 
         for batch in batches:
             if not batch.num_rows:
@@ -293,6 +293,8 @@ def _across(batch_limit: int, similarity: float, worst: int):
             held = [[x[last:] for x in cols]]
         if held:
             yield from made([np.concatenate(x) for x in zip(*held, strict=True)])
+        if found:
+            yield packed()
 
     return run
 
