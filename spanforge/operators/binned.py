@@ -20,7 +20,7 @@ def grid(iv: DataFrame, ds: int) -> DataFrame:
 
 def bin_events(ev: DataFrame, iv: DataFrame, ds: int, aggregates: dict[str, Column] | None = None, bucket: int | None = None) -> DataFrame:
     """Every series, interval and bin with its aggregates (counts if none are given), zeros and nulls included."""
-    inside = restrict(ev, iv, bucket or ds * 24).withColumn("bin_idx", F.floor((F.col("t") - F.col("start")) / ds).cast("int"))
+    inside = restrict(ev, iv, bucket).withColumn("bin_idx", F.floor((F.col("t") - F.col("start")) / ds).cast("int"))
     some = inside.groupBy("series_id", "interval_id", "bin_idx").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (aggregates or {}).items()])
     cells = ev.select("series_id").distinct().crossJoin(grid(iv, ds))
     return cells.join(some, [*_GROUP, "bin_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -113,7 +113,7 @@ def without_last(b: DataFrame) -> DataFrame:
     return b.join(last, "interval_id").where(F.col("bin_idx") < F.col("_m")).drop("_m")
 
 
-def from_signal(s: DataFrame, iv: DataFrame, step: int, bucket: int) -> DataFrame:
+def from_signal(s: DataFrame, iv: DataFrame, step: int, bucket: int | None = None) -> DataFrame:
     """Samples as bins one step wide: (series_id, interval_id, bin_idx, bin_start, n), n being the sample."""
     rows = restrict(s, iv, bucket)
     w = Window.partitionBy("series_id", "interval_id").orderBy("t")

@@ -55,7 +55,7 @@ def population_rate(ev: DataFrame, iv: DataFrame, ds: int, weights: list[float]
     """(interval_id, bin_idx, bin_start, rate): events of all series a second in bins of ds, smoothed."""
     from . import binned
 
-    inside = restrict(ev, iv, max(ds * 24, 1)).withColumn("bin_idx", F.floor((F.col("t") - F.col("start")) / ds).cast("int"))
+    inside = restrict(ev, iv).withColumn("bin_idx", F.floor((F.col("t") - F.col("start")) / ds).cast("int"))
     some = inside.groupBy("interval_id", "bin_idx").agg(F.count("*").alias("n"))
     b = binned.grid(iv, ds).join(some, ["interval_id", "bin_idx"], "left").withColumn("rate", F.coalesce("n", F.lit(0)) * (second / ds)).drop("n")
     if weights is None:
@@ -85,7 +85,7 @@ def population_bursts(ev: DataFrame, iv: DataFrame, ds: int, weights: list[float
     b = bursts(population_rate(ev, iv, ds, weights), ds, **limits)
     spans = b.select("interval_id", "start", "stop")
     own = ev if unsorted is None else ev.where(F.col("series_id") != unsorted)
-    inside = restrict(own, spans, max(ds * 24, 1), closed_right=True)
+    inside = restrict(own, spans, closed_right=True)
     return inside.groupBy("interval_id", "start", "stop").agg(F.countDistinct("series_id").alias("n_active")).where(F.col("n_active") > min_active)
 
 

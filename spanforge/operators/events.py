@@ -5,21 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import points_in
 
-def restrict(ev: DataFrame, iv: DataFrame, bucket: int, closed_right: bool = False) -> DataFrame:
+
+def restrict(ev: DataFrame, iv: DataFrame, bucket: int | None = None, closed_right: bool = False, most: int | None = None) -> DataFrame:
     """Events inside an interval, with its columns; start <= t < stop (or <= stop).
 
-    Both sides are dealt out by time buckets, so the join is a hash join whatever the number of
-    intervals; an event's bucket is one of those that its interval covers.
+    Both sides are dealt out by cells of time whose width follows the intervals' lengths (see
+    ``ranges``), or by buckets of one width, which suits intervals of about that length.
     """
+    if not bucket:
+        return points_in(ev, iv, closed_right, most)
     last = F.col("stop") if closed_right else F.greatest(F.col("stop") - 1, F.col("start"))
     cells = iv.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(last / bucket))))
     end = F.col("t") <= F.col("stop") if closed_right else F.col("t") < F.col("stop")
     return ev.withColumn("_b", F.floor(F.col("t") / bucket)).join(cells, "_b").where((F.col("t") >= F.col("start")) & end).drop("_b")
 
 
-def outside(ev: DataFrame, iv: DataFrame, bucket: int) -> DataFrame:
-    """Events in no interval."""
+def outside(ev: DataFrame, iv: DataFrame, bucket: int | None = None) -> DataFrame:
+    """Events in no interval; without ``bucket`` they are those in the gaps of all intervals."""
+    if not bucket:
+        from . import scans
+        from .intervals import LEAST, MOST
+
+        some = iv.where("start < stop").select("start", "stop")
+        walls = some.sparkSession.createDataFrame([(LEAST, LEAST), (MOST, MOST)], "start long, stop long")
+        m = scans.merged(some.unionByName(walls), [])
+        next_ = scans.neighbours(scans.pieces(m, [], "start"), [], "start", [])
+        gaps = next_.select(F.col("stop").alias("_from"), F.col("_after.start").alias("_to")).where("_from < _to")
+        found = points_in(ev.withColumnsRenamed({c: f"_e_{c}" for c in ev.columns if c != "t"}), gaps.select(F.col("_from").alias("start"), F.col("_to").alias("stop")))
+        return found.select(*[F.col(c if c == "t" else f"_e_{c}").alias(c) for c in ev.columns])
     cells = iv.select(F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("stop") - 1) / bucket))).alias("_c"), "start", "stop")
     e = ev.withColumn("_b", F.floor(F.col("t") / bucket))
     return e.join(cells, (F.col("_b") == F.col("_c")) & (F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")), "left_anti").drop("_b")
@@ -63,7 +78,7 @@ def segments(ev: DataFrame, keys: list[str], step: int, inclusive: bool = False,
     return runs.groupBy(*keys, "_run").agg(F.min("t").alias("start"), (F.max("t") + (0 if inclusive else step)).alias("stop"), F.count("*").alias("n")).drop("_run")
 
 
-def retime(ev: DataFrame, collapsed: DataFrame, bucket: int) -> DataFrame:
+def retime(ev: DataFrame, collapsed: DataFrame, bucket: int | None = None) -> DataFrame:
     """Events of collapsed intervals (start, stop, new_start) at their new times."""
     return restrict(ev, collapsed, bucket).withColumn("t", F.col("t") - F.col("start") + F.col("new_start"))
 
@@ -78,7 +93,7 @@ def state_asof(points: DataFrame, ev: DataFrame, keys: list[str], state: str) ->
     return both.where("_k = 1").select(*keys, "t", F.coalesce("_last", "_first").alias("state"))
 
 
-def stateful(ev: DataFrame, iv: DataFrame, keys: list[str], state: str, bucket: int) -> DataFrame:
+def stateful(ev: DataFrame, iv: DataFrame, keys: list[str], state: str, bucket: int | None = None) -> DataFrame:
     """Step function rows (keys, t, kind, state): kind 0 and 2 at interval starts and stops with the
     carried state, kind 1 for the events inside."""
     ids = ev.select(*keys).distinct()

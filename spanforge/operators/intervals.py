@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import overlapping
+
 Keys = list[str]
 #: Ends of an unbounded domain, far beyond any time in microseconds.
 LEAST, MOST = -(2**62), 2**62
@@ -39,19 +41,17 @@ def intersect(a: DataFrame, b: DataFrame, keys: Keys, boundaries: bool = True, b
     """Overlap of each pair with a.start < b.stop and b.start < a.stop, not merged; without
     ``boundaries`` the hull of the pair.
 
-    With ``bucket``, both sides are dealt out by time buckets too, and a pair is kept in the bucket
-    where its overlap starts; so a set of many short intervals doesn't meet itself as a whole.
+    Both sides are dealt out by cells of time whose width follows their lengths (see ``ranges``), or by
+    buckets of one width, where a pair is kept in the bucket in which its overlap starts; so a set of
+    many intervals doesn't meet itself as a whole.
     """
-    o = b.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_e"))
-    on = [*keys]
-    if bucket:
-        on.append("_b")
-        a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / bucket))))
-        o = o.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket), F.floor(F.greatest(F.col("_e") - 1, F.col("_s")) / bucket))))
-    pairs = a.join(o, on).where("start < _e and _s < stop")
-    if bucket:
-        pairs = pairs.where(F.floor(F.greatest("start", "_s") / bucket) == F.col("_b"))
     lo, hi = (F.greatest, F.least) if boundaries else (F.least, F.greatest)
+    if not bucket:
+        return overlapping(a, b, keys).select(*keys, lo("start", "_s").alias("start"), hi("stop", "_e").alias("stop"))
+    o = b.select(*keys, F.col("start").alias("_s"), F.col("stop").alias("_e"))
+    a = a.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest(F.col("stop") - 1, F.col("start")) / bucket))))
+    o = o.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / bucket), F.floor(F.greatest(F.col("_e") - 1, F.col("_s")) / bucket))))
+    pairs = a.join(o, [*keys, "_b"]).where("start < _e and _s < stop").where(F.floor(F.greatest("start", "_s") / bucket) == F.col("_b"))
     return pairs.select(*keys, lo("start", "_s").alias("start"), hi("stop", "_e").alias("stop"))
 
 

@@ -47,7 +47,7 @@ def intervals_by_place(iv: DataFrame, keys: list[str], pick: slice) -> DataFrame
     return iv.withColumn("_i", F.row_number().over(w) - 1).where(_sliced("_i", pick)).drop("_i")
 
 
-def selected(ev: DataFrame, iv: DataFrame, bucket: int, labels: list | None = None) -> DataFrame:
+def selected(ev: DataFrame, iv: DataFrame, bucket: int | None = None, labels: list | None = None) -> DataFrame:
     """Events of some series inside some intervals, each once."""
     own = ev if labels is None else series_by_label(ev, labels)
     return own.join(restrict(own.select("event_id", "t"), iv, bucket).select("event_id").distinct(), "event_id", "left_semi")
@@ -72,7 +72,7 @@ def bins_by_index(b: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     return b.join(cut, ["interval_id", "bin_idx"]).select("series_id", F.col("piece").alias("interval_id"), F.col("new_idx").alias("bin_idx"), "n")
 
 
-def sample_ranges(s: DataFrame, iv: DataFrame, bucket: int, width: float = 0) -> DataFrame:
+def sample_ranges(s: DataFrame, iv: DataFrame, bucket: int | None = None, width: float = 0) -> DataFrame:
     """(series_id, interval_id, first, last): numbers of the samples inside each interval; pieces of ``width``, see ``scans``."""
     n = scans.numbered(scans.pieces(s, ["series_id"], "t", width), ["series_id"], "t", "i").drop("_p")
     return restrict(n, iv, bucket).groupBy("series_id", "interval_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))

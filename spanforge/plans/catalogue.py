@@ -201,13 +201,13 @@ def _ev(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @_query("ev_restrict", f"WITH {_EV}, {_WIN} SELECT ev.*, interval_id, start, stop FROM ev JOIN win ON t >= start AND t < stop")
 def _(s, d):
     ev, win = _ev(s, d)
-    return E.restrict(ev, win, 4 * HOUR)
+    return E.restrict(ev, win)
 
 
 @_query("ev_restrict_counts", f"WITH {_EV}, {_WIN} SELECT series_id, interval_id, count(*) AS n FROM ev JOIN win ON t >= start AND t < stop GROUP BY ALL")
 def _(s, d):
     ev, win = _ev(s, d)
-    return E.restrict(ev, win, 4 * HOUR).groupBy("series_id", "interval_id").agg(F.count("*").alias("n"))
+    return E.restrict(ev, win).groupBy("series_id", "interval_id").agg(F.count("*").alias("n"))
 
 
 @_query("ev_outside", f"WITH {_EV}, {_WIN} SELECT * FROM ev WHERE NOT EXISTS (SELECT 1 FROM win WHERE t >= start AND t < stop)")
@@ -305,7 +305,7 @@ _BIN = _binned_sql() + ", bins AS (SELECT c.*, coalesce(n, 0) AS n FROM cells c
 
 def _bins(s: SparkSession, d: str) -> DataFrame:
     ev, win = _ev(s, d)
-    return B.bin_events(ev, win, HOUR, bucket=4 * HOUR)
+    return B.bin_events(ev, win, HOUR)
 
 
 for _name, _agg, _expr in (("sum", F.sum, "sum(value)"), ("mean", F.avg, "avg(value)"), ("min", F.min, "min(value)"), ("max", F.max, "max(value)"), ("median", F.median, "median(value)")):

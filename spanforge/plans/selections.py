@@ -53,7 +53,7 @@ def _(s, d):
 @_query("sel_events_and_series", f"WITH {_EV}, {_WIN} SELECT event_id, series_id, t FROM ev WHERE series_id IN ('view', 'error') AND EXISTS (SELECT 1 FROM win WHERE t >= start AND t < stop)")
 def _(s, d):
     ev, win = _ev(s, d)
-    return L.selected(ev, win, 4 * HOUR, ["view", "error"]).select("event_id", "series_id", "t")
+    return L.selected(ev, win, labels=["view", "error"]).select("event_id", "series_id", "t")
 
 
 @_query("sel_reordered", "SELECT series_id, CAST(place AS BIGINT) AS place FROM (SELECT DISTINCT event_type AS series_id, list_position(['view', 'click', 'error'], event_type) - 1 AS place FROM events) WHERE place >= 0")
@@ -175,7 +175,7 @@ def _(s, d):
 def _(s, d):
     from ..operators.events import restrict
 
-    return S.lengths(restrict(_sig(s, d), _ev(s, d)[1], 4 * HOUR), SK)
+    return S.lengths(restrict(_sig(s, d), _ev(s, d)[1]), SK)
 
 
 @_query("sig_melted", f"WITH {_EV}, w AS (SELECT user_id, t, value, CAST(event_id AS DOUBLE) AS number FROM ev) UNPIVOT (SELECT user_id, t, value, number FROM w) ON value, number INTO NAME signal VALUE y")
