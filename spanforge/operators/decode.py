@@ -44,15 +44,20 @@ def error_cdf(decoded: DataFrame, truth: DataFrame, value: str) -> DataFrame:
 
 # --- any number of axes, windows of several bins, and cross-validation ------------------------
 
-def windowed(counts: DataFrame, group: str, w: int) -> DataFrame:
+def windowed(counts: DataFrame, group: str, w: int, partial: bool = False) -> DataFrame:
     """Sums over w neighbouring time bins of a group, one for each first bin with a whole window.
 
-    counts: (series_id, group, t_bin, n), dense.
+    counts: (series_id, group, t_bin, n), dense.  With ``partial``, a group of fewer than w bins has one
+    window of all its bins, at the first of them.
     """
     by = Window.partitionBy("series_id", group)
     on = by.orderBy("t_bin").rowsBetween(0, w - 1)
-    return (counts.withColumn("_n", F.sum("n").over(on)).withColumn("_c", F.count("*").over(on)).where(F.col("_c") == w)
-            .select("series_id", group, "t_bin", F.col("_n").alias("n")))
+    rows = counts.withColumn("_n", F.sum("n").over(on)).withColumn("_c", F.count("*").over(on))
+    whole = F.col("_c") == w
+    if partial:
+        rows = rows.withColumn("_size", F.count("*").over(by)).withColumn("_first", F.min("t_bin").over(by))
+        whole = whole | ((F.col("_size") < w) & (F.col("t_bin") == F.col("_first")))
+    return rows.where(whole).select("series_id", group, "t_bin", F.col("_n").alias("n"))
 
 
 def posterior_nd(counts: DataFrame, rates: DataFrame, axes: list[str], dt: float = 1.0, w: int = 1, uniform_if_empty: bool = False) -> DataFrame:
@@ -70,7 +75,7 @@ def posterior_nd(counts: DataFrame, rates: DataFrame, axes: list[str], dt: float
     if not uniform_if_empty:
         return out
     empty = counts.groupBy("t_bin").agg(F.sum("n").alias("_n")).where("_n = 0").select("t_bin")
-    cells = total.select(*axes).withColumn("p", 1 / F.count("*").over(Window.partitionBy(F.lit(1))))
+    cells = total.select(*axes).crossJoin(total.agg((1 / F.count("*")).alias("p")))
     return out.unionByName(empty.crossJoin(F.broadcast(cells)).select("t_bin", *axes, "p"))  # cells: the rate map's size
 
 

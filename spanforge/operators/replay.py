@@ -13,7 +13,7 @@ from .detect import runs
 def hysteresis(s: DataFrame, keys: list[str], index: str, value: str, primary: float, secondary: float) -> DataFrame:
     """(keys, first, last, best): runs at or above ``secondary`` that reach ``primary``."""
     x = F.col(value)
-    return runs(s, keys, index, x >= secondary, x).where(F.col("best") >= primary)
+    return runs(s, keys, index, x >= secondary, x).drop("n").where(F.col("best") >= primary)
 
 
 def cycled(b: DataFrame, keys: list[str], shift: Column) -> DataFrame:

@@ -9,21 +9,22 @@ from . import scans
 from .events import restrict
 
 
-def _sliced(place: str, pick: slice, n: int | None = None):
-    """Condition on a place from 0; negative bounds need the number of places."""
-    lo, hi, step = pick.start or 0, pick.stop, pick.step or 1
-    if min(lo, hi or 0) < 0:
-        raise ValueError("count from the start: the length isn't known before the query runs")
+def _sliced(place: str, pick: slice, n: str):
+    """Condition on a place from 0 of n (a column); negative bounds count from the end, steps are positive."""
+    if (step := pick.step or 1) < 1:
+        raise ValueError("rows have no order of their own, so they can't be picked backwards")
+    bound = lambda x: F.lit(x) if x >= 0 else F.greatest(F.col(n) + x, F.lit(0))
+    lo = bound(pick.start or 0)
     ok = (F.col(place) >= lo) & ((F.col(place) - lo) % step == 0)
-    return ok if hi is None else ok & (F.col(place) < hi)
+    return ok if pick.stop is None else ok & (F.col(place) < bound(pick.stop))
 
 
-def places(df: DataFrame, key: str) -> DataFrame:
-    """(key, place): the distinct keys in order, from 0.
+def places(df: DataFrame, key: str, total: str | None = None) -> DataFrame:
+    """(key, place): the distinct keys in order, from 0, and their number as ``total``.
 
     Ranges of keys are written once, and counted; so no task sees all keys.
     """
-    return scans.numbered(scans.pieces(df.select(key).distinct(), [], key), [], key, "place").select(key, "place")
+    return scans.numbered(scans.pieces(df.select(key).distinct(), [], key), [], key, "place", total).select(key, "place", *([total] if total else []))
 
 
 def series_by_label(ev: DataFrame, labels: list | None = None, first=None, last=None) -> DataFrame:
@@ -38,13 +39,14 @@ def series_by_label(ev: DataFrame, labels: list | None = None, first=None, last=
 
 def series_by_place(ev: DataFrame, pick: slice) -> DataFrame:
     """Rows of the series at these places in the order of their labels."""
-    return ev.join(places(ev, "series_id").where(_sliced("place", pick)).select("series_id"), "series_id", "left_semi")
+    return ev.join(places(ev, "series_id", "_n").where(_sliced("place", pick, "_n")).select("series_id"), "series_id", "left_semi")
 
 
 def intervals_by_place(iv: DataFrame, keys: list[str], pick: slice) -> DataFrame:
     """Intervals at these places in the order of their starts, within each set."""
     w = Window.partitionBy(*keys).orderBy("start", "stop")
-    return iv.withColumn("_i", F.row_number().over(w) - 1).where(_sliced("_i", pick)).drop("_i")
+    n = iv.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    return n.where(_sliced("_i", pick, "_n")).drop("_i", "_n")
 
 
 def selected(ev: DataFrame, iv: DataFrame, bucket: int | None = None, labels: list | None = None) -> DataFrame:

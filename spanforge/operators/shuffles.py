@@ -9,8 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def drawn(seed: int | Column, *cols: str | Column) -> Column:
@@ -24,6 +26,11 @@ def uniform(seed: int | Column, *cols: str | Column) -> Column:
     return F.conv(F.substring(drawn(seed, *cols), 1, 8), 16, 10).cast("double") / 2.0**32
 
 
+def fine_uniform(seed: int | Column, *cols: str | Column) -> Column:
+    """The same in steps of 2**-52."""
+    return F.conv(F.substring(drawn(seed, *cols), 1, 13), 16, 10).cast("double") / 2.0**52
+
+
 def time_swapped(b: DataFrame, seed: int, pooled: bool = False) -> DataFrame:
     """Bins (series_id, interval_id, bin_idx, n) in random order within each interval, all series alike;
     or dealt over the bins of all intervals (``pooled``)."""
@@ -58,20 +65,32 @@ def events_swapped(ev: DataFrame, group: str, seed: int) -> DataFrame:
     return at.drop("series_id").join(who, [group, "_k"]).drop("_k")
 
 
-def poisson_surrogate(b: DataFrame, seed: int, most: int = 40) -> DataFrame:
-    """Counts drawn from a Poisson law with each series' mean in each interval.
+def _likely(mean: float) -> tuple[int, np.ndarray]:
+    """(k, chances that a Poisson number is at most k, k + 1, ...): all but about 1e-30 of the law."""
+    reach = 12 * math.sqrt(mean) + 40
+    k = np.arange(max(0, int(mean - reach)), int(mean + reach) + 2)
+    # ln k! of the first place, then sums of logarithms
+    log_factorial = math.lgamma(k[0] + 1) + np.concatenate(([0.0], np.cumsum(np.log(k[1:]))))
+    return int(k[0]), np.cumsum(np.exp(k * math.log(mean) - mean - log_factorial))
 
-    The count is how many of the law's cumulative chances lie below one uniform number; ``most`` bounds it.
-    """
-    mean = b.groupBy("series_id", "interval_id").agg(F.avg("n").alias("_m"))
-    u = uniform(seed, "series_id", "interval_id", "bin_idx")
-    terms = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: F.exp(k * F.log("_m") - F.col("_m") - _log_factorial(k, most)))
-    below = F.aggregate(terms, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("c")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["c"] + F.when(a["s"] + x <= F.col("_u"), 1).otherwise(0)).alias("c")))
-    return b.drop("n").join(mean, ["series_id", "interval_id"]).withColumn("_u", u).withColumn("n", F.when(F.col("_m") > 0, below["c"]).otherwise(0).cast("long")).drop("_m", "_u")
+
+@F.pandas_udf(T.LongType())
+def poisson_count(mean: pd.Series, u: pd.Series) -> pd.Series:
+    """How many of the cumulative chances of the Poisson law of that mean are at most u: a draw by inversion, for any mean."""
+    out = np.zeros(len(mean), np.int64)
+    m, x = mean.to_numpy(float), u.to_numpy(float)
+    for one in np.unique(m[m > 0]):
+        at = np.flatnonzero(m == one)
+        first, below = _likely(float(one))
+        out[at] = first + np.searchsorted(below, x[at], "right")
+    return pd.Series(out)
 
 
-def _log_factorial(k: Column, most: int) -> Column:
-    return F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)]), k + 1)
+def poisson_surrogate(b: DataFrame, seed: int) -> DataFrame:
+    """Counts drawn from a Poisson law with each series' mean in each interval."""
+    mean = b.groupBy("series_id", "interval_id").agg(F.avg("n").alias("_m"))
+    u = fine_uniform(seed, "series_id", "interval_id", "bin_idx")
+    return b.drop("n").join(mean, ["series_id", "interval_id"]).withColumn("n", poisson_count("_m", u)).drop("_m")
 
 
 def shuffled_transitions(trans: DataFrame, seed: int, by: str = "i") -> DataFrame:

@@ -124,13 +124,13 @@ def _(s, d):
 
 
 _POST2 = f"""{_TB}, {_rates_sql('h, wd', '0.01e0')}, tot AS (SELECT h, wd, sum(rate) AS sr FROM r GROUP BY h, wd),
-ll AS (SELECT t_bin, r.h, r.wd, sum(n * ln(rate)) - max(sr) AS lp FROM cn JOIN r USING (series_id) JOIN tot ON tot.h = r.h AND tot.wd = r.wd WHERE t_bin % 8 = 0 GROUP BY ALL),
+ll AS (SELECT t_bin, r.h, r.wd, sum(n * ln(rate)) - max(sr) AS lp FROM cn JOIN r USING (series_id) JOIN tot ON tot.h = r.h AND tot.wd = r.wd GROUP BY ALL),
 e AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY t_bin)) AS x FROM ll), post AS (SELECT t_bin, h, wd, x / sum(x) OVER (PARTITION BY t_bin) AS p FROM e)"""
 
 
 def _post2(s, d):
     counts, _ = _tuning(s, d)
-    return D.posterior_nd(counts.where("t_bin % 8 = 0"), _map(s, d, ("h", "wd"), 0.01), ["h", "wd"])
+    return D.posterior_nd(counts, _map(s, d, ("h", "wd"), 0.01), ["h", "wd"])
 
 
 @_query("dec_posterior_2d", f"WITH {_POST2} SELECT t_bin, h, wd, round(p, 6) AS p FROM post")
@@ -147,6 +147,23 @@ def _(s, d):
     return _round(mode.join(mean, "t_bin"), "mean_h", "mean_wd")
 
 
+@_query("dec_partial_windows", f"""WITH {_TB}, {_DENSE}, z AS (SELECT * FROM dn WHERE day % 2 = 0 OR t_bin % 24 < 2), v AS (SELECT *, sum(n) OVER w AS m, count(*) OVER w AS c, count(*) OVER (PARTITION BY series_id, day) AS size, min(t_bin) OVER (PARTITION BY series_id, day) AS a FROM z WINDOW w AS (PARTITION BY series_id, day ORDER BY t_bin ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING))
+SELECT series_id, day, t_bin, CAST(m AS BIGINT) AS n FROM v WHERE c = 3 OR (size < 3 AND t_bin = a)""")
+def _(s, d):
+    return D.windowed(_dense(s, d)[0].where("day % 2 = 0 or t_bin % 24 < 2"), "day", 3, partial=True)
+
+
+@_query("dec_windowed_2d", f"""WITH {_TB}, {_DENSE}, {_rates_sql('h, wd', '0.01e0')}, v AS (SELECT *, sum(n) OVER w AS m, count(*) OVER w AS c, count(*) OVER (PARTITION BY series_id, day) AS size, min(t_bin) OVER (PARTITION BY series_id, day) AS a FROM dn WINDOW w AS (PARTITION BY series_id, day ORDER BY t_bin ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+wn AS (SELECT series_id, t_bin, m AS n FROM v WHERE c = 3 OR (size < 3 AND t_bin = a)), tot AS (SELECT h, wd, sum(rate) AS sr FROM r GROUP BY h, wd),
+ll AS (SELECT t_bin, r.h, r.wd, sum(n * ln(rate)) - 3 * max(sr) AS lp FROM wn JOIN r USING (series_id) JOIN tot ON tot.h = r.h AND tot.wd = r.wd WHERE n > 0 GROUP BY ALL),
+e AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY t_bin)) AS x FROM ll), post AS (SELECT t_bin, h, wd, x / sum(x) OVER (PARTITION BY t_bin) AS p FROM e)
+SELECT DISTINCT ON (t_bin) t_bin, h AS mode_h, wd AS mode_wd FROM post ORDER BY t_bin, round(p, 9) DESC, h, wd""")
+def _(s, d):
+    wide = D.windowed(_dense(s, d)[0], "day", 3, partial=True)
+    post = D.posterior_nd(wide, _map(s, d, ("h", "wd"), 0.01), ["h", "wd"], w=3)
+    return D.mode_nd(post, ["h", "wd"]).withColumnsRenamed({"h": "mode_h", "wd": "mode_wd"})
+
+
 @_query("dec_uniform_if_empty", f"""WITH {_TB}, {_rates_sql('h', '0.01e0')}, tot AS (SELECT h, sum(rate) AS sr FROM r GROUP BY h), c2 AS (SELECT series_id, t_bin, CASE WHEN t_bin % 5 = 0 THEN 0 ELSE n END AS n FROM cn),
 ll AS (SELECT t_bin, r.h, sum(n * ln(rate)) - max(sr) AS lp FROM c2 JOIN r USING (series_id) JOIN tot ON tot.h = r.h WHERE n > 0 GROUP BY t_bin, r.h), e AS (SELECT *, exp(lp - max(lp) OVER (PARTITION BY t_bin)) AS x FROM ll)
 SELECT t_bin, h, round(x / sum(x) OVER (PARTITION BY t_bin), 6) AS p FROM e UNION ALL SELECT t_bin, h, round(1e0 / count(*) OVER (PARTITION BY t_bin), 6) FROM (SELECT t_bin FROM c2 GROUP BY t_bin HAVING sum(n) = 0), tot""")
@@ -211,11 +228,11 @@ def _(s, d):
     return P.events_swapped(_ev(s, d)[0].select("event_id", "user_id", "series_id", "t"), "user_id", 8)
 
 
-_UN = "CAST(('0x' || substr(md5(concat_ws('/', '9', series_id, interval_id, bin_idx)), 1, 8)) AS BIGINT) / 4294967296e0"
+_UN = "CAST(('0x' || substr(md5(concat_ws('/', '9', series_id, interval_id, bin_idx)), 1, 13)) AS BIGINT) / 4503599627370496e0"
 
 
 @_query("rp_poisson", f"""WITH {_BIN}, m AS (SELECT *, avg(n) OVER (PARTITION BY series_id, interval_id) AS m, {_UN} AS u FROM bins), c AS (SELECT series_id, interval_id, bin_idx, u, k, sum(exp(k * ln(nullif(m, 0)) - m - lgamma(k + 1))) OVER (PARTITION BY series_id, interval_id, bin_idx ORDER BY k ROWS UNBOUNDED PRECEDING) AS c
-FROM m, (SELECT unnest(generate_series(0, 40)) AS k)) SELECT series_id, interval_id, CAST(bin_idx AS INTEGER) AS bin_idx, count(*) FILTER (WHERE c <= u) AS n FROM c GROUP BY ALL""")
+FROM m, (SELECT unnest(generate_series(0, (SELECT CAST(max(m) + 12 * sqrt(max(m)) + 40 AS BIGINT) FROM m))) AS k)) SELECT series_id, interval_id, CAST(bin_idx AS INTEGER) AS bin_idx, count(*) FILTER (WHERE c <= u) AS n FROM c GROUP BY ALL""")
 def _(s, d):
     return P.poisson_surrogate(_bins(s, d), 9).select("series_id", "interval_id", "bin_idx", "n")
 

@@ -35,6 +35,11 @@ def _(s, d):
     return L.series_by_place(_ev(s, d)[0], slice(1, 5, 2)).select("event_id", "series_id", "t")
 
 
+@_query("sel_places_from_the_end", f"WITH {_A}, n AS (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY start, stop) - 1 AS i, count(*) OVER (PARTITION BY set_id) AS n FROM a) SELECT set_id, start, stop FROM n WHERE i >= greatest(n - 4, 0) AND i < greatest(n - 1, 0) AND (i - greatest(n - 4, 0)) % 2 = 0")
+def _(s, d):
+    return L.intervals_by_place(_a(s, d), K, slice(-4, -1, 2))
+
+
 @_query("sel_user_places", f"WITH {_EV} SELECT user_id, CAST(row_number() OVER (ORDER BY user_id) - 1 AS BIGINT) AS place FROM (SELECT DISTINCT user_id FROM ev)")
 def _(s, d):
     return L.places(_ev(s, d)[0], "user_id").withColumnRenamed("key", "user_id")

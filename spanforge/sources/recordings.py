@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,12 +57,19 @@ def positions(spark: SparkSession, path: str, fs: float, pairs: bool = True) ->
 
 
 def marks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, label, start, stop) in seconds from lines "milliseconds start|stop label": each start with its next stop."""
+    """(path, label, start, stop) in seconds from lines "milliseconds start|stop label": each start with its next stop.
+
+    A start before the last one of its label was stopped, and a stop without a start, are left out.
+    """
     m = _lines(spark, path).select("path", "place", (F.regexp_extract("line", r"^\s*([\d.]+)", 1).cast("double") / 1000).alias("t"),
                                    F.lower(F.regexp_extract("line", r"(?i)\b(beginning|start|stop|end)\b", 1)).alias("kind"),
                                    F.trim(F.regexp_replace("line", r"(?i)^\s*[\d.]+\s+(beginning|start|stop|end)(\s+of)?\s*", "")).alias("label"))
     first, last = F.col("kind").isin("beginning", "start"), F.col("kind").isin("stop", "end")
-    return m.groupBy("path", "label").agg(F.min(F.when(first, F.col("t"))).alias("start"), F.max(F.when(last, F.col("t"))).alias("stop")).where("start is not null and stop is not null")
+    ends = m.where(first | last).withColumn("_up", first)
+    w = Window.partitionBy("path", "label").orderBy("t", "place")
+    pairs = ends.withColumn("_new", F.col("_up") & ~F.coalesce(F.lag("_up").over(w), F.lit(False)))
+    pairs = pairs.withColumn("stop", F.first(F.when(last, F.col("t")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    return pairs.where("_new and stop is not null").select("path", "label", F.col("t").alias("start"), "stop")
 
 
 def channels(spark: SparkSession, path: str, n_channels: int, fs: float, picked: list[int] | None = None) -> DataFrame:

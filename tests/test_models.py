@@ -94,6 +94,36 @@ def test_poisson_surrogates_have_the_mean(spark):
     assert abs(of["a"].m - 3) < 0.15 and abs(of["a"].v - 3) < 0.3 and of["b"].m == 0
 
 
+def test_places_from_the_end(spark):
+    rows = [(k, s, s + 1) for k, n in (("a", 9), ("b", 3), ("c", 1)) for s in range(0, 2 * n, 2)]
+    iv = spark.createDataFrame(rows, "k string, start long, stop long")
+    for pick in (slice(-4, -1, 2), slice(-20, 3), slice(2, -2), slice(None, None, 3), slice(-2, None)):
+        want = [r for k in "abc" for r in [x for x in rows if x[0] == k][pick]]
+        assert sorted(map(tuple, selection.intervals_by_place(iv, ["k"], pick).collect())) == sorted(want)
+    ev = spark.createDataFrame([(x, i) for i, x in enumerate("abcdefab")], "series_id string, t long")
+    assert {r.series_id for r in selection.series_by_place(ev, slice(-3, -1)).collect()} == {"d", "e"}
+
+
+@pytest.mark.parametrize("mean", [0.1, 3.0, 100.0, 2000.0, 1e5])
+def test_poisson_surrogates_of_any_mean(spark, mean):
+    n = 100_000
+    b = spark.range(n).select(F.lit("a").alias("series_id"), F.lit(1).cast("long").alias("interval_id"), F.col("id").cast("int").alias("bin_idx"), F.lit(mean).alias("n"))
+    got = shuffles.poisson_surrogate(b, 1).agg(F.avg("n").alias("m"), F.var_pop("n").alias("v"), F.min("n").alias("a"), F.count("*").alias("c")).first()
+    assert got.c == n and got.a >= 0
+    assert abs(got.m / mean - 1) < 0.01 * max(1, 1 / mean / 5) and abs(got.v / mean - 1) < 0.02
+
+
+def test_poisson_chances_are_exact():
+    first, below = shuffles._likely(7.5)
+    want = np.cumsum([math.exp(k * math.log(7.5) - 7.5 - math.lgamma(k + 1)) for k in range(60)])
+    assert first == 0 and np.abs(below[:60] - want).max() < 1e-13
+
+
+def test_partial_windows(spark):
+    c = spark.createDataFrame([("a", 1, t, t) for t in range(5)] + [("a", 2, 9, 7), ("a", 2, 10, 1)], "series_id string, day long, t_bin long, n long")
+    assert sorted((r.day, r.t_bin, r.n) for r in decode.windowed(c, "day", 3, partial=True).collect()) == [(1, 0, 3), (1, 1, 6), (1, 2, 9), (2, 9, 8)]
+
+
 def test_bottleneck_and_passage_variance():
     p = np.array([[0.5, 0.25, 0.25], [0.5, 0, 0.5], [0.25, 0.25, 0.5]])
     assert np.abs(markov.first_passage(p) - [[2.5, 4, 10 / 3], [8 / 3, 5, 8 / 3], [10 / 3, 4, 2.5]]).max() < 1e-9
@@ -120,7 +150,7 @@ def test_windows_of_several_bins(spark):
 
 def test_selection_refuses_what_it_cannot_know(spark):
     with pytest.raises(ValueError):
-        selection.series_by_place(spark.createDataFrame([("a",)], "series_id string"), slice(-2, None))
+        selection.series_by_place(spark.createDataFrame([("a",)], "series_id string"), slice(None, None, -1))
     bad = spark.createDataFrame([(1, 5, 3)], "set_id long, start long, stop long")
     with pytest.raises(Exception, match="stops before"):
         intervals.checked(bad).collect()

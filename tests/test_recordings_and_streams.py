@@ -29,6 +29,12 @@ def test_sessions_positions_and_marks(spark, tmp_path):
     assert sorted((r.label, r.start, r.stop) for r in recordings.marks(spark, str(tmp_path / "a.evt")).collect()) == [("rest", 5.0005, 9.0), ("run", 0.0, 5.0)]
 
 
+def test_marks_of_a_label_that_occurs_again(spark, tmp_path):
+    lines = ["1000 start of run", "2000 end of run", "3000 start of rest", "4000 end of run", "5000 start of run", "6000 start of run", "9000 end of run", "9500 start of run", "note"]
+    (tmp_path / "a.evt").write_text("\n".join(lines) + "\n")
+    assert sorted((r.label, r.start, r.stop) for r in recordings.marks(spark, str(tmp_path / "a.evt")).collect()) == [("run", 1.0, 2.0), ("run", 5.0, 9.0)]
+
+
 def test_binary_records(spark, tmp_path):
     np.arange(12, dtype="<i2").tofile(tmp_path / "a.eeg")
     got = sorted((r.channel, r.t, r.y) for r in recordings.channels(spark, str(tmp_path / "a.eeg"), 3, 10.0, [0, 2]).collect())
