@@ -11,20 +11,21 @@ last place is filled, for no later rank can be less than what is there.
 
 *Banding.*  Texts whose signatures agree in all rows of a band are candidates.  With 64 bands of
 6 rows a pair of similarity 0.8 is missed with a chance of 4e-9.  *Verification.*  No bucket is turned
-into pairs.  First every text is compared with one text of each of its buckets, the one whose own
-buckets are the fullest (the text that the others were made from, if there is one); links
-are confirmed on whole shingle sets.  What they connect needs no more comparing, so in a second
-step only texts of different components meet in a bucket: in its task, by sketches of two bits
-a place, and pairs that may be similar enough (estimate above ``similarity`` less 6.5
-deviations) are confirmed on whole sets.  *Grouping.*  Each task thins its links to a
-forest by union-find, and the forests are joined to components.
+into pairs.  First every text is compared with one other: of the fullest texts of its buckets (the fullness of a text
+is the sum of its buckets' sizes) the fullest, which is the text that a group was made from, if there is
+one.  Links are confirmed on whole shingle sets.  What they connect needs no more comparing; in a
+second step only texts of different components meet, in their bucket's task: in the first bucket that
+they share, and if sketches of two bits a place leave the similarity possible (6.5 deviations), on
+whole sets.  The likeliest come first, and a task goes on with what it has joined as one component, so it returns a
+forest and not the pairs of a group.  *Grouping.*  Union-find in each task, and joins of the
+forests to components.
 
 *Skew.*  Texts with the same bytes, and texts with the same set, are one node.  A bucket holds a
 node once, and a large group's rows go to as many buckets as there are bands.  Centres are
 sent along once for every 256 of their pairs; large buckets of the second step are dealt to blocks, and
 only texts outside the bucket's largest component visit other blocks.  A large group whose texts
-are all just below the similarity to each other and to any centre costs the square of its size in
-comparisons of sketches, not in rows.
+are all just below the similarity to each other costs the square of its size in comparisons in
+its tasks, but no rows.
 
 Defined results: a null text or one without words has an empty set and is linked with
 nothing; rows with a null id get the component of the rows they are linked with (null if none of
@@ -134,37 +135,62 @@ def most_differing(similarity: float, size: int) -> int:
     return int(np.ceil(size * (1 - same) + 6.5 * np.sqrt(size * same * (1 - same))))
 
 
-SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                          T.StructField("sketch", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(sets, bands) hashes of the bands of signatures."""
+    part = sig[:, : bands * rows].reshape(len(sig), bands, rows)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, part.shape[:2])
+    for i in range(rows):
+        key = mix(key * _ODD + part[:, :, i])
+    return key
+
+
+SIGNATURE = T.StructType([T.StructField("n", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def signature_udf(words_: int, bands: int, rows: int, size: int):
-    """binary text -> (size of its set, two hashes of the set, sketch, hashes of the bands)."""
+    """binary text -> (size of its set, two hashes of the set, hashes of the bands)."""
     sums = lambda x, edges: np.diff(np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))[edges])
 
     @F.arrow_udf(SIGNATURE)
     def signature(texts: pa.Array) -> pa.Array:
-        n, a, b, sketch, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+        n, a, b, keys = ([np.zeros(0, np.int64)] for _ in range(4))
         for _, h, edges in shingle_sets(texts.to_pylist(), words_):
-            count = np.diff(edges)
-            n.append(count)
+            n.append(np.diff(edges))
             a.append(sums(mix(h), edges).view(np.int64))
             b.append(sums(mix(h ^ _ODD), edges).view(np.int64))
-            sig = signatures(h, edges, size)
-            sketch += [x.tobytes() for x in sketches(sig)]
-            part = sig[:, : bands * rows].reshape(len(count), bands, rows)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * _ODD, part.shape[:2])
-            for i in range(rows):
-                key = mix(key * _ODD + part[:, :, i])
-            keys.append(key.reshape(-1).view(np.int64))
+            keys.append(band_keys(signatures(h, edges, size), bands, rows).reshape(-1).view(np.int64))
         of = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(np.concatenate(keys)))
-        return pa.StructArray.from_arrays([*(pa.array(np.concatenate(x)) for x in (n, a, b)), pa.array(sketch, pa.binary()), of], SIGNATURE.names)
+        return pa.StructArray.from_arrays([*(pa.array(np.concatenate(x)) for x in (n, a, b)), of], SIGNATURE.names)
 
     return signature
 
 
+def whole_udf(words_: int, bands: int, rows: int, size: int):
+    """binary text -> its sketch, 32 bits of each band's hash, and its whole set, as 64-bit words."""
+
+    @F.arrow_udf(T.BinaryType())
+    def whole(texts: pa.Array) -> pa.Array:
+        out = []
+        for count, h, edges in shingle_sets(texts.to_pylist(), words_):
+            sig = signatures(h, edges, size)
+            sketch, keys = sketches(sig), band_keys(sig, bands, rows).astype(np.uint32)
+            out += [sketch[i].tobytes() + keys[i].tobytes() + h[edges[i] : edges[i + 1]].tobytes() for i in range(count)]
+        return pa.array(out, pa.binary())
+
+    return whole
+
+
 # --- confirming -------------------------------------------------------------------------
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity (whole percents)."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if not len(small):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= round(100 * similarity) * (len(a) + len(b) - common)
+
+
 def _confirming(words_: int, similarity: float):
     """Arrow batches (g, role, id, t) sorted by g and role -> links (u, v) of each group's centre (role 0) and its members."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +203,9 @@ def _confirming(words_: int, similarity: float):
                     own = h[edges[k] : edges[k + 1]]
                     if roles[at + k] == 0:
                         group, centre, ident = gs[at + k], own, ids[at + k]
-                    elif gs[at + k] == group and len(own) and len(centre):
-                        small, large = (own, centre) if len(own) < len(centre) else (centre, own)
-                        i = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        common = int((large[i] == small).sum())
-                        if 100 * common >= round(100 * similarity) * (len(own) + len(centre) - common):
-                            us.append(ident)
-                            vs.append(ids[at + k])
+                    elif gs[at + k] == group and similar(own, centre, similarity):
+                        us.append(ident)
+                        vs.append(ids[at + k])
                 at += n
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
@@ -211,107 +233,123 @@ def lookup_chunks(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("c", F.pmod(F.xxhash64("u"), F.col("k"))).alias("g"), "u")
 
 
+class Joined:
+    """Union-find over numbers."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            up = self.parent.get(p, p)
+            self.parent[x] = up
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """False if they were joined before."""
+        a, b = self.root(a), self.root(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
 def forest(links: DataFrame) -> DataFrame:
     """Links (u, v) that connect what links connect: each task drops those within what it has joined."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (p := parent.setdefault(x, x)) != x:
-                parent[x] = p = parent[p]
-                x = p
-            return x
-
+        known = Joined()
         for batch in batches:
-            us, vs = [], []
-            for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = root(u), root(v)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            new = [(u, v) for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) if known.join(u, v)]
+            yield _pairs(new)
 
     return links.mapInArrow(run, "u long, v long")
 
 
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(rows, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+
+
 # --- buckets ----------------------------------------------------------------------------
 
 def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(met, pairs): the rows (k, u) of buckets with two nodes or more, and each bucket's star around its fullest node."""
-    b = nodes.select(F.explode("bands").alias("k"), "u")
+    """(met, pairs): the rows (k, band, u, n) of buckets with two nodes or more, and each node with the fullest of its buckets' fullest nodes."""
+    b = nodes.select(F.posexplode("bands").alias("band", "k"), "u", "n")
     met = b.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
     met = stored(met.withColumn("w", F.sum("c").over(Window.partitionBy("u"))), "met")
-    centre = F.max(F.struct("w", "u")).over(Window.partitionBy("k"))["u"]
-    return met, met.select(centre.alias("c"), "u").where("c <> u").distinct()
+    centre = met.groupBy("k").agg(F.max(F.struct("w", "u")).alias("m"))
+    best = met.select("k", "u").join(centre, "k").groupBy("u").agg(F.max("m").alias("m"))
+    return met, best.select(F.col("m.u").alias("c"), "u").where("c <> u")
+
 
+def _across(similarity: float, worst: int, words_of_sketch: int, bands: int):
+    """Arrow batches (g, id, label, n, band, guest, data) sorted by g -> links (u, v) of equal g and different label, a forest of labels in each task."""
+    head = words_of_sketch + bands // 2
 
-def _across(batch_limit: int, similarity: float, worst: int):
-    """Arrow batches (g, id, label, n, guest, sketch) sorted by g -> pairs (c, u) of equal g and different label that may be similar."""
-    def solve(ids, label, n, guest, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def solve(known: Joined, ids, label, n, band, guest, data) -> Iterator[tuple[int, int]]:
         order = np.argsort(n, kind="stable")
-        ids, label, n, guest, sketch = ids[order], label[order], n[order], guest[order], sketch[order]
+        ids, label, n, guest = ids[order], label[order], n[order], guest[order]
+        data = [np.frombuffer(data[i], np.uint64) for i in order.tolist()]
+        heads = np.stack([x[:head] for x in data])
+        sketch, keys = heads[:, :words_of_sketch], heads[:, words_of_sketch:].view(np.uint32)[:, : band[0]]
         last = np.searchsorted(n, n / similarity + 1e-9, "right")
         for i in range(len(ids) - 1):
-            for a in range(i + 1, last[i], batch_limit):
-                to = slice(a, min(a + batch_limit, last[i]))
-                some = np.flatnonzero((label[to] != label[i]) & ~(guest[to] & guest[i]))
-                some = some[differing(sketch[i], sketch[to][some]) <= worst] + a
-                if len(some):
-                    yield np.full(len(some), ids[i]), ids[some]
+            to = np.arange(i + 1, last[i])
+            to = to[(label[to] != label[i]) & ~(guest[to] & guest[i])]
+            far = differing(sketch[i], sketch[to])
+            to, far = to[far <= worst], far[far <= worst]
+            to, far = (x[~(keys[to] == keys[i]).any(axis=1)] for x in (to, far))  # pairs that met in an earlier band
+            own = int(label[i])
+            for j in to[np.argsort(far, kind="stable")].tolist():
+                if known.root(own) != known.root(int(label[j])) and similar(data[i][head:], data[j][head:], similarity):
+                    known.join(own, int(label[j]))
+                    yield int(ids[i]), int(ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        found: list[np.ndarray] = []
-
-        def packed() -> pa.RecordBatch:
-            pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["c", "u"])
-
-        def made(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            edge = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True])))
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                if b - a < 2 or (cols[2][a:b] == cols[2][a]).all():
-                    continue
-                for pair in solve(*(x[a:b] for x in cols[1:])):
-                    found.append(np.stack(pair))
-                    if len(found) > 20_000 or sum(map(len, found[-1])) > 100_000:
-                        yield packed()
-                        found.clear()
+        known, held = Joined(), []
+
+        def made(rows: list[tuple[np.ndarray, list]]) -> pa.RecordBatch:
+            cols, data = [np.concatenate(x) for x in zip(*(c for c, _ in rows), strict=True)], sum((d for _, d in rows), [])
+            edge, out = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True]))), []
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if not (cols[2][a:b] == cols[2][a]).all():
+                    out += solve(known, *(x[a:b] for x in cols[1:]), data[a:b])
+            return _pairs(out)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]]
-            cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-            held.append(cols)
-            if held[0][0][0] == cols[0][-1]:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
-            yield from made([x[:last] for x in cols])
-            held = [[x[last:] for x in cols]]
+            cols, data = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], batch.column(6).to_pylist()
+            other = np.flatnonzero(cols[0] != cols[0][-1])
+            last = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+            if held and (last or held[-1][0][0][-1] != cols[0][0]):
+                held.append(([c[:last] for c in cols], data[:last]))
+                yield made(held)
+                held = []
+            elif last:
+                yield made([([c[:last] for c in cols], data[:last])])
+            held.append(([c[last:] for c in cols], data[last:]))
         if held:
-            yield from made([np.concatenate(x) for x in zip(*held, strict=True)])
-        if found:
-            yield packed()
+            yield made(held)
 
     return run
 
 
-def _crossing(nodes: DataFrame, met: DataFrame, labels: DataFrame, similarity: float, size: int, most: int) -> DataFrame:
-    """Distinct pairs (c, u) of nodes that share a bucket, lie in different components and may be similar."""
-    own = nodes.select("u", "n", "sketch").join(labels.select(F.col("node").alias("u"), "label"), "u", "left").withColumn("label", F.coalesce("label", "u"))
-    named = stored(met.select("k", "u").join(own.select("u", "label"), "u"), "named")
-    by = named.groupBy("k", "label").agg(F.count("*").alias("c")).groupBy("k").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-    open_ = named.join(by.where("labels > 1").select("k", F.ceil(F.col("m") / most).alias("blocks"), F.col("top.label").alias("top")), "k")
-    home = F.pmod(F.xxhash64("u"), F.col("blocks"))
-    homes = open_.select(F.xxhash64("k", home).alias("g"), "u", F.lit(False).alias("guest"))
-    tours = (open_.where("blocks > 1 and label <> top").withColumn("home", home).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .where("at <> home").select(F.xxhash64("k", "at").alias("g"), "u", F.lit(True).alias("guest")))
-    rows = homes.union(tours).join(own, "u").select("g", F.col("u").alias("id"), "label", "n", "guest", "sketch")
-    found = rows.repartition(parts(nodes.sparkSession), "g").sortWithinPartitions("g").mapInArrow(_across(8192, similarity, most_differing(similarity, size)), "c long, u long")
-    return found.distinct()
+def _crossing(texts: DataFrame, met: DataFrame, labels: DataFrame, words_: int, similarity: float, bands: int, rows: int, size: int, most: int) -> DataFrame:
+    """Links (u, v) that join the components of the similar texts that share a bucket and are in different ones."""
+    own = met.select("k", "band", "u", "n").join(labels.select(F.col("node").alias("u"), "label"), "u", "left").withColumn("label", F.coalesce("label", "u"))
+    own = stored(own, "named")
+    by = own.groupBy("k", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    by = by.groupBy("k").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.sum("n").alias("s"), F.max(F.struct("c", "label")).alias("top"))
+    blocks = F.ceil(F.greatest(F.col("m") / most, F.col("s") / (most * 512)))
+    open_ = own.join(by.where("labels > 1").select("k", blocks.alias("blocks"), F.col("top.label").alias("top")), "k")
+    open_ = stored(open_, "open").withColumn("home", F.pmod(F.xxhash64("u"), F.col("blocks")))
+    homes = open_.select(F.xxhash64("k", "home").alias("g"), "u", "label", "n", "band", F.lit(False).alias("guest"))
+    tours = (open_.where("blocks > 1 and label <> top").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .where("at <> home").select(F.xxhash64("k", "at").alias("g"), "u", "label", "n", "band", F.lit(True).alias("guest")))
+    data = texts.join(open_.select("u").distinct(), "u").select("u", whole_udf(words_, bands, rows, size)("t").alias("data"))
+    each = homes.union(tours).join(data, "u").select("g", F.col("u").alias("id"), "label", "n", "band", "guest", "data")
+    return (each.repartition(parts(texts.sparkSession), "g").sortWithinPartitions("g")
+            .mapInArrow(_across(similarity, most_differing(similarity, size), -(-size // 32), bands), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, bands: int = 64, rows: int = 6, size: int = 389,
@@ -321,21 +359,21 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, ba
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     ``similarity`` (whole percents); component_id is the smallest id reachable.
     """
-    if bands * rows > size:
-        raise ValueError("the signature is shorter than its bands")
+    if bands * rows > size or bands % 2:
+        raise ValueError("the signature is shorter than its bands, or their number is odd")
     spark = docs.sparkSession
     hashed = keyed(docs, id_col, text_col)
     texts = distinct_texts(hashed, 0)
     release(spark)
     seen = stored(texts.select("u", "h", "m", signature_udf(words, bands, rows, size)("t").alias("s")).select("u", "h", "m", "s.*"), "signatures")
-    sets = stored(seen.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("u", "n", "sketch", "bands")).alias("one"), F.count("*").alias("n_texts")), "sets")
+    sets = stored(seen.where("n > 0").groupBy("a", "b").agg(F.min(F.struct("u", "n", "bands")).alias("one"), F.count("*").alias("n_texts")), "sets")
     nodes = sets.select("one.*")
     met, stars = _stars(nodes)
     links = cut(forest(confirmed(texts, stars, words, similarity)))
     labels = connected_components(links)
     release(spark)
-    more = confirmed(texts, _crossing(nodes, met, labels, similarity, size, most), words, similarity)
-    labels = connected_components(forest(links.union(more)))
+    more = _crossing(texts, met, labels, words, similarity, bands, rows, size, most)
+    labels = connected_components(links.union(more))
     release(spark)
     of_set = sets.select("a", "b", F.col("one.u").alias("node"), F.col("n_texts").alias("n")).join(labels, "node", "left")
     named = lookup(seen.where("n > 0").select("h", "m", "a", "b", F.col("n").alias("n_shingles")), of_set.select("a", "b", "n", F.coalesce("label", "node").alias("label")), ["a", "b"])
