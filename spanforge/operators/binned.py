@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +22,27 @@ def grid(iv: DataFrame, ds: int) -> DataFrame:
             .select("interval_id", "bin_idx", (F.col("start") + F.col("bin_idx") * F.lit(ds).cast("long")).alias("bin_start")))
 
 
-def bin_events(ev: DataFrame, iv: DataFrame, ds: int, aggregates: dict[str, Column] | None = None, bucket: int | None = None) -> DataFrame:
-    """Every series, interval and bin with its aggregates (counts if none are given), zeros and nulls included."""
+def grouped(f: Callable[[np.ndarray], float]):
+    """A function of a bin's values, as an aggregate over Arrow batches."""
+    @F.pandas_udf("double")
+    def aggregate(v: pd.Series) -> float:
+        return f(v.to_numpy())
+
+    return aggregate
+
+
+def bin_events(ev: DataFrame, iv: DataFrame, ds: int, aggregates: dict[str, Column | Callable[[np.ndarray], float]] | None = None, bucket: int | None = None,
+               value: str = "value") -> DataFrame:
+    """Every series, interval and bin with its aggregates (counts if none are given), zeros and nulls included.
+
+    An aggregate is a column of aggregate functions, or a function that gets the bin's values of the
+    column ``value`` and returns a number; such functions see bins that have an event.
+    """
     inside = restrict(ev, iv, bucket).withColumn("bin_idx", F.floor((F.col("t") - F.col("start")) / ds).cast("int"))
-    some = inside.groupBy("series_id", "interval_id", "bin_idx").agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (aggregates or {}).items()])
+    by, every = [*_GROUP, "bin_idx"], aggregates or {}
+    some = inside.groupBy(*by).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in every.items() if isinstance(c, Column)])
+    if own := {k: f for k, f in every.items() if not isinstance(f, Column)}:  # Spark doesn't mix both kinds in one aggregation
+        some = some.join(inside.groupBy(*by).agg(*[grouped(f)(F.col(value).cast("double")).alias(k) for k, f in own.items()]), by)
     cells = ev.select("series_id").distinct().crossJoin(grid(iv, ds))
     return cells.join(some, [*_GROUP, "bin_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,3 +138,27 @@ class RateMap:
     def score(self, counts: DataFrame, bins: DataFrame, dt: float = 1.0) -> DataFrame:
         """One row: the mean log likelihood of a time bin, and how many there were."""
         return self.score_samples(counts, bins, dt).agg(F.avg("loglik").alias("score"), F.count("*").alias("n_bins"))
+
+
+# --- covariates from signals ---------------------------------------------------------------------
+
+def covariate_bins(iv: DataFrame, s: DataFrame, ds: int, transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(interval_id, t_bin, t, y): a signal (t, y) at the middle of each whole bin of the support; t_bin is the bin's start.
+
+    Values come from samples of the bin's own interval (see ``signals.in_support``).  ``transform`` may change the rows, as
+    to other covariates; rows that it leaves out count neither as time nor as events.
+    """
+    from .binned import grid
+    from .signals import in_support
+
+    middle = grid(iv, ds).select((F.col("bin_start") + F.lit(ds / 2)).alias("t"), F.col("bin_start").alias("t_bin"))
+    at = in_support(middle, s.select(F.col("t").cast("double").alias("t"), "y"), iv, [])
+    rows = at.join(middle, "t").select("interval_id", "t_bin", "t", "y")
+    return rows if transform is None else transform(rows)
+
+
+def map_of_signal(b: DataFrame, iv: DataFrame, s: DataFrame, ds: int, axes: dict[str, tuple[float, float, int]], floor: float = 0.0,
+                  transform: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(series_id, axes, occupancy, rate) of bins (series_id, bin_start, n) by a signal's binned value; axes: see ``binned_axes``."""
+    bins = binned_axes(covariate_bins(iv, s, ds, transform), axes).select("t_bin", *axes)
+    return rate_map(b.select("series_id", F.col("bin_start").alias("t_bin"), "n"), bins, list(axes), floor)

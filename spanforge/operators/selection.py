@@ -78,3 +78,28 @@ def sample_ranges(s: DataFrame, iv: DataFrame, bucket: int | None = None, width:
     """(series_id, interval_id, first, last): numbers of the samples inside each interval; pieces of ``width``, see ``scans``."""
     n = scans.numbered(scans.pieces(s, ["series_id"], "t", width), ["series_id"], "t", "i").drop("_p")
     return restrict(n, iv, bucket).groupBy("series_id", "interval_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+
+
+def partitioned(s: DataFrame, iv: DataFrame, n: int | None = None, ds: int | None = None) -> DataFrame:
+    """Events or samples with the piece (interval_id, piece, start, stop) of the support that holds them: each interval cut
+    into n equal pieces, or into pieces of ``ds`` with the rest last."""
+    length = F.col("stop") - F.col("start")
+    step = F.lit(ds) if ds else F.ceil(length / n).cast("long")
+    count = F.greatest(F.ceil(length / step).cast("int"), F.lit(1))
+    cut = (iv.select("interval_id", "start", "stop").withColumn("_w", step).withColumn("piece", F.explode(F.sequence(F.lit(0), count - 1)))
+           .select("interval_id", "piece", (F.col("start") + F.col("piece") * F.col("_w")).alias("start"), F.least(F.col("start") + (F.col("piece") + 1) * F.col("_w"), "stop").alias("stop")))
+    return restrict(s, cut)
+
+
+def sliced(s: DataFrame, iv: DataFrame, intervals: slice | list | None = None, series: slice | list | None = None) -> DataFrame:
+    """Samples of some series inside some intervals: each picked by places, in the order of starts or labels, or by labels."""
+    if isinstance(series, slice):
+        s = series_by_place(s, series)
+    elif series is not None:
+        s = series_by_label(s, series)
+    if isinstance(intervals, slice):
+        at = places(iv.withColumn("_key", F.struct("start", "stop", "interval_id")), "_key", "_n")
+        iv = at.where(_sliced("place", intervals, "_n")).select("_key.interval_id", "_key.start", "_key.stop")
+    elif intervals is not None:
+        iv = iv.where(F.col("interval_id").isin(intervals))
+    return restrict(s, iv)

@@ -249,3 +249,17 @@ def power(s: DataFrame, keys: list[str], waves: list[int]) -> DataFrame:
     sums = each.groupBy(*keys, "k", "_n").agg(F.sum(F.col("y") * F.cos("_a")).alias("_c"), F.sum(F.col("y") * F.sin("_a")).alias("_s"))
     twice = F.when((F.col("k") > 0) & (2 * F.col("k") < F.col("_n")), 2).otherwise(1)
     return sums.select(*keys, "k", (twice * (F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / F.col("_n")).alias("power"))
+
+
+def in_support(points: DataFrame, s: DataFrame, iv: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, interval_id, t, y): the signal at points (keys, t), from the samples of the interval that holds the point.
+
+    Linear between an interval's own samples and constant beyond them; never across a gap of the support,
+    and nothing where an interval has no sample.
+    """
+    from .ranges import points_in
+
+    spans = iv.select("interval_id", "start", "stop")
+    inner = points_in(s.select(*keys, "t", "y"), spans).drop("start", "stop")
+    at = points_in(points.select(*keys, "t").distinct(), spans).drop("start", "stop")
+    return interpolate(at, inner, [*keys, "interval_id"]).where("y is not null")

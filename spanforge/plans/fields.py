@@ -10,6 +10,7 @@ from ..operators import hmm as H
 from ..operators import markov as M
 from ..operators import ratemap as R
 from ..operators import shuffles as P
+from ..scratch import written
 from .catalogue import _BIN, _EV, _INFO, _MK, _POST, _QUERIES, _TB, _bins, _ev, _posterior, _query, _rates_sql, _round, _trans, _tuning
 
 _W = gaussian_weights(1.0, 2.0)
@@ -282,9 +283,6 @@ def _(s, d):
     return _round(P.trajectory_score(rows, lines, 24, 2, True), "score")
 
 
-_QUERIES["rp_best_line"] = lambda s, d: _round(P.best_line(_events_post(s, d)[0], 24, 200, 2, 11), "slope", "intercept", "score")
-
-
 @_query("rp_consecutive_above", f"""WITH {_BIN}, pv AS (SELECT interval_id, bin_idx, sum(n) / 40e0 AS p FROM bins GROUP BY ALL), r AS (SELECT interval_id, min(bin_idx) AS a, max(bin_idx) AS z, count(*) AS c FROM (SELECT *, bin_idx - row_number() OVER (PARTITION BY interval_id ORDER BY bin_idx) AS g FROM pv WHERE p > 0.3e0) GROUP BY interval_id, g)
 SELECT e.interval_id, CAST(coalesce(max(c), 0) AS INTEGER) AS longest, coalesce(max(c), 0) >= 3 AS passes, coalesce(max(CASE WHEN z = m THEN c END), 0) >= 3 AS trailing FROM (SELECT interval_id, max(bin_idx) AS m FROM pv GROUP BY interval_id) e LEFT JOIN r USING (interval_id) GROUP BY e.interval_id""")
 def _(s, d):
@@ -306,7 +304,7 @@ def _(s, d):
 def _fitted(s, d):
     b = _bins(s, d)
     series = H.series_of(b)
-    w = H.wide(b, series).cache()  # every round reads it; a lost executor's part is made again
+    w = written(H.wide(b, series), "wide")  # every round reads it
     return w, H.fit(w, H.initial(w, series, 3), 2), series
 
 

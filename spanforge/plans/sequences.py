@@ -8,6 +8,7 @@ from ..functions.timeops import DAY, HOUR, floordiv
 from ..operators import detect as X
 from ..operators import hmm as H
 from ..operators import replay as P
+from ..scratch import written
 from ..sources.tables import events
 from .catalogue import _BIN, _EV, _HOURS, _bins, _hours, _query, _QUERIES, _round, _runs_sql
 
@@ -78,7 +79,7 @@ def _(s, d):
 def _fitted(s, d):
     b = _bins(s, d)
     series = H.series_of(b)
-    w = H.wide(b, series).cache()  # every round reads it; a lost executor's part is made again
+    w = written(H.wide(b, series), "wide")  # every round reads it
     return w, H.fit(w, H.initial(w, series, 3), 3)
 
 
