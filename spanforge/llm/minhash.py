@@ -271,11 +271,15 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 # --- buckets ----------------------------------------------------------------------------
 
-def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(met, pairs): the rows (k, band, u, n) of buckets with two nodes or more, and each node with the fullest of its buckets' fullest nodes."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(k, band, u, n, c): the buckets k of nodes (u, n, bands) that have two nodes or more, and their sizes c."""
     b = nodes.select(F.posexplode("bands").alias("band", "k"), "u", "n")
-    met = b.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
-    met = stored(met.withColumn("w", F.sum("c").over(Window.partitionBy("u"))), "met")
+    return b.withColumn("c", F.count("*").over(Window.partitionBy("k"))).where("c > 1")
+
+
+def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(met, pairs): the nodes' buckets, and each node with the fullest of its buckets' fullest nodes."""
+    met = stored(buckets(nodes).withColumn("w", F.sum("c").over(Window.partitionBy("u"))), "met")
     centre = met.groupBy("k").agg(F.max(F.struct("w", "u")).alias("m"))
     best = met.select("k", "u").join(centre, "k").groupBy("u").agg(F.max("m").alias("m"))
     return met, best.select(F.col("m.u").alias("c"), "u").where("c <> u")
@@ -334,7 +338,7 @@ def _across(similarity: float, worst: int, words_of_sketch: int, bands: int):
     return run
 
 
-def _crossing(texts: DataFrame, met: DataFrame, labels: DataFrame, words_: int, similarity: float, bands: int, rows: int, size: int, most: int) -> DataFrame:
+def crossing(texts: DataFrame, met: DataFrame, labels: DataFrame, words_: int, similarity: float, bands: int, rows: int, size: int, most: int) -> DataFrame:
     """Links (u, v) that join the components of the similar texts that share a bucket and are in different ones."""
     own = met.select("k", "band", "u", "n").join(labels.select(F.col("node").alias("u"), "label"), "u", "left").withColumn("label", F.coalesce("label", "u"))
     own = stored(own, "named")
@@ -372,7 +376,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, ba
     links = cut(forest(confirmed(texts, stars, words, similarity)))
     labels = connected_components(links)
     release(spark)
-    more = _crossing(texts, met, labels, words, similarity, bands, rows, size, most)
+    more = crossing(texts, met, labels, words, similarity, bands, rows, size, most)
     labels = connected_components(links.union(more))
     release(spark)
     of_set = sets.select("a", "b", F.col("one.u").alias("node"), F.col("n_texts").alias("n")).join(labels, "node", "left")

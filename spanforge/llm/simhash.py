@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import minhash
 from ._bytes import LOWER, mix
 from ._frame import Framed, narrow, table
 from ._graph import connected_components
@@ -311,6 +312,10 @@ def near_reference(docs: DataFrame, reference: DataFrame, words: int = 4, radius
 
 # --- documents of 0.8 similarity or more -------------------------------------------------
 
+#: Bands, rows and places of the signatures that complete the trees' search.
+_ROWS = (64, 6, 389)
+
+
 def _shingle_set_udf(words: int):
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def shingle_set(texts: pa.Array) -> pa.Array:
@@ -321,158 +326,29 @@ def _shingle_set_udf(words: int):
     return shingle_set
 
 
-def _counted(rows: DataFrame, words: int, share: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of one text (u, t) in ``share`` and their counts there, by hash.
-
-    Only the order of shingles depends on them, no result does.
-    """
-    some = rows.where(F.pmod("u", F.lit(share)) == 0)
-    n = cut(some.select(F.explode(_shingle_set_udf(words)("t")).alias("t")).groupBy("t").agg(F.count("*").alias("n")).where("n > 2"))
-    least, total = 1 << 62, 0
-    for r in sorted(n.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r.n):
-        total += r.m
-        if total > most:
-            break
-        least = r.n
-    found = sorted((r.t % 2**64, r.n) for r in n.where(F.col("n") >= least).collect())
-    return np.array([t for t, _ in found], np.uint64), np.array([c for _, c in found], np.int64)
-
-
-def prefix(own: np.ndarray, similarity: float, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest of a set's shingles, so many that sets of that Jaccard similarity share one.
-
-    Of n shingles, a set as similar as that has at least ``similarity * n``, so it can't miss all
-    of n less that number and one.  All sets must be ordered alike: by count, then by hash.
-    """
-    rank = np.zeros(len(own), np.int64)
-    if len(often):
-        i = np.minimum(np.searchsorted(often, own), len(often) - 1)
-        rank = np.where(often[i] == own, counts[i], 0)
-    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
-    return own[np.lexsort((own, rank))[:n]]
-
+SIGNATURE = T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.ArrayType(T.LongType()))])
 
-SIGNATURE = T.StructType([T.StructField("key", T.StringType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("n", T.IntegerType()), T.StructField("t", T.ArrayType(T.IntegerType())), T.StructField("hot", T.ArrayType(T.IntegerType()))])
 
-
-def _folded(shingles: np.ndarray) -> np.ndarray:
-    return np.unique((shingles >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-
-
-def _signature_udf(words: int, n_words: int, similarity: float, often: np.ndarray, counts: np.ndarray, hot: int):
-    """binary text -> (key of its words, fingerprint words, number of shingles, its prefix's shingles
-    folded to 32 bits, those of them that the sample counts at least ``hot`` times)."""
-    many = _folded(often[counts >= hot])
+def _signature_udf(words: int, n_words: int):
+    """binary text -> (key of its words, fingerprint words)."""
 
     @F.arrow_udf(SIGNATURE)
     def signature(texts: pa.Array) -> pa.Array:
-        keys, fps, n, cold, warm, held, size = [], [], [], [], [], [], 0
+        keys, fps, held, size = [], [], [], 0
         for i, t in enumerate(texts):
             t = t.as_py() or b""
             keys.append(xxhash.xxh3_128_hexdigest(b" ".join(t.translate(LOWER).split())))
-            own = np.unique(shingle_hashes(t, words))
-            n.append(len(own))
-            tokens = _folded(prefix(own, similarity, often, counts))
-            frequent = np.isin(tokens, many)
-            cold.append(tokens[~frequent])
-            warm.append(tokens[frequent])
-            held.append(own)
-            size += len(own)
+            held.append(np.unique(shingle_hashes(t, words)))
+            size += len(held[-1])
             if size > 100_000 or len(held) >= 256 or i == len(texts) - 1:
                 fps.append(majority(held, n_words))
                 held, size = [], 0
-
-        def lists(x: list[np.ndarray]) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *x])))
-
         fp = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * n_words), pa.array(np.concatenate(fps).ravel().view(np.int64) if fps else np.zeros(0, np.int64)))
-        return pa.StructArray.from_arrays([pa.array(keys, pa.string()), fp, pa.array(n, pa.int32()), lists(cold), lists(warm)], SIGNATURE.names)
+        return pa.StructArray.from_arrays([pa.array(keys, pa.string()), fp], SIGNATURE.names)
 
     return signature
 
 
-#: Up to this size groups are compared all at once.
-_SMALL = 32
-
-
-def needed(na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
-    """How many shingles the prefixes of two sets of these sizes share at least if the sets are that similar.
-
-    What both sets share is in both prefixes, or in the rest of the set whose prefix ends first.
-    """
-    rest = np.maximum(*[np.maximum(np.ceil(similarity * n - 1e-9) - 1, 0) for n in (na, nb)])
-    return np.maximum(np.ceil(similarity / (1 + similarity) * (na + nb) - 1e-6) - rest, 1).astype(np.int32)
-
-
-def crossing(g: np.ndarray, ids: np.ndarray, label: np.ndarray, n: np.ndarray, guest: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of ids of equal g and different label whose sizes n allow that Jaccard similarity, and what they need.
-
-    Guests are compared with those that are at home in g, not with each other.
-    """
-    order = np.lexsort((n, g))
-    g, ids, label, n, guest = g[order], ids[order], label[order], n[order], guest[order]
-    edge = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
-    size = np.diff(edge)
-    small = np.repeat(size <= _SMALL, size)
-    for j in range(1, min(_SMALL, len(g))):
-        i = np.flatnonzero((g[j:] == g[:-j]) & small[j:])
-        i = i[(label[i] != label[i + j]) & (n[i] >= similarity * n[i + j] - 1e-9) & ~(guest[i] & guest[i + j])]
-        yield ids[i], ids[i + j], needed(n[i], n[i + j], similarity)
-    for k in np.flatnonzero(size > _SMALL):
-        a, b = edge[k], edge[k + 1]
-        last = np.searchsorted(n[a:b], n[a:b] / similarity + 1e-9, "right") + a
-        for i in range(a, b - 1):
-            to = slice(i + 1, last[i - a])
-            ok = (label[to] != label[i]) & ~(guest[to] & guest[i])
-            if ok.any():
-                other = ids[to][ok]
-                yield np.full(len(other), ids[i]), other, needed(n[i], n[to][ok], similarity)
-
-
-def _crossing(similarity: float):
-    """Arrow batches (g, id, label, n, guest) sorted by g -> (a, b, c, need): pairs, how often they met and need to meet."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def made() -> pa.RecordBatch:
-            a, b, need = (np.concatenate(x) for x in zip(*out, strict=True))
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((b, a))
-            a, b, need = a[order], b[order], need[order]
-            first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            times = np.diff(np.append(first, len(a)))
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(times), pa.array(need[first])], ["a", "b", "c", "need"])
-
-        def solve(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            nonlocal out, size
-            for found in crossing(*cols, similarity):
-                if len(found[0]):
-                    out.append(found)
-                    size += len(found[0])
-                if size > 500_000:
-                    yield made()
-                    out, size = [], 0
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            if held[0][0][0] == held[-1][0][-1]:
-                continue
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = int(np.flatnonzero(cols[0] != cols[0][-1])[-1]) + 1
-            yield from solve([x[:last] for x in cols])
-            held = [[x[last:] for x in cols]]
-        if held:
-            yield from solve([np.concatenate(x) for x in zip(*held, strict=True)])
-        if size:
-            yield made()
-
-    return run
-
-
 def _similar(texts: DataFrame, todo: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the links (a, b) of texts whose whole shingle sets are similar, as (u, v)."""
     involved = todo.select(F.col("a").alias("u")).union(todo.select("b")).distinct()
@@ -523,29 +399,6 @@ def _tree_links(sig: DataFrame, labels: DataFrame | None, bands: range, band_bit
     return cut(across.union(same.select("a", "b")))
 
 
-def _prefix_links(sig: DataFrame, labels: DataFrame, similarity: float, most: int) -> DataFrame:
-    """All links (a, b) of texts of different label that share a prefix shingle and can be that similar.
-
-    Frequent shingles are counted first: those whose texts have one label need no search, and one
-    with more than ``most`` texts is searched in blocks: texts of its most frequent label stay in
-    their block, the others also visit every other block.
-    """
-    own = stored(_labelled(sig, labels).select("u", "label", "n", "t", "hot"), "prefixes")
-    cold = own.select(F.explode("t").alias("t"), "u", "label", "n").select(F.col("t").cast("long").alias("g"), "u", "label", "n", F.lit(False).alias("guest"))
-    hot = own.select(F.explode("hot").alias("t"), "u", "label", "n")
-    by = hot.groupBy("t", "label").agg(F.count("*").alias("c")).groupBy("t").agg(F.count("*").alias("k"), F.sum("c").alias("m"), F.max(F.struct("c", "label")).alias("top"))
-    by = stored(by.where("k > 1").select("t", F.ceil(F.col("m") / most).alias("blocks"), F.col("top.label").alias("top")), "frequent")
-    met = hot.join(by, "t")
-    home = F.pmod(F.xxhash64("u"), F.col("blocks"))
-    homes = met.select(F.xxhash64("t", home).alias("g"), "u", "label", "n", F.lit(False).alias("guest"))
-    tours = (met.where("blocks > 1 and label <> top").withColumn("home", home).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .where("at <> home").select(F.xxhash64("t", "at").alias("g"), "u", "label", "n", F.lit(True).alias("guest")))
-    cross = (cold.union(homes).union(tours).repartition(parts(sig.sparkSession), "g").sortWithinPartitions("g")
-             .mapInArrow(_crossing(similarity), "a long, b long, c long, need int").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")))
-    # shingles that are folded to the same 32 bits count once, so one less is enough
-    return cut(cross.where("c >= need - 1").select("a", "b"))
-
-
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 14, bands: int = 32,
                    band_bits: int = 24, tree_size: int = 512, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h, m, group) of every text; h and m: its 64-bit hash and md5.
@@ -558,19 +411,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     these left.  Every candidate link is checked on the whole shingle sets, and only checked
     links make components.
 
-    The trees miss some pairs, so the rest is searched exactly: two sets of that similarity share
-    a shingle of their prefixes (see ``prefix``).  Pairs that share one, lie in different
-    components of checked links and are of fitting size are checked as well, all of them.
+    The trees miss some pairs (one at exactly 0.8 shares a band with a chance of about two in five).
+    So texts of different components that share a band of SuperMinHash rows are compared on whole sets in
+    the band's task (see ``minhash.crossing``), which misses a pair at 0.8 with a chance of 4e-9
+    and returns a forest, not the pairs of a group.
     """
     spark = docs.sparkSession
     texts = distinct_texts(hashed(docs, id_col, text_col), 0)
     release(spark)
     n_words = 1 + -(-bands * band_bits // 64)
-    often, counts = _counted(texts, words, 4, 400_000)
-    signature = _signature_udf(words, n_words, similarity, often, counts, max(3, most // 4))
-    seen = stored(texts.select("u", "h", "m", signature("t").alias("s")), "signatures")
+    seen = stored(texts.select("u", "h", "m", _signature_udf(words, n_words)("t").alias("s"), minhash.signature_udf(words, *_ROWS)("t").alias("x")), "signatures")
     one = seen.groupBy("s.key").agg(F.min("u").alias("node"))
-    sig = seen.select("u", "s.fp", "s.n", "s.t", "s.hot").join(one.select(F.col("node").alias("u")), "u", "left_semi")
+    sig = seen.select("u", "s.fp", "x.n", "x.bands").join(one.select(F.col("node").alias("u")), "u", "left_semi")
     sig = stored(sig, "nodes")
     good, labels = None, None
     few = min(bands, 4)
@@ -580,7 +432,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
             good = found if good is None else good.union(found)
             labels = connected_components(good)
             release(spark)
-    labels = connected_components(good.union(_similar(texts, _prefix_links(sig, labels, similarity, most), words, similarity)))
+    met = stored(minhash.buckets(sig.where("n > 0")), "met")
+    labels = connected_components(good.union(minhash.crossing(texts, met, labels, words, similarity, *_ROWS, most)))
     release(spark)
     of = seen.select("h", "m", "s.key").join(one, "key")
     return of.join(labels, "node", "left").select("h", "m", F.coalesce("label", "node").alias("group"))
