@@ -8,7 +8,7 @@ from math import lgamma
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -451,7 +451,7 @@ def null_scores(w: DataFrame, models: dict[int, Model], kind: str, n: int, seed:
     """(interval_id, shuffle, n_bins, loglik): each interval of w (interval_id, bin_idx, x, fold) under the model of its fold,
     for n shuffles of its bins, or of the model's transitions.
 
-    ``kind``: one of ``shuffled``, ``transitions``, or ``pooled``, which deals bins over all intervals of a fold.  One plan,
+    ``kind``: one of ``shuffled``, ``transitions`` (in each row), ``columns`` (in each column), or ``pooled``, which deals bins over all intervals of a fold.  One plan,
     whose size depends on neither; a task takes an interval and up to ``per`` of its shuffles, and what
     is drawn follows from seed, interval and shuffle alone.
     """
@@ -467,8 +467,9 @@ def null_scores(w: DataFrame, models: dict[int, Model], kind: str, n: int, seed:
         x, i, fold, part = _counts(g), int(g["interval_id"].iloc[0]), int(g["fold"].iloc[0]), int(g["_part"].iloc[0])
         rows = []
         for j in range(part * per, min((part + 1) * per, n)):
-            if kind == "transitions":
-                value = recursions(with_shuffled_transitions(models[fold], [seed % 2**32, fold, j]), x)[0]
+            if kind in ("transitions", "columns"):
+                change = with_shuffled_transitions if kind == "transitions" else with_shuffled_columns
+                value = recursions(change(models[fold], [seed % 2**32, fold, j]), x)[0]
             else:
                 value = recursions(models[fold], shuffled(x, kind, _rng(seed, i, j)))[0]
             rows.append((i, j, len(x), value))
@@ -512,6 +513,33 @@ def held_out(w: DataFrame, series: tuple[str, ...], states: int, folds: int, rou
     return f, models, f.groupBy("interval_id").applyInPandas(score, "interval_id long, n_bins long, loglik double")
 
 
+def with_shuffled_columns(model: Model, seed: int | list[int]) -> Model:
+    """The chances of coming to each state off the diagonal in random order; rows then add up to 1 again."""
+    turned = with_shuffled_transitions(Model(model.start, model.trans.T, model.rates, model.series), seed).trans.T
+    return Model(model.start, turned / turned.sum(axis=1, keepdims=True), model.rates, model.series)
+
+
+def event_scores(w: DataFrame, series: tuple[str, ...], states: int, shuffles: int, kind: str = "transitions", folds: int = 5, rounds: int = 5, seed: int = 0,
+                 training: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """((interval_id, score, percentile), (interval_id, shuffle, score)): held-out log likelihoods and those of their shuffles.
+
+    ``kind``: see ``null_scores``.  With ``training``, a condition on interval_id, there is one model of the
+    intervals that meet it, and the others are scored.  The percentile counts half of equal shuffles.
+    """
+    if training is None:
+        f, models, own = held_out(w, series, states, folds, rounds)
+    else:
+        f = w.withColumn("fold", F.lit(0)).withColumn("_train", training).withColumn("uses", F.when(F.col("_train"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+        models = fit_grid(f, initial_grid(f, series, states, [0]), rounds)
+        f = f.where("not _train").drop("_train")
+        own = scores(f, models[0])
+    null = null_scores(f, models, kind, shuffles, seed).select("interval_id", "shuffle", F.col("loglik").alias("score"))
+    n = null.select("interval_id", F.col("score").alias("_s"))
+    g = own.select("interval_id", F.col("loglik").alias("score")).join(n, "interval_id", "left").groupBy("interval_id", "score")
+    below, same = F.count_if(F.col("_s") < F.col("score")), F.count_if(F.col("_s") == F.col("score"))
+    return g.agg((100 * (below + same / 2) / F.count("_s")).alias("percentile")), null
+
+
 def cross_scores(w: DataFrame, series: tuple[str, ...], states: int, folds: int, rounds: int, shuffles: int, seed: int = 0, kind: str = "transitions") -> DataFrame:
     """(interval_id, score, p, z): each interval's log likelihood under the model of the other folds against the
     same with shuffled transitions (``transitions``), or with its bins shuffled (``time``, ``pooled`` and others)."""

@@ -166,3 +166,13 @@ def bottleneck(p: np.ndarray, subsets: np.ndarray) -> float:
     out = np.einsum("ki,ij,kj->k", subsets, flow, ~subsets)
     ok = (weight > 0) & (weight <= 0.5 + 1e-12)
     return float((out[ok] / weight[ok]).min()) if ok.any() else 1.0
+
+
+def line_shuffles(path: DataFrame, n: int, seed: int) -> DataFrame:
+    """(interval_id, shuffle, r2) of a path (interval_id, bin_idx, x) whose places are dealt to its bins at random, n times;
+    shuffle 0 is the path itself.  Null where x doesn't vary."""
+    rows = path.where("x is not null").withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n))))
+    w = Window.partitionBy("interval_id", "shuffle")
+    a = rows.withColumn("_k", F.row_number().over(w.orderBy("bin_idx")))
+    b = rows.select("interval_id", "shuffle", F.col("bin_idx").alias("_to"), F.row_number().over(w.orderBy(F.when(F.col("shuffle") > 0, drawn(seed, "shuffle", "interval_id", "bin_idx")), "bin_idx")).alias("_k"))
+    return a.join(b, ["interval_id", "shuffle", "_k"]).groupBy("interval_id", "shuffle").agg(F.regr_r2("x", "_to").alias("r2"))

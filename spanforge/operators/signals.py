@@ -263,3 +263,38 @@ def in_support(points: DataFrame, s: DataFrame, iv: DataFrame, keys: list[str])
     inner = points_in(s.select(*keys, "t", "y"), spans).drop("start", "stop")
     at = points_in(points.select(*keys, "t").distinct(), spans).drop("start", "stop")
     return interpolate(at, inner, [*keys, "interval_id"]).where("y is not null")
+
+
+def derivative(s: DataFrame, keys: list[str], columns: list[str], fs: float = 1.0, rectify: bool = True, norm: bool = False,
+               sigma: float | None = None, truncate: float = 4.0, width: float | None = None) -> DataFrame:
+    """(keys, t, columns): gradients a second of several signals (keys, t, columns), within each of keys.
+
+    Central differences, one-sided at the ends, 0 for a single sample.  With ``norm`` they are one column,
+    ``norm``, the length of the vector; ``rectify`` takes absolute values; ``sigma`` seconds of a Gaussian
+    smooth the result, folded back at the ends.  ``width``: in pieces, see ``scans``.
+    """
+    from ..functions.timeops import gaussian_weights
+    from .binned import smooth
+
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy("t")
+        rows = s.withColumn("_before", F.lag(F.struct(*columns)).over(w)).withColumn("_after", F.lead(F.struct(*columns)).over(w))
+    else:
+        rows = scans.neighbours(scans.pieces(s, keys, "t", width), keys, "t", columns)
+
+    def d(c: str):
+        before, after, y = F.col("_before")[c], F.col("_after")[c], F.col(c)
+        return F.coalesce((after - before) / 2, after - y, y - before, F.lit(0.0)) * fs
+
+    out, names = rows.select(*keys, "t", *[d(c).alias(c) for c in columns]), columns
+    if norm:
+        out, names = out.select(*keys, "t", F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))).alias("norm")), ["norm"]
+    if rectify:
+        out = out.withColumns({c: F.abs(c) for c in names})
+    if sigma:
+        weights = gaussian_weights(sigma * fs, truncate)
+        out = scans.numbered(scans.pieces(out, keys, "t", width or 0), keys, "t", "bin_idx").drop("_p") if width is not None else out.withColumn("bin_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("t")) - 1)
+        for c in names:
+            out = smooth(out, weights, keys, v=c).withColumn(c, F.col("y")).drop("y") if c != "y" else smooth(out, weights, keys, v=c)
+        out = out.drop("bin_idx")
+    return out.select(*keys, "t", *names)

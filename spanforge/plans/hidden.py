@@ -98,3 +98,21 @@ sc AS (SELECT pl.interval_id, k, any_value(sl) AS sl, any_value(ic) AS ic, avg(c
 SELECT DISTINCT ON (interval_id) interval_id, round(sl, 5) AS slope, round(ic, 5) AS intercept, round(score, 5) AS score FROM sc ORDER BY interval_id, score DESC, k""")
 def _(s, d):
     return _round(P.best_line(_events_post(s, d)[0], 24, 200, 2, 11), "slope", "intercept", "score", digits=5)
+
+
+_RS = "md5(concat_ws('/', '13', k, interval_id, bin_idx))"
+
+
+@_query("rp_line_shuffles", f"""WITH {_EVENTS}, many AS (SELECT pm.*, k FROM pm, (SELECT unnest(generate_series(0, 20)) AS k)), a AS (SELECT *, row_number() OVER (PARTITION BY interval_id, k ORDER BY bin_idx) AS r FROM many),
+b AS (SELECT interval_id, k, bin_idx AS place, row_number() OVER (PARTITION BY interval_id, k ORDER BY CASE WHEN k > 0 THEN {_RS} END, bin_idx) AS r FROM many)
+SELECT a.interval_id, CAST(a.k AS INTEGER) AS shuffle, round(regr_r2(x, place), 5) AS r2 FROM a JOIN b ON a.interval_id = b.interval_id AND a.k = b.k AND a.r = b.r GROUP BY ALL""")
+def _(s, d):
+    return _round(P.line_shuffles(_events_post(s, d)[1], 20, 13), "r2", digits=5)
+
+
+def _event_scores(s, d):
+    w, _, series = _wide(s, d)
+    return _round(H.event_scores(w, series, 3, 50, "columns", 5, 1, 3)[0], "score", "percentile")
+
+
+_QUERIES["hmm_event_scores"] = _event_scores

@@ -8,6 +8,7 @@ from ..functions.timeops import DAY, HOUR, floordiv
 from ..operators import binned as B
 from ..operators import ratemap as R
 from ..operators import selection as L
+from ..operators import signals as S
 from .catalogue import _BIN, _EV, _SIG, _WIN, _bins, _binned_sql, _ev, _query, _round, _sig
 
 
@@ -71,3 +72,14 @@ cs AS (SELECT series_id, k, sum(n) AS n FROM bins JOIN x USING (bin_start) GROUP
 def _(s, d):
     root = lambda rows: rows.withColumn("y", F.sqrt("y"))
     return _round(R.map_of_signal(_bins(s, d), _ev(s, d)[1], _samples(s, d), HOUR, {"y": (5.0, 20.0, 8)}, transform=root), "rate").select("series_id", "y", "occupancy", "rate")
+
+
+_TWO = f"{_EV}, two AS (SELECT (t // {HOUR}) * {HOUR} AS t, t // {DAY} AS day, avg(value) AS a, count(*)::DOUBLE AS b FROM ev GROUP BY ALL)"
+_GRAD = "coalesce((lead({c}) OVER w - lag({c}) OVER w) / 2, lead({c}) OVER w - {c}, {c} - lag({c}) OVER w, 0)"
+
+
+@_query("sig_derivative_norm", f"WITH {_TWO} SELECT day, t, round(2 * sqrt(da * da + db * db), 5) AS norm FROM (SELECT day, t, {_GRAD.format(c='a')} AS da, {_GRAD.format(c='b')} AS db FROM two WINDOW w AS (PARTITION BY day ORDER BY t))")
+def _(s, d):
+    ev, hour = _ev(s, d)[0], (floordiv(F.col("t"), HOUR) * HOUR).alias("t")
+    two = ev.groupBy(hour, floordiv(F.col("t"), DAY).alias("day")).agg(F.avg("value").alias("a"), F.count("*").cast("double").alias("b"))
+    return _round(S.derivative(two, ["day"], ["a", "b"], 2.0, norm=True), "norm", digits=5)

@@ -98,6 +98,20 @@ def test_shuffles_keep_what_they_should():
         hmm.shuffled(x, "other", rng)
 
 
+def test_events_against_their_shuffles(wide, data):
+    own, null = hmm.event_scores(wide, ("a", "b"), 3, 9, "columns", folds=2, rounds=1, seed=2)
+    every = null.collect()
+    for r in own.collect():
+        s = [x.score for x in every if x.interval_id == r.interval_id]
+        assert len(s) == 9 and abs(r.percentile - 100 * (sum(v < r.score for v in s) + sum(v == r.score for v in s) / 2) / 9) < 1e-9
+    own, _ = hmm.event_scores(wide, ("a", "b"), 3, 2, "time", rounds=2, training=F.col("interval_id") <= 2)
+    train = wide.where("interval_id <= 2")
+    one = hmm.fit(train, hmm.initial(train, ("a", "b"), 3), 2)
+    assert {r.interval_id: round(r.score, 8) for r in own.collect()} == {i: round(hmm.recursions(one, data[i])[0], 8) for i in (3, 4)}
+    m = hmm.with_shuffled_columns(MODEL, 1)
+    assert np.allclose(m.trans.sum(axis=1), 1) and not np.allclose(m.trans, MODEL.trans)
+
+
 def test_windows_and_states_of_a_covariate(spark, data):
     b = spark.createDataFrame([("a", 1, t, t) for t in range(5)] + [("a", 2, 0, 7)], "series_id string, interval_id long, bin_idx int, n long")
     assert sorted((r.interval_id, r.bin_idx, r.n) for r in hmm.sliding(b, 3).collect()) == [(1, 0, 3), (1, 1, 6), (1, 2, 9), (2, 0, 7)]

@@ -37,6 +37,23 @@ def test_pieces_of_a_support(spark, support):
     assert {(r.piece, r.start, r.stop) for r in selection.partitioned(ev, support, ds=25).collect() if r.interval_id == 2} == {(0, 100, 125), (1, 125, 130)}
 
 
+@pytest.mark.parametrize("width", [None, 0, 9])
+def test_derivatives(spark, width):
+    rng = np.random.default_rng(1)
+    data = {k: rng.normal(size=(n, 2)) for k, n in ((1, 40), (2, 1), (3, 2))}
+    s = spark.createDataFrame([(k, t, *map(float, r)) for k, v in data.items() for t, r in enumerate(v)], "interval_id long, t long, a double, b double")
+    grad = {k: np.gradient(v, axis=0) * 4 if len(v) > 1 else v * 0 for k, v in data.items()}
+    got = {(r.interval_id, r.t): (r.a, r.b) for r in signals.derivative(s, ["interval_id"], ["a", "b"], 4.0, rectify=False, width=width).collect()}
+    assert all(np.allclose(got[k, t], g) for k, v in grad.items() for t, g in enumerate(v))
+    got = {(r.interval_id, r.t): r["norm"] for r in signals.derivative(s, ["interval_id"], ["a", "b"], 4.0, norm=True, sigma=0.25, width=width).collect()}
+    w = np.exp(-0.5 * np.arange(-4, 5) ** 2.0)
+    for k, v in grad.items():
+        y = np.hypot(*v.T)
+        m = len(y)
+        want = [sum(c * y[min(i % (2 * m), 2 * m - 1 - i % (2 * m))] for c, i in zip(w, range(t - 4, t + 5), strict=True)) / w.sum() for t in range(m)]
+        assert np.allclose([got[k, t] for t in range(m)], want)
+
+
 def test_picked_signals(spark, support):
     s = spark.createDataFrame([(k, t, 1.0) for k in "abcd" for t in range(0, 220, 10)], "series_id string, t long, y double")
     got = {(r.series_id, r.t) for r in selection.sliced(s, support, slice(-2, None), slice(None, None, 2)).collect()}
