@@ -28,17 +28,22 @@ def crossings(s: DataFrame, keys: list[str], index: str, value: str, threshold:
     return runs(s, keys, index, x >= threshold if mode == "above" else x <= threshold, x, width).drop("n")
 
 
-def boundaries(s: DataFrame, keys: list[str], index: str, value: str, sigmas: float = 3.0, least_primary: int = 1, least: int = 1, most: int = 10**9, width: float | None = None) -> DataFrame:
-    """Runs above the mean that hold a run above mean + sigmas deviations, with length limits in samples.
+def boundaries(s: DataFrame, keys: list[str], index: str, value: str, sigmas: float = 3.0, least_primary: int = 1, least: int = 1, most: int = 10**9, width: float | None = None,
+               primary: float | None = None, secondary: float | None = None, mode: str = "above") -> DataFrame:
+    """Runs beyond ``secondary`` that hold a run beyond ``primary``, with length limits in samples; ``best`` is the most extreme value.
+
+    The thresholds are the mean + sigmas deviations (``below``: less them) and the mean, where none are given.
 
     A high run belongs to the last low run that starts at or before it; where one sample is
     enough, a low run's maximum says whether it has a high one.
     """
-    x = F.col(value).cast("double")
+    sign = 1 if mode == "above" else -1
+    x = sign * F.col(value).cast("double")
     moments = s.groupBy(*keys).agg(F.avg(x).alias("_m"), F.stddev_pop(x).alias("_s"))
-    level = s.join(moments, keys).withColumn("_hi", x >= F.col("_m") + sigmas * F.col("_s"))
-    low = runs(level, keys, index, x >= F.col("_m"), F.struct(F.col("_hi").cast("int").alias("hi"), x.alias("x")), width)
-    low = low.select(*keys, F.col("first").alias("start"), F.col("last").alias("stop"), F.col("best.x").alias("best"), F.col("best.hi").alias("_hit"), "n")
+    hi = F.col("_m") + sigmas * F.col("_s") if primary is None else F.lit(sign * primary)
+    level = s.join(moments, keys).withColumn("_hi", x >= hi)
+    low = runs(level, keys, index, x >= (F.col("_m") if secondary is None else F.lit(sign * secondary)), F.struct(F.col("_hi").cast("int").alias("hi"), x.alias("x")), width)
+    low = low.select(*keys, F.col("first").alias("start"), F.col("last").alias("stop"), (sign * F.col("best.x")).alias("best"), F.col("best.hi").alias("_hit"), "n")
     fit = F.col("n").between(least, most)
     if least_primary <= 1:
         return low.where((F.col("_hit") == 1) & fit).drop("_hit", "n")

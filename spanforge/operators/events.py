@@ -83,10 +83,20 @@ def retime(ev: DataFrame, collapsed: DataFrame, bucket: int | None = None) -> Da
     return restrict(ev, collapsed, bucket).withColumn("t", F.col("t") - F.col("start") + F.col("new_start"))
 
 
-def state_asof(points: DataFrame, ev: DataFrame, keys: list[str], state: str) -> DataFrame:
-    """Points (keys, t) with the state of the last event at or before t; before all events the first state."""
+def state_asof(points: DataFrame, ev: DataFrame, keys: list[str], state: str, pieces: bool = False) -> DataFrame:
+    """Points (keys, t) with the state of the last event at or before t; before all events the first state.
+
+    With ``pieces``, points and events of a key are worked through in ranges of rows (see ``scans``).
+    """
     a = points.select(*keys, "t", F.lit(1).alias("_k"), F.lit(None).cast("string").alias("_s"))
     b = ev.select(*keys, "t", F.lit(0).alias("_k"), F.col(state).cast("string").alias("_s"))
+    if pieces:
+        from . import scans
+
+        rows = a.unionByName(b).withColumn("_at", F.struct("t", "_k"))
+        found = scans.filled(scans.pieces(rows, keys, "_at"), keys, "_at", "_s", "_last").where("_k = 1")
+        first = ev.where(F.col(state).isNotNull()).groupBy(*keys).agg(F.min(F.struct("t", F.col(state).cast("string").alias("s")))["s"].alias("_first"))
+        return found.join(first, keys, "left").select(*keys, "t", F.coalesce("_last", "_first").alias("state"))
     w = Window.partitionBy(*keys).orderBy("t", "_k")
     both = a.unionByName(b).withColumn("_last", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     both = both.withColumn("_first", F.first("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))

@@ -1,7 +1,9 @@
 """Interval algebra.  A set is the rows of equal ``keys``; rows have start <= stop and are half-open.
 
 Everything is partitioned by the keys: one shuffle on them serves the windows and joins of a
-composition, and no operator needs an order over several sets.
+composition, and no operator needs an order over several sets.  Where one set is very long, ``width``
+lets it be worked through in pieces (see ``scans``): stretches of time of that width, or ranges of
+intervals if it is 0.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import overlapping
+from . import scans
+from .ranges import overlapping, points_in
 
 Keys = list[str]
 #: Ends of an unbounded domain, far beyond any time in microseconds.
@@ -20,8 +23,10 @@ def _order(keys: Keys):
     return Window.partitionBy(*keys).orderBy("start", "stop")
 
 
-def merge(iv: DataFrame, keys: Keys, gap: int = 0) -> DataFrame:
+def merge(iv: DataFrame, keys: Keys, gap: int = 0, width: float | None = None) -> DataFrame:
     """Union of overlapping or touching intervals; also bridges gaps of at most ``gap``."""
+    if width is not None:
+        return scans.merged(iv.select(*keys, "start", "stop"), keys, width, gap)
     before = F.max("stop").over(_order(keys).rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("start") <= before + gap, 0).otherwise(1)
     return (iv.withColumn("_new", new).withColumn("_island", F.sum("_new").over(_order(keys).rowsBetween(Window.unboundedPreceding, 0)))
@@ -33,8 +38,8 @@ def bag_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-def union(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
-    return merge(bag_union(a, b), keys)
+def union(a: DataFrame, b: DataFrame, keys: Keys, width: float | None = None) -> DataFrame:
+    return merge(bag_union(a, b), keys, width=width)
 
 
 def intersect(a: DataFrame, b: DataFrame, keys: Keys, boundaries: bool = True, bucket: int | None = None) -> DataFrame:
@@ -67,22 +72,31 @@ def intersect_bucketed(a: DataFrame, b: DataFrame, bucket: int) -> DataFrame:
             .select(F.greatest("start", "_s").alias("start"), F.least("stop", "_e").alias("stop")))
 
 
-def complement(iv: DataFrame, keys: Keys, low: int = LEAST, high: int = MOST) -> DataFrame:
+def complement(iv: DataFrame, keys: Keys, low: int = LEAST, high: int = MOST, width: float | None = None) -> DataFrame:
     """Gaps of the merged set inside the domain [low, high); empty gaps are left out."""
-    m = merge(iv, keys)
-    order = Window.partitionBy(*keys).orderBy("start")
-    head = m.select(*keys, F.lag("stop", 1, low).over(order).alias("_from"), F.col("start").alias("_to"))
+    m = merge(iv, keys, width=width)
+    if width is None:
+        order = Window.partitionBy(*keys).orderBy("start")
+        head = m.select(*keys, F.lag("stop", 1, low).over(order).alias("_from"), F.col("start").alias("_to"))
+    else:
+        n = scans.neighbours(scans.pieces(m, keys, "start", width), keys, "start", ["stop"])
+        head = n.select(*keys, F.coalesce("_before.stop", F.lit(low)).alias("_from"), F.col("start").alias("_to"))
     tail = m.groupBy(*keys).agg(F.max("stop").alias("_from")).select(*keys, "_from", F.lit(high).cast("long").alias("_to"))
     return (head.unionByName(tail).select(*keys, F.greatest("_from", F.lit(low)).alias("start"), F.least("_to", F.lit(high)).alias("stop"))
             .where("start < stop"))
 
 
-def difference(a: DataFrame, b: DataFrame, keys: Keys) -> DataFrame:
+def difference(a: DataFrame, b: DataFrame, keys: Keys, width: float | None = None) -> DataFrame:
     """Parts of a's merged set outside b, by one sweep over the ends of both merged sets."""
     def ends(iv: DataFrame, da: int, db: int) -> DataFrame:
         at = F.explode(F.array(*[F.struct(F.col(c).alias("t"), F.lit(k * da).alias("da"), F.lit(k * db).alias("db")) for c, k in (("start", 1), ("stop", -1))]))
-        return merge(iv, keys).select(*keys, at.alias("_x")).select(*keys, "_x.*")
+        return merge(iv, keys, width=width).select(*keys, at.alias("_x")).select(*keys, "_x.*")
 
+    if width is not None:
+        at = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+        p = scans.neighbours(scans.pieces(at, keys, "t", width), keys, "t", [])
+        p = scans.running(scans.running(p, keys, "t", F.col("da"), "_a"), keys, "t", F.col("db"), "_b")
+        return p.select(*keys, F.col("t").alias("start"), F.col("_after.t").alias("stop"), "_a", "_b").where("_a > 0 and _b = 0 and stop is not null").select(*keys, "start", "stop")
     w = Window.partitionBy(*keys).orderBy("t")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     at = ends(a, 1, 0).unionByName(ends(b, 0, 1)).groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
@@ -140,16 +154,26 @@ def drop_empty(iv: DataFrame) -> DataFrame:
     return iv.where("stop > start")
 
 
-def contains(points: DataFrame, iv: DataFrame, keys: Keys) -> DataFrame:
-    """Points (keys, t) inside an interval, closed on both ends: the last merged interval before each decides."""
+def contains(points: DataFrame, iv: DataFrame, keys: Keys, width: float | None = None) -> DataFrame:
+    """Points (keys, t) inside an interval, closed on both ends: the last merged interval before each decides.
+
+    With ``width``, points and merged intervals meet in cells (see ``ranges``).
+    """
+    if width is not None:
+        return points_in(points.select(*keys, "t"), merge(iv, keys, width=width), closed_right=True, keys=keys).select(*keys, "t")
     m = merge(iv, keys).select(*keys, F.col("start").alias("t"), F.lit(0).alias("_k"), F.col("stop").alias("_e"))
     p = points.select(*keys, "t", F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_e"))
     back = Window.partitionBy(*keys).orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0)
     return m.unionByName(p).withColumn("_e", F.last("_e", ignorenulls=True).over(back)).where("_k = 1 and t <= _e").select(*keys, "t")
 
 
-def collapse(iv: DataFrame, keys: Keys, gap: int = 0) -> DataFrame:
+def collapse(iv: DataFrame, keys: Keys, gap: int = 0, width: float | None = None) -> DataFrame:
     """Merged intervals moved end to end, with offsets (new start - old start) for their events."""
+    if width is not None:
+        m = scans.pieces(merge(iv, keys, width=width), keys, "start", width)
+        size = F.col("stop") - F.col("start") + gap
+        m = scans.running(m, keys, "start", size, "_up").withColumn("new_start", F.col("_up") - size)
+        return m.select(*keys, "start", "stop", "new_start", (F.col("new_start") + F.col("stop") - F.col("start")).alias("new_stop"))
     order = Window.partitionBy(*keys).orderBy("start")
     length = F.col("stop") - F.col("start")
     new = F.coalesce(F.sum(length + gap).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -36,20 +36,21 @@ def _levels(iv: DataFrame, at: Column) -> DataFrame:
     return F.broadcast(iv.agg(F.collect_set(at).alias("_levels")))
 
 
-def points_in(points: DataFrame, iv: DataFrame, closed_right: bool = False, most: int | None = None) -> DataFrame:
-    """Each point (t, ...) with each interval (start, stop, ...) that holds it: start <= t < stop, or <= stop."""
+def points_in(points: DataFrame, iv: DataFrame, closed_right: bool = False, most: int | None = None, keys: list[str] | None = None) -> DataFrame:
+    """Each point (t, ...) with each interval (start, stop, ...) that holds it: start <= t < stop, or <= stop; with ``keys``,
+    columns of both, only where they are equal."""
     start, stop = F.col("start"), F.col("stop")
     at = level(start, stop)
     cells = iv.withColumn("_l", at).withColumn("_c", _cells(start, stop, F.col("_l")))
     p = points.crossJoin(_levels(iv, at)).withColumn("_l", F.explode("_levels")).drop("_levels").withColumn("_c", cell(F.col("t"), F.col("_l")))
-    on = ["_l", "_c"]
+    on = [*(keys or []), "_l", "_c"]
     if most:
         hot = p.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / most).alias("_s"))
         p = p.join(hot, on, "left").withColumn("_k", F.pmod(F.xxhash64(*points.columns), F.coalesce("_s", F.lit(1)))).drop("_s")
         cells = cells.join(hot, on, "left").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_s", F.lit(1)) - 1))).drop("_s")
         on = [*on, "_k"]
     inside = (F.col("t") >= start) & (F.col("t") <= stop if closed_right else F.col("t") < stop)
-    return p.join(cells, on).where(inside).drop(*on)
+    return p.join(cells, on).where(inside).drop("_l", "_c", "_k")
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

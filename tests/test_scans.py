@@ -87,6 +87,35 @@ def test_merged_intervals(spark, width, gap):
     same(scans.merged(iv.drop("k"), [], width, gap).withColumn("k", F.lit(1)), intervals.merge(iv.withColumn("k", F.lit(1)), K, gap), "k", "start", "stop")
 
 
+@pytest.mark.parametrize("width", WIDTHS)
+def test_algebra_of_long_sets(spark, width):
+    rng = random.Random(width)
+    make = lambda n: spark.createDataFrame([(rng.choice("ab"), s, s + rng.choice([0, 3, 40, 900])) for s in (rng.randrange(40_000) for _ in range(n))], "k string, start long, stop long").repartition(4)
+    a, b = make(300), make(200)
+    same(intervals.union(a, b, K, width), intervals.union(a, b, K), "k", "start", "stop")
+    same(intervals.complement(a, K, -50, 50_000, width), intervals.complement(a, K, -50, 50_000), "k", "start", "stop")
+    same(intervals.difference(a, b, K, width), intervals.difference(a, b, K), "k", "start", "stop")
+    same(intervals.collapse(a, K, 5, width), intervals.collapse(a, K, 5), "k", "start", "stop", "new_start", "new_stop")
+    pts = spark.createDataFrame([(rng.choice("ab"), rng.randrange(41_000)) for _ in range(500)], "k string, t long")
+    same(intervals.contains(pts, a, K, width), intervals.contains(pts, a, K), "k", "t")
+
+
+def test_states_in_pieces(series):
+    known = series.where("k is not null")
+    pts = known.select("k", (F.col("t") - 3).alias("t"))
+    same(events.state_asof(pts, known, K, "state", pieces=True), events.state_asof(pts, known, K, "state"), "k", "t", "state")
+
+
+def test_boundaries_with_given_thresholds(spark):
+    y = [0, 2, 5, 3, 0, 2, 2, 0, 9, 9, 1, -4, -6, -4, 0]
+    s = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(y)], "k string, t long, y double")
+    find = lambda **o: sorted((r.start, r.stop, r.best) for r in detect.boundaries(s, K, "t", "y", **o).collect())
+    assert find(primary=4, secondary=2) == [(1, 3, 5.0), (8, 9, 9.0)]
+    assert find(primary=4, secondary=2, least_primary=2) == [(8, 9, 9.0)]
+    assert find(primary=-5, secondary=-4, mode="below") == [(11, 13, -6.0)]
+    assert find(primary=4, secondary=2, most=2) == [(8, 9, 9.0)]
+
+
 def test_one_long_series_is_many_tasks(spark):
     one = spark.range(200_000).select(F.lit("a").alias("k"), (F.col("id") * 3).alias("t"), F.sin(F.col("id") / 50).alias("y")).repartition(5)
     for width in (0, 30_000):
