@@ -75,3 +75,30 @@ def departures(trans: DataFrame) -> DataFrame:
     """(i, j, p) given that the state is left."""
     off = trans.where("i <> j")
     return off.join(off.groupBy("i").agg(F.sum("p").alias("_s")), "i").select("i", "j", (F.col("p") / F.col("_s")).alias("p"))
+
+
+def matrix_of(trans: DataFrame, most: int = 2000) -> tuple[list, np.ndarray]:
+    """(states, chances) of a transition table, on the driver; a chain of more than ``most`` states is refused."""
+    states = [r[0] for r in trans.select("i").union(trans.select("j")).distinct().limit(most + 1).collect()]
+    if len(states) > most:
+        raise ValueError(f"the equations of a chain are solved in one place; there are more than {most} states")
+    at = {s: k for k, s in enumerate(sorted(states))}
+    p = np.zeros((len(at), len(at)))
+    for r in trans.select("i", "j", "p").collect():
+        p[at[r["i"]], at[r["j"]]] = r["p"]
+    return list(at), p
+
+
+def stationary(trans: DataFrame) -> DataFrame:
+    """(state, p): the share of time that the chain spends in each state in the long run."""
+    states, p = matrix_of(trans)
+    kind = trans.schema["i"].dataType.simpleString()
+    return trans.sparkSession.createDataFrame([(s, float(v)) for s, v in zip(states, steady_state(p), strict=True)], f"state {kind}, p double")
+
+
+def passages(trans: DataFrame) -> DataFrame:
+    """(i, j, steps, variance): mean and variance of the steps from i until j is reached (again)."""
+    states, p = matrix_of(trans)
+    kind, m, v = trans.schema["i"].dataType.simpleString(), first_passage(p), first_passage_variance(p)
+    rows = [(a, b, float(m[x, y]), float(v[x, y])) for x, a in enumerate(states) for y, b in enumerate(states)]
+    return trans.sparkSession.createDataFrame(rows, f"i {kind}, j {kind}, steps double, variance double")

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions.timeops import HOUR, floordiv
 from ..operators import hmm as H
+from ..operators import markov as M
 from ..operators import shuffles as P
 from ..scratch import written
 from ..sources.tables import events
-from .catalogue import _BIN, _EV, _QUERIES, _bins, _query, _round
+from .catalogue import _BIN, _MK, _QUERIES, _bins, _query, _round, _trans
 from .fields import _EVENTS, _events_post, _hour_of
 
 #: The forward pass of three states over the bins of each interval: rates at half, once and one and a half times the
@@ -116,3 +117,18 @@ def _event_scores(s, d):
 
 
 _QUERIES["hmm_event_scores"] = _event_scores
+
+
+# --- chains: SQL goes on step by step until nothing changes -------------------------------------
+
+@_query("mk_stationary", f"""WITH RECURSIVE {_MK}, v(k, state, p) AS (SELECT 0, i, 1e0 / count(*) OVER () FROM (SELECT DISTINCT i FROM tr)
+UNION ALL SELECT k + 1, tr.j, sum(v.p * tr.p) FROM v JOIN tr ON v.state = tr.i WHERE k < 200 GROUP BY k + 1, tr.j) SELECT state, round(p, 6) AS p FROM v WHERE k = 200""")
+def _(s, d):
+    return _round(M.stationary(_trans(s, d)[1]), "p")
+
+
+@_query("mk_passages", f"""WITH RECURSIVE {_MK}, st AS (SELECT DISTINCT i AS s FROM tr), m(k, i, j, a, b) AS (SELECT 0, x.s, y.s, 0e0, 0e0 FROM st x, st y
+UNION ALL SELECT k + 1, tr.i, m.j, 1 + sum(CASE WHEN tr.j <> m.j THEN tr.p * m.a ELSE 0 END), 1 + sum(CASE WHEN tr.j <> m.j THEN tr.p * (2 * m.a + m.b) ELSE 0 END) FROM tr JOIN m ON tr.j = m.i WHERE k < 600 GROUP BY k + 1, tr.i, m.j)
+SELECT i, j, round(a, 5) AS steps, round(b - a * a, 4) AS variance FROM m WHERE k = 600""")
+def _(s, d):
+    return _round(_round(M.passages(_trans(s, d)[1]), "steps", digits=5), "variance", digits=4)

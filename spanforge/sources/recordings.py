@@ -48,6 +48,29 @@ def sessions(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.element_at(parts, -3).alias("day"), F.element_at(parts, -2).alias("session")).distinct()
 
 
+def days(spark: SparkSession, root: str) -> DataFrame:
+    """(day, n_sessions) of folders root/day/session with cluster files."""
+    return sessions(spark, root).groupBy("day").agg(F.count("*").alias("n_sessions"))
+
+
+def session_frame(spark: SparkSession, folder: str, fs: float = 20_000.0, unsorted: bool = False) -> DataFrame:
+    """(session, electrode, n_clusters, n_spikes, first, last): what each electrode of a session recorded, times in seconds."""
+    return spikes(spark, folder, fs, unsorted).groupBy("session", "electrode").agg(F.countDistinct("cluster").alias("n_clusters"), F.count("*").alias("n_spikes"), F.min("t").alias("first"), F.max("t").alias("last"))
+
+
+#: Where the settings of a recording stand in its XML file: fixed values of the file format.
+SETTINGS = ("acquisitionSystem struct<nBits:int, nChannels:int, samplingRate:double>, fieldPotentials struct<lfpSamplingRate:double>, "
+            "video struct<samplingRate:double, width:int, height:int>, neuroscope struct<spikes:struct<nSamples:int, peakSampleIndex:int>>")
+
+
+def parameters(spark: SparkSession, path: str) -> DataFrame:
+    """(session, fs_wideband, fs_lfp, fs_video, n_channels, n_bits, snippet_len, snippet_peak) from XML files of settings; null where a file has none."""
+    x = spark.read.format("xml").option("rowTag", "parameters").schema(SETTINGS).load(path).withColumn("_file", F.input_file_name())
+    name = F.regexp_replace(F.element_at(F.split("_file", "/"), -1), r"\.xml$", "")
+    return x.select(name.alias("session"), F.col("acquisitionSystem.samplingRate").alias("fs_wideband"), F.col("fieldPotentials.lfpSamplingRate").alias("fs_lfp"), F.col("video.samplingRate").alias("fs_video"),
+                    F.col("acquisitionSystem.nChannels").alias("n_channels"), F.col("acquisitionSystem.nBits").alias("n_bits"), F.col("neuroscope.spikes.nSamples").alias("snippet_len"), F.col("neuroscope.spikes.peakSampleIndex").alias("snippet_peak"))
+
+
 def positions(spark: SparkSession, path: str, fs: float, pairs: bool = True) -> DataFrame:
     """(path, t, x, y) from lines of tab-separated numbers, of two diodes (``pairs``) or one; lines with -1 are left out."""
     v = F.transform(F.split(F.trim("line"), r"\s+"), lambda c: c.cast("double"))

@@ -29,6 +29,18 @@ def test_sessions_positions_and_marks(spark, tmp_path):
     assert sorted((r.label, r.start, r.stop) for r in recordings.marks(spark, str(tmp_path / "a.evt")).collect()) == [("rest", 5.0005, 9.0), ("run", 0.0, 5.0)]
 
 
+def test_days_session_frames_and_settings(spark, tmp_path):
+    for d, s in (("d1", "s1"), ("d1", "s2"), ("d2", "s3")):
+        (tmp_path / d / s).mkdir(parents=True)
+        (tmp_path / d / s / f"{s}.clu.1").write_text("3\n2\n0\n3\n")
+        (tmp_path / d / s / f"{s}.res.1").write_text("20000\n30000\n60000\n")
+    assert {r.day: r.n_sessions for r in recordings.days(spark, str(tmp_path)).collect()} == {"d1": 2, "d2": 1}
+    assert [tuple(r) for r in recordings.session_frame(spark, str(tmp_path / "d1" / "s1")).collect()] == [("s1", 1, 2, 2, 1.0, 3.0)]
+    (tmp_path / "s1.xml").write_text("<?xml version='1.0'?><parameters><acquisitionSystem><nBits>16</nBits><nChannels>64</nChannels><samplingRate>20000</samplingRate></acquisitionSystem>"
+                                     "<fieldPotentials><lfpSamplingRate>1250</lfpSamplingRate></fieldPotentials><neuroscope><spikes><nSamples>32</nSamples><peakSampleIndex>16</peakSampleIndex></spikes></neuroscope></parameters>")
+    assert [tuple(r) for r in recordings.parameters(spark, str(tmp_path / "*.xml")).collect()] == [("s1", 20000.0, 1250.0, None, 64, 16, 32, 16)]
+
+
 def test_marks_of_a_label_that_occurs_again(spark, tmp_path):
     lines = ["1000 start of run", "2000 end of run", "3000 start of rest", "4000 end of run", "5000 start of run", "6000 start of run", "9000 end of run", "9500 start of run", "note"]
     (tmp_path / "a.evt").write_text("\n".join(lines) + "\n")
