@@ -170,20 +170,20 @@ def sampling(s: DataFrame, keys: list[str], width: float | None = None) -> DataF
             .agg(F.count("*").alias("n_samples"), F.percentile("_d", 0.5).alias("step"), F.min("t").alias("first"), F.max("t").alias("last"), F.min("y").alias("low"), F.max("y").alias("high")))
 
 
-def regridded(s: DataFrame, keys: list[str], step: int) -> DataFrame:
-    """The signal at every ``step`` from its first sample on, by linear interpolation."""
+def regridded(s: DataFrame, keys: list[str], step: int, chunk: int | None = None) -> DataFrame:
+    """The signal at every ``step`` from its first sample on, by linear interpolation; ``chunk``: see ``interpolate``."""
     ends = s.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
     points = ends.select(*keys, F.explode(F.sequence(F.col("_a"), F.col("_b"), F.lit(step))).alias("t"))
-    return interpolate(points, s, keys)
+    return interpolate(points, s, keys, chunk)
 
 
-def simplified(s: DataFrame, keys: list[str], n_samples: int) -> DataFrame:
-    """``n_samples`` samples: evenly spread places from the first sample on, and the last sample."""
+def simplified(s: DataFrame, keys: list[str], n_samples: int, chunk: int | None = None) -> DataFrame:
+    """``n_samples`` samples: evenly spread places from the first sample on, and the last sample; ``chunk``: see ``interpolate``."""
     ends = s.groupBy(*keys).agg(F.min("t").alias("_a"), F.max("t").alias("_b"))
     k = F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1)))
     at = F.when(F.col("_k") == n_samples - 1, F.col("_b")).otherwise(F.col("_a") + F.floor((F.col("_b") - F.col("_a")) * F.col("_k") / (n_samples - 1)))
     points = ends.withColumn("_k", k).select(*keys, at.cast("long").alias("t")).distinct()
-    return interpolate(points, s, keys)
+    return interpolate(points, s, keys, chunk)
 
 
 def tumbling(s: DataFrame, keys: list[str], step: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timeops import DAY, HOUR, floordiv, gaussian_weights
+from ..functions.timeops import HOUR, floordiv, gaussian_weights
 from ..operators import decode as D
 from ..operators import hmm as H
 from ..operators import markov as M

@@ -132,3 +132,13 @@ UNION ALL SELECT k + 1, tr.i, m.j, 1 + sum(CASE WHEN tr.j <> m.j THEN tr.p * m.a
 SELECT i, j, round(a, 5) AS steps, round(b - a * a, 4) AS variance FROM m WHERE k = 600""")
 def _(s, d):
     return _round(_round(M.passages(_trans(s, d)[1]), "steps", digits=5), "variance", digits=4)
+
+
+def _sparsity(s, d):
+    """A fitted model's Gini coefficients and bottleneck: as many rows as the model has states and series."""
+    w, model, _ = _wide(s, d)
+    rows = [(name, k, v) for name, values in H.sparsity(H.fit(w, model, 2)).items() for k, v in enumerate(values)]
+    return _round(s.createDataFrame(rows, "measure string, place int, value double"), "value")
+
+
+_QUERIES["hmm_sparsity"] = _sparsity

@@ -34,6 +34,12 @@ def running_moments(stream: DataFrame, value: str = "value", key: str = "event_t
     return g.select("series_id", "n", "mean", F.when(F.col("_s") == 0, 1.0).otherwise(F.col("_s")).alias("std"))
 
 
+def last_values(stream: DataFrame, value: str = "value", time: str = "ts", key: str = "user_id") -> DataFrame:
+    """(key, t, value) of the latest row of each key so far, in update mode; of equal times the greatest value."""
+    last = F.max(F.struct(F.col(time).cast("timestamp").alias("t"), F.col(value).alias("v")))
+    return stream.groupBy(F.col(key).alias("key")).agg(last.alias("m")).select("key", "m.t", F.col("m.v").alias("value"))
+
+
 def _ordered(batches, held: list) -> list:
     rows = list(held)
     for b in batches:

@@ -135,3 +135,9 @@ def test_running_moments(spark, tmp_path):
     parts = [[(1, "a", _at(1), 1.0), (1, "a", _at(2), 3.0)], [(1, "a", _at(3), 5.0)]]
     got = _run(spark, tmp_path, parts, windows.running_moments, "update")
     assert [(r.n, r.mean) for r in got] == [(2, 2.0), (3, 3.0)] and abs(got[1]["std"] - (8 / 3) ** 0.5) < 1e-9
+
+
+def test_last_values(spark, tmp_path):
+    parts = [[(1, "a", _at(5), 1.0), (1, "a", _at(9), 3.0), (2, "a", _at(1), 7.0)], [(1, "a", _at(7), 8.0)], [(2, "a", _at(3), 2.0)]]
+    got = _run(spark, tmp_path, parts, windows.last_values, "update")
+    assert {r.key: r.value for r in got} == {1: 3.0, 2: 2.0} and sum(r.key == 1 and r.value == 8.0 for r in got) == 0
