@@ -235,3 +235,19 @@ def test_draws_of_unusual_rows(spark):
     assert {r[:2] for r in got} == {(1, 59), (None, 59), (2, 0), (3, 1)}
     assert all(r[2] == 0 for r in got if r[0] == 2) and all(r[2] < 0 for r in got if r[1] == 59)
     assert resampling.resampled(frame(spark, rows[:0]), target).collect() == []
+
+
+# --- near copies of the pipeline ----------------------------------------------------------
+
+def test_one_of_each_of_unusual_tables(spark):
+    from spanforge.llm import simhash
+
+    rng = random.Random(11)
+    base = words(rng, 80)
+    near = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 60, 10)]
+    long = " ".join(words(rng, 30_000))
+    rows = [(5, " ".join(base)), *[(10 + i, t) for i, t in enumerate(near)], (7, " ".join(base)), (7, " ".join(base)), (None, " ".join(base)), (20, None), (21, ""), (None, None), (30, long), (31, long + " end")]
+    kept = simhash.one_of_each(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 20, 30]
+    assert simhash.one_of_each(frame(spark, rows[:0])).collect() == []
