@@ -40,7 +40,7 @@ from . import minhash
 from ._bytes import LOWER, mix
 from ._frame import Framed, narrow, table
 from ._graph import connected_components
-from ._scratch import cut, parts, release, stored
+from ._scratch import cut, parts, release, small_batches, stored
 from ._texts import distinct_texts
 from ._texts import keyed as hashed
 
@@ -416,6 +416,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     the band's task (see ``minhash.crossing``), which misses a pair at 0.8 with a chance of 4e-9
     and returns a forest, not the pairs of a group.
     """
+    with small_batches(docs.sparkSession):
+        return _similar_groups(docs, words, similarity, radius, bands, band_bits, tree_size, most, id_col, text_col)
+
+
+def _similar_groups(docs: DataFrame, words: int, similarity: float, radius: int, bands: int, band_bits: int, tree_size: int, most: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     texts = distinct_texts(hashed(docs, id_col, text_col), 0)
     release(spark)
