@@ -141,3 +141,14 @@ def test_surrogates(spark):
     s = hmm.sparsity(models["actual", 0])
     assert s["departures"][0] > hmm.sparsity(models["coherent", 0])["departures"][0] and s["bottleneck"][0] < 0.2
     assert abs(hmm._gini(np.array([1.0, 1.0, 1.0]))) < 1e-6 and abs(hmm._gini(np.array([0.0, 0.0, 3.0])) - 2 / 3) < 1e-6
+
+
+def never_there(spark):
+    """Chances of two states in three bins, the second without any, and the bins' covariate."""
+    post = spark.createDataFrame([(1, t, k, 1.0 - k) for t in range(3) for k in range(2)], "interval_id long, bin_idx int, state long, p double")
+    return post, spark.createDataFrame([(1, t, t % 2) for t in range(3)], "interval_id long, bin_idx int, x int")
+
+
+def test_a_state_without_any_chance_has_no_weights(spark):
+    got = {(r.state, r.x): r.weight for r in hmm.covariate_map(*never_there(spark)).collect()}
+    assert got == {(0, 0): 0.5, (0, 1): 0.5, (1, 0): 0.0, (1, 1): 0.0}
