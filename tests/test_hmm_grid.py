@@ -152,3 +152,9 @@ def never_there(spark):
 def test_a_state_without_any_chance_has_no_weights(spark):
     got = {(r.state, r.x): r.weight for r in hmm.covariate_map(*never_there(spark)).collect()}
     assert got == {(0, 0): 0.5, (0, 1): 0.5, (1, 0): 0.0, (1, 1): 0.0}
+
+
+def test_decoding_through_a_state_without_any_chance(spark):
+    post, ext = never_there(spark)
+    got = {(r.bin_idx, r.x): r.p for r in hmm.decoded_covariate(post, hmm.covariate_map(post, ext)).collect()}
+    assert got == {(t, x): 0.5 for t in range(3) for x in range(2)}
