@@ -158,3 +158,23 @@ def test_decoding_through_a_state_without_any_chance(spark):
     post, ext = never_there(spark)
     got = {(r.bin_idx, r.x): r.p for r in hmm.decoded_covariate(post, hmm.covariate_map(post, ext)).collect()}
     assert got == {(t, x): 0.5 for t in range(3) for x in range(2)}
+
+
+def test_a_first_bin_of_a_state_that_no_interval_starts_in(spark):
+    model = hmm.Model(np.array([1.0, 0.0]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[2000.0], [9000.0]]), ("a",))
+    x = np.array([[9000.0], [9000.0], [2000.0]])
+    e = hmm._emission(model, x)
+    ways = {p: np.log(model.start[p[0]]) + sum(e[t, s] for t, s in enumerate(p)) + sum(np.log(model.trans[a, b]) for a, b in zip(p, p[1:])) for p in [(0, b, c) for b in range(2) for c in range(2)]}
+    ll = np.logaddexp.reduce(list(ways.values()))
+    got, gamma, pairs = hmm.recursions(model, x)
+    assert abs(got - ll) < 1e-8 and np.allclose(gamma, [[1, 0], [0, 1], [1, 0]]) and np.allclose(pairs, [[0, 1], [1, 0]])
+    w = spark.createDataFrame([(1, t, v.tolist()) for t, v in enumerate(x)], "interval_id long, bin_idx int, x array<double>")
+    for chunk in (None, 1, 2):
+        assert abs(hmm.scores(w, model, chunk).first().loglik - ll) < 1e-8
+        assert abs(max(r.total for r in hmm.increments(w, model, chunk).where("bin_idx = 2").collect()) - ll) < 1e-8
+
+
+def test_quality_without_deviation_is_null(spark):
+    w = spark.createDataFrame([(i, t, [4.0, 2.0]) for i in range(4) for t in range(3)], "interval_id long, bin_idx int, x array<double>")
+    got = hmm.quality(w, ("a", "b"), 2, 2, 1, 3).first()
+    assert np.isfinite(got.score) and got.quality is None
