@@ -356,6 +356,20 @@ def crossing(texts: DataFrame, met: DataFrame, labels: DataFrame, words_: int, s
             .mapInArrow(_across(similarity, most_differing(similarity, size), -(-size // 32), bands), "u long, v long"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) after links (u, v) join components: only the labels that are linked go through the rounds again."""
+    def name(node: str) -> DataFrame:
+        return labels.select(F.col("node").alias(node), F.col("label").alias(f"_{node}"))
+
+    named = links.join(name("u"), "u", "left").join(name("v"), "v", "left")
+    both = named.select("u", "v", F.coalesce("_u", "u").alias("a"), F.coalesce("_v", "v").alias("b"))
+    both = cut(both)
+    up = connected_components(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    ends = both.select(F.col("u").alias("node"), F.col("a").alias("was")).union(both.select("v", "b"))
+    every = labels.select("node", F.col("label").alias("was")).union(ends).distinct()
+    return every.join(up.select(F.col("node").alias("was"), "label"), "was", "left").select("node", F.coalesce("label", "was").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, bands: int = 64, rows: int = 6, size: int = 389,
                     most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row of docs.
@@ -377,7 +391,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, ba
     labels = connected_components(links)
     release(spark)
     more = crossing(texts, met, labels, words, similarity, bands, rows, size, most)
-    labels = connected_components(links.union(more))
+    labels = _joined(labels, more)
     release(spark)
     of_set = sets.select("a", "b", F.col("one.u").alias("node"), F.col("n_texts").alias("n")).join(labels, "node", "left")
     named = lookup(seen.where("n > 0").select("h", "m", "a", "b", F.col("n").alias("n_shingles")), of_set.select("a", "b", "n", F.coalesce("label", "node").alias("label")), ["a", "b"])

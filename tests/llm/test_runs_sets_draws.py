@@ -251,3 +251,13 @@ def test_one_of_each_of_unusual_tables(spark):
     assert kept.columns == frame(spark, rows).columns
     assert sorted(r.doc_id for r in kept.collect()) == [5, 20, 30]
     assert simhash.one_of_each(frame(spark, rows[:0])).collect() == []
+
+
+def test_later_links_join_whole_components(spark):
+    from spanforge.llm._graph import connected_components
+
+    first, more = [(1, 2), (2, 3), (5, 6), (9, 8)], [(3, 6), (9, 20), (30, 31), (6, 40)]
+    pairs = lambda x: spark.createDataFrame(x, "u long, v long")
+    got = {tuple(r) for r in minhash._joined(connected_components(pairs(first)), pairs(more)).collect()}
+    assert got == {tuple(r) for r in connected_components(pairs(first + more)).collect()}
+    assert got == {(n, 1) for n in (1, 2, 3, 5, 6, 40)} | {(8, 8), (9, 8), (20, 8), (30, 30), (31, 30)}
