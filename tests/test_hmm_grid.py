@@ -178,3 +178,14 @@ def test_quality_without_deviation_is_null(spark):
     w = spark.createDataFrame([(i, t, [4.0, 2.0]) for i in range(4) for t in range(3)], "interval_id long, bin_idx int, x array<double>")
     got = hmm.quality(w, ("a", "b"), 2, 2, 1, 3).first()
     assert np.isfinite(got.score) and got.quality is None
+
+
+def test_decoded_query_on_even_events(spark, tmp_path):
+    """168 events of each type in every hour, so that the outer states die out as on six times the events of sf0.1."""
+    import __spark_entry__ as entry
+
+    at = "timestamp_seconds(1704067200 + (id div 840) * 3600 + id % 840 * 4)"
+    ev = spark.range(3 * 24 * 840).selectExpr("id AS event_id", f"{at} AS ts", "id % 7 AS user_id", "concat('s', id % 5) AS event_type", "1e0 AS value", "'{}' AS props")
+    ev.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    got = entry.queries()["hmm_decoded_covariate"](spark, str(tmp_path)).collect()
+    assert len(got) == 3 * 8 * 8 and {r.p for r in got} == {0.125}
