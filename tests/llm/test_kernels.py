@@ -105,6 +105,25 @@ def test_chains_follow_both_orders():
     assert chaining.edit_distance(np.array([1, 2, 3]), np.array([1, 3, 4])) == 2
 
 
+def test_pairs_without_a_live_seed_are_not_made():
+    key, at = np.arange(6, dtype=np.uint64), np.arange(0, 120, 20)
+    none, one = np.zeros(6, bool), np.arange(6) == 4
+    assert len(chaining.seed_pairs(key, at, none, 14, 86, none)[0]) == 0
+    every = chaining.seed_pairs(key, at, one, 14, 86)
+    got = chaining.seed_pairs(key, at, one, 14, 86, one)
+    has = (every[1] == 80) | (every[2] == 80)
+    assert len(got[0]) == 5 and all((a == b[has]).all() for a, b in zip(got, every, strict=True))
+
+
+def test_words_alike_at_both_ends_are_not_aligned():
+    x = np.arange(20_000)
+    y = np.delete(x, 10_000)
+    y[10_050] = -1
+    assert chaining.edit_distance(x, y) == 2 and chaining._extended(x[:9_000], y[:9_000]) == (9_000, 9_000, 0)
+    rising = [(9 * i, 9 * i + 4) for i in range(50)] + [(600, 610), (609, 620)]
+    assert chaining.chains(rising, 6, 0.1, 60, 6.0) == [rising[:50], rising[50:]]
+
+
 def test_classifiers_hold_out():
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
