@@ -393,15 +393,16 @@ def near_duplicates(docs: DataFrame, words: int = 2, similarity: float = 0.8, ba
     more = crossing(texts, met, labels, words, similarity, bands, rows, size, most)
     labels = _joined(labels, more)
     release(spark)
+    # a look-up reads its keys four times, so they are written before: else plans nest, and the driver holds their product
     of_set = sets.select("a", "b", F.col("one.u").alias("node"), F.col("n_texts").alias("n")).join(labels, "node", "left")
-    named = lookup(seen.where("n > 0").select("h", "m", "a", "b", F.col("n").alias("n_shingles")), of_set.select("a", "b", "n", F.coalesce("label", "node").alias("label")), ["a", "b"])
+    of_set = stored(of_set.select("a", "b", "n", F.coalesce("label", "node").alias("label")), "labelled")
+    named = lookup(seen.where("n > 0").select("h", "m", "a", "b", F.col("n").alias("n_shingles")), of_set, ["a", "b"])
     slim = stored(hashed.select("id", "h", "m"), "ids")
-    copies = slim.groupBy("h", "m").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    of_text = copies.join(named.drop("n"), ["h", "m"], "left")
-    least = of_text.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    known = stored(lookup(of_text.where("label is not null").drop("n"), least, ["label"]).select("h", "m", "n_shingles", "component_id")
-                   .join(copies, ["h", "m"]).select("h", "m", "n", "n_shingles", "component_id")
-                   .union(of_text.where("label is null").select("h", "m", "n", F.lit(0).cast("long"), F.lit(None).cast("long"))), "classes")
+    copies = slim.groupBy("h", "m").agg(F.count("*").alias("copies"), F.min("id").alias("least"))
+    of_text = stored(copies.join(named.drop("n", "a", "b"), ["h", "m"], "left"), "named_texts")
+    least = stored(of_text.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least")
+    known = stored(lookup(of_text.where("label is not null"), least, ["label"]).select("h", "m", F.col("copies").alias("n"), "n_shingles", "component_id")
+                   .union(of_text.where("label is null").select("h", "m", F.col("copies").alias("n"), F.lit(0).cast("long"), F.lit(None).cast("long"))), "classes")
     out = lookup(slim, known, ["h", "m"])
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

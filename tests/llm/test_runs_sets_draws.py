@@ -261,3 +261,20 @@ def test_later_links_join_whole_components(spark):
     got = {tuple(r) for r in minhash._joined(connected_components(pairs(first)), pairs(more)).collect()}
     assert got == {tuple(r) for r in connected_components(pairs(first + more)).collect()}
     assert got == {(n, 1) for n in (1, 2, 3, 5, 6, 40)} | {(8, 8), (9, 8), (20, 8), (30, 30), (31, 30)}
+
+
+def test_components_in_one_task_equal_those_by_joins_with_few_exchanges(spark):
+    from spanforge.llm._graph import connected_components
+
+    rng = np.random.default_rng(12)
+    ends = [(int(a), int(b)) for a, b in rng.integers(-300, 300, (250, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(7, 7), (None, 3)]
+    edges = spark.createDataFrame(ends, "u long, v long").repartition(4)
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few", "one task")
+    one = sorted(map(tuple, connected_components(edges).collect()))
+    few = len(jobs.getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("many", "by joins")
+    assert one == sorted(map(tuple, connected_components(edges, few=0).collect()))
+    spark.sparkContext.setJobGroup("", "")
+    assert few <= 12 < len(jobs.getJobIdsForGroup("many"))  # the driver plans and runs the same few jobs, however long a path is
+    assert connected_components(edges.where("false")).collect() == []
