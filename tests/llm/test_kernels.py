@@ -140,3 +140,13 @@ def test_classifiers_hold_out():
     q = quality.train(good[:300], epochs=4)
     assert ((q.scores([t for t, _ in good[300:]]) >= 0.3) == np.array([y for _, y in good[300:]])).mean() > 0.95
     assert zlib.crc32(b"") == 0
+
+
+def test_matches_that_no_chain_can_span_are_left_out_before_chaining():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        own = [(int(a), int(b)) for a, b in rng.integers(0, rng.integers(10, 80), (rng.integers(2, 9), 2))]
+        spans = [min(p[-1][0] - p[0][0], p[-1][1] - p[0][1]) for p in chaining.chains(own, 6, 0.1, 60, 6.0)]
+        for words in (5, 14, 30):
+            assert chaining._reaches(own, words) or all(s < words for s in spans)
+    assert not chaining._reaches([(0, 0), (3, 50)], 14) and chaining._reaches([(0, 9), (14, 30)], 14)
