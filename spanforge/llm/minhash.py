@@ -16,7 +16,7 @@ is the sum of its buckets' sizes) the fullest, which is the text that a group wa
 one.  Links are confirmed on whole shingle sets.  What they connect needs no more comparing; in a
 second step only texts of different components meet, in their bucket's task: in the first bucket that
 they share, and if sketches of two bits a place leave the similarity possible (6.5 deviations), on
-whole sets.  The likeliest come first, and a task goes on with what it has joined as one component, so it returns a
+whole sets.  Sketches go to the buckets first, and whole sets only where they leave such a pair.  The likeliest come first, and a task goes on with what it has joined as one component, so it returns a
 forest and not the pairs of a group.  *Grouping.*  Union-find in each task, and joins of the
 forests to components.
 
@@ -165,17 +165,21 @@ def signature_udf(words_: int, bands: int, rows: int, size: int):
     return signature
 
 
+WHOLE = T.StructType([T.StructField("head", T.BinaryType()), T.StructField("set", T.BinaryType())])
+
+
 def whole_udf(words_: int, bands: int, rows: int, size: int):
-    """binary text -> its sketch, 32 bits of each band's hash, and its whole set, as 64-bit words."""
+    """binary text -> (its sketch and 32 bits of each band's hash, its whole set), as 64-bit words."""
 
-    @F.arrow_udf(T.BinaryType())
+    @F.arrow_udf(WHOLE)
     def whole(texts: pa.Array) -> pa.Array:
-        out = []
+        heads, sets = [], []
         for count, h, edges in shingle_sets(texts.to_pylist(), words_):
             sig = signatures(h, edges, size)
             sketch, keys = sketches(sig), band_keys(sig, bands, rows).astype(np.uint32)
-            out += [sketch[i].tobytes() + keys[i].tobytes() + h[edges[i] : edges[i + 1]].tobytes() for i in range(count)]
-        return pa.array(out, pa.binary())
+            heads += [sketch[i].tobytes() + keys[i].tobytes() for i in range(count)]
+            sets += [h[edges[i] : edges[i + 1]].tobytes() for i in range(count)]
+        return pa.StructArray.from_arrays([pa.array(heads, pa.binary()), pa.array(sets, pa.binary())], WHOLE.names)
 
     return whole
 
@@ -285,23 +289,69 @@ def _stars(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return met, best.select(F.col("m.u").alias("c"), "u").where("c <> u")
 
 
+def _possible(similarity: float, worst: int, words_of_sketch: int, label, n, band, guest, heads) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, others behind it, places of the sketches that differ): the pairs of a bucket's texts, sorted by n, that may be similar and meet first here."""
+    sketch, keys = heads[:, :words_of_sketch], heads[:, words_of_sketch:].view(np.uint32)[:, : band[0]]
+    last = np.searchsorted(n, n / similarity + 1e-9, "right")
+    for i in range(len(n) - 1):
+        to = np.arange(i + 1, last[i])
+        to = to[(label[to] != label[i]) & ~(guest[to] & guest[i])]
+        far = differing(sketch[i], sketch[to])
+        to, far = to[far <= worst], far[far <= worst]
+        to, far = (x[~(keys[to] == keys[i]).any(axis=1)] for x in (to, far))  # pairs that met in an earlier band
+        if len(to):
+            yield i, to, far
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[bytes], list[tuple[int, int]]]]:
+    """(columns, data, groups) of Arrow batches (g, ..., data) sorted by g: groups of equal g, each whole, that have several labels (column 2)."""
+    held: list[tuple[list[np.ndarray], list[bytes]]] = []
+
+    def made() -> tuple[list[np.ndarray], list[bytes], list[tuple[int, int]]]:
+        cols, data = [np.concatenate(x) for x in zip(*(c for c, _ in held), strict=True)], sum((d for _, d in held), [])
+        edge = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True]))).tolist()
+        return cols, data, [(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True) if not (cols[2][a:b] == cols[2][a]).all()]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols, data = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], batch.column(batch.num_columns - 1).to_pylist()
+        other = np.flatnonzero(cols[0] != cols[0][-1])
+        last = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
+        if last or (held and held[-1][0][0][-1] != cols[0][0]):
+            held.append(([c[:last] for c in cols], data[:last]))
+            yield made()
+            held = []
+        held.append(([c[last:] for c in cols], data[last:]))
+    if held:
+        yield made()
+
+
+def _screened(similarity: float, worst: int, words_of_sketch: int):
+    """Arrow batches (g, id, label, n, band, guest, head) sorted by g -> the rows, without heads, that have a possible pair in their group."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, data, groups in _whole_groups(batches):
+            keep = np.zeros(len(data), bool)
+            for a, b in groups:
+                order = a + np.argsort(cols[3][a:b], kind="stable")
+                heads = np.stack([np.frombuffer(data[i], np.uint64) for i in order.tolist()])
+                for i, to, _ in _possible(similarity, worst, words_of_sketch, *(c[order] for c in cols[2:]), heads):
+                    keep[order[i]] = True
+                    keep[order[to]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["g", "id", "label", "n", "band", "guest"])
+
+    return run
+
+
 def _across(similarity: float, worst: int, words_of_sketch: int, bands: int):
     """Arrow batches (g, id, label, n, band, guest, data) sorted by g -> links (u, v) of equal g and different label, a forest of labels in each task."""
     head = words_of_sketch + bands // 2
 
     def solve(known: Joined, ids, label, n, band, guest, data) -> Iterator[tuple[int, int]]:
         order = np.argsort(n, kind="stable")
-        ids, label, n, guest = ids[order], label[order], n[order], guest[order]
+        ids, label, n, band, guest = (x[order] for x in (ids, label, n, band, guest))
         data = [np.frombuffer(data[i], np.uint64) for i in order.tolist()]
-        heads = np.stack([x[:head] for x in data])
-        sketch, keys = heads[:, :words_of_sketch], heads[:, words_of_sketch:].view(np.uint32)[:, : band[0]]
-        last = np.searchsorted(n, n / similarity + 1e-9, "right")
-        for i in range(len(ids) - 1):
-            to = np.arange(i + 1, last[i])
-            to = to[(label[to] != label[i]) & ~(guest[to] & guest[i])]
-            far = differing(sketch[i], sketch[to])
-            to, far = to[far <= worst], far[far <= worst]
-            to, far = (x[~(keys[to] == keys[i]).any(axis=1)] for x in (to, far))  # pairs that met in an earlier band
+        for i, to, far in _possible(similarity, worst, words_of_sketch, label, n, band, guest, np.stack([x[:head] for x in data])):
             own = int(label[i])
             for j in to[np.argsort(far, kind="stable")].tolist():
                 if known.root(own) != known.root(int(label[j])) and similar(data[i][head:], data[j][head:], similarity):
@@ -309,31 +359,9 @@ def _across(similarity: float, worst: int, words_of_sketch: int, bands: int):
                     yield int(ids[i]), int(ids[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held = Joined(), []
-
-        def made(rows: list[tuple[np.ndarray, list]]) -> pa.RecordBatch:
-            cols, data = [np.concatenate(x) for x in zip(*(c for c, _ in rows), strict=True)], sum((d for _, d in rows), [])
-            edge, out = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1], [True]))), []
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if not (cols[2][a:b] == cols[2][a]).all():
-                    out += solve(known, *(x[a:b] for x in cols[1:]), data[a:b])
-            return _pairs(out)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols, data = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:-1]], batch.column(6).to_pylist()
-            other = np.flatnonzero(cols[0] != cols[0][-1])
-            last = int(other[-1]) + 1 if len(other) else 0  # the last group may go on
-            if held and (last or held[-1][0][0][-1] != cols[0][0]):
-                held.append(([c[:last] for c in cols], data[:last]))
-                yield made(held)
-                held = []
-            elif last:
-                yield made([([c[:last] for c in cols], data[:last])])
-            held.append(([c[last:] for c in cols], data[last:]))
-        if held:
-            yield made(held)
+        known = Joined()
+        for cols, data, groups in _whole_groups(batches):
+            yield _pairs([link for a, b in groups for link in solve(known, *(c[a:b] for c in cols[1:]), data[a:b])])
 
     return run
 
@@ -350,10 +378,20 @@ def crossing(texts: DataFrame, met: DataFrame, labels: DataFrame, words_: int, s
     homes = open_.select(F.xxhash64("k", "home").alias("g"), "u", "label", "n", "band", F.lit(False).alias("guest"))
     tours = (open_.where("blocks > 1 and label <> top").withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .where("at <> home").select(F.xxhash64("k", "at").alias("g"), "u", "label", "n", "band", F.lit(True).alias("guest")))
-    data = texts.join(open_.select("u").distinct(), "u").select("u", whole_udf(words_, bands, rows, size)("t").alias("data"))
-    each = homes.union(tours).join(data, "u").select("g", F.col("u").alias("id"), "label", "n", "band", "guest", "data")
-    return (each.repartition(parts(texts.sparkSession), "g").sortWithinPartitions("g")
-            .mapInArrow(_across(similarity, most_differing(similarity, size), -(-size // 32), bands), "u long, v long"))
+    data = texts.join(open_.select("u").distinct(), "u").select(F.col("u").alias("id"), whole_udf(words_, bands, rows, size)("t").alias("w"))
+    data = stored(data.select("id", "w.*"), "wholes")
+    release(texts.sparkSession)
+    limits = similarity, most_differing(similarity, size), -(-size // 32)
+
+    def dealt(met: DataFrame) -> DataFrame:
+        return met.repartition(parts(texts.sparkSession), "g").sortWithinPartitions("g")
+
+    # most texts of a bucket are ruled out by their sketches, and only the others' sets go there
+    each = homes.union(tours).withColumnRenamed("u", "id").join(data.select("id", "head"), "id").select("g", "id", "label", "n", "band", "guest", "head")
+    left = stored(dealt(each).mapInArrow(_screened(*limits), "g long, id long, label long, n long, band int, guest boolean"), "left")
+    release(texts.sparkSession)
+    whole = left.join(data, "id").select("g", "id", "label", "n", "band", "guest", F.concat("head", "set").alias("data"))
+    return dealt(whole).mapInArrow(_across(*limits, bands), "u long, v long")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:

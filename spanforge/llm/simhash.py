@@ -40,7 +40,7 @@ from . import minhash
 from ._bytes import LOWER, mix
 from ._frame import Framed, narrow, table
 from ._graph import connected_components
-from ._scratch import cut, parts, release, small_batches, stored
+from ._scratch import clear, cut, gathered, parts, release, small_batches, stored
 from ._texts import distinct_texts
 from ._texts import keyed as hashed
 
@@ -449,7 +449,11 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     smallest id (rows without an id come last, then by md5 of the text; of repeated rows one)."""
     f = Framed(docs, id_col, text_col)
     ident, text = f.columns
-    groups = similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
+    with gathered() as own:
+        groups = similar_groups(docs, words, similarity, id_col=id_col, text_col=text_col)
+    groups = stored(groups, "groups")
+    clear(docs.sparkSession, own)  # texts, signatures and sets: nothing reads them any more
+    release(docs.sparkSession)
     rank = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("_m").alias("m"))
     key = F.concat_ws(":", F.coalesce(F.col(ident).cast("string"), F.lit("-")), F.col("_m"))
     t = F.coalesce(F.col(text).cast("binary"), F.lit(b""))

@@ -278,3 +278,42 @@ def test_components_in_one_task_equal_those_by_joins_with_few_exchanges(spark):
     spark.sparkContext.setJobGroup("", "")
     assert few <= 12 < len(jobs.getJobIdsForGroup("many"))  # the driver plans and runs the same few jobs, however long a path is
     assert connected_components(edges.where("false")).collect() == []
+
+
+def test_sets_go_only_where_sketches_leave_a_pair():
+    # in one bucket: a text, one of similarity 0.8 to it, one of 0.3 to both, and a copy under the same label
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base, other = rng.integers(0, 2**63, 900).astype(np.uint64), rng.integers(0, 2**63, 900).astype(np.uint64)
+    sets = [np.sort(x) for x in (base, np.concatenate((base[:800], other[:100])), np.concatenate((base[100:515], other[400:885])), base[:895])]
+    sig = minhash.signatures(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), 389)
+    heads = [a.tobytes() + b.tobytes() for a, b in zip(minhash.sketches(sig), np.zeros((4, 64), np.uint32), strict=True)]
+    kept = lambda label, guest: [
+        i for b in minhash._screened(0.8, minhash.most_differing(0.8, 389), 13)(iter(batches(label, guest))) for i in b.column("id").to_pylist()]
+
+    def batches(label, guest):
+        cols = [np.array([7] * 4), np.arange(4), np.array(label), np.array([len(x) for x in sets]), np.zeros(4, np.int32), np.array(guest)]
+        for a, b in ((0, 1), (1, 3), (3, 4)):  # a group may lie in several batches
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[a:b]) for c in cols), pa.array(heads[a:b], pa.binary())], ["g", "id", "label", "n", "band", "guest", "head"])
+
+    none = [False] * 4
+    assert kept([0, 1, 2, 0], none) == [0, 1, 3]
+    assert kept([0, 0, 2, 0], none) == []
+    assert kept([0, 1, 2, 1], [True, False, False, True]) == [0, 1]
+    assert kept([0, 1, 2, 1], [True, True, True, True]) == []
+
+
+def test_what_the_groups_were_made_from_is_deleted_before_the_documents_are_dealt(spark):
+    from pathlib import Path
+
+    from spanforge.llm import _scratch, simhash
+
+    rng = random.Random(21)
+    base = words(rng, 60)
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "end"])), (3, " ".join(words(rng, 60)))]
+    before = list(_scratch._made)
+    kept = simhash.one_of_each(frame(spark, rows))
+    left = [Path(path).name.split("-")[0].split("_")[0] for _, path in _scratch._made if (_, path) not in before]
+    assert left == ["groups"]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
