@@ -58,6 +58,40 @@ def test_fuzzy_passages_are_found(spark):
     assert all(got[a] == a for a, _ in pairs)
 
 
+def test_nothing_in_the_texts_themselves_hides_a_passage(spark):
+    rng = random.Random(4)
+    groups = []
+    for _ in range(8):  # every pair of the passage's seeds is met before, in parts of it that are no passages
+        w, j = words(rng, 40), lambda n: words(rng, n)
+        parts = [w[:30], w[10:], w[:6] + j(28) + w[34:], w[:16] + j(12) + w[28:], w[4:36]]
+        groups.append([sum((j(15) + p for p in parts), []) + j(70) + w + j(30), j(30) + w + j(40)])
+    for gap in (10, 25, 40, 55):  # two passages with other words between
+        a, b = words(rng, 45), words(rng, 45)
+        groups.append([words(rng, 20) + a + words(rng, gap) + b + words(rng, 20) for _ in range(2)])
+    for n in (1, 2, 5):  # words that repeat every few, and go on longer in one text
+        w, side = words(rng, n), words(rng, 20)
+        groups.append([words(rng, 10) + (w * 300)[:300], words(rng, 30) + (w * 60)[:60] + words(rng, 10)])
+        w = words(rng, n)
+        groups.append([side + (w * 300)[:300], words(rng, 30) + side + (w * 30)[:22] + words(rng, 30)])
+    rows = [(2 * i + k, " ".join(t)) for i, g in enumerate(groups) for k, t in enumerate(g)]
+    got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[2 * i].class_id, got[2 * i + 1].class_id) for i in range(len(groups))] == [(2 * i, 2 * i) for i in range(len(groups))]
+    assert all(r.n_shared_words >= 40 for r in got.values())
+    assert [got[i].n_shared_words >= 90 for i in range(16, 24)] == [True] * 8 and [got[i].n_shared_words for i in (24, 25)] == [300, 60]
+
+
+def test_words_that_only_texts_of_one_class_share_are_counted(spark):
+    # 1 and 2 are one class by p; they share q too, whose parts have their representatives elsewhere
+    rng = random.Random(6)
+    p, q = words(rng, 60), words(rng, 60)
+    rows = [(1, " ".join(words(rng, 50) + p + words(rng, 90) + q + words(rng, 50))), (2, " ".join(q + words(rng, 90) + p + words(rng, 50)))]
+    for i in range(0, 60, 20):
+        around = words(rng, 30), words(rng, 30)
+        rows += [(3 + i + k, " ".join(words(rng, 20) + around[0] + q[i : i + 22] + around[1] + words(rng, 20))) for k in range(6)]
+    got = {r.doc_id: r for r in chaining.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].n_passages, got[i].n_shared_words, got[i].class_id) for i in (1, 2)] == [(2, 120, 1)] * 2
+
+
 def test_chains_take_a_nearer_predecessor():
     far = [(i, i) for i in range(0, 60, 6)]
     near = [(100, 300), (106, 306)]
